@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash
+from . import decontaminate, linededup, minhash
 from .common import table
 
 
@@ -18,7 +18,15 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, per=85)
 
 
-QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op7_minhash_near_dedup": op7_minhash_near_dedup}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: non-blank lines before, lines deleted, the longest repeated run it takes part in, and the text left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("n_lines", F.size(linededup.numbered_lines(F.col("text"))).cast("long"))
+    got = linededup.dedup_lines(docs, with_runs=True)
+    return got.select("doc_id", "n_lines", F.col("_tl_deleted").cast("long").alias("n_deleted"), F.col("_tl_longest").cast("long").alias("longest_run"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op10_line_dedup": op10_line_dedup}
 
 SQL = {
     "op2_benchmark_decontamination": r"""
@@ -53,5 +61,26 @@ r AS (SELECT doc_id AS node, doc_id AS root FROM w UNION SELECT u.b, r.root FROM
 m AS (SELECT node AS doc_id, min(root) AS component_id FROM r GROUP BY node)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM w JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op10_line_dedup": r"""
+WITH a AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+l AS (SELECT doc_id, i, line, length(line) AS chars, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS o FROM a WHERE trim(line) <> ''),
+w AS (
+  SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY o) AS line2,
+    row_number() OVER (PARTITION BY line ORDER BY doc_id, o) > 1 AS copy1
+  FROM l),
+x AS (SELECT *, line2 IS NOT NULL AND row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, o) > 1 AS copy2 FROM w),
+g AS (SELECT doc_id, o, i, line, (copy1 AND chars >= 80) OR copy2 OR coalesce(lag(copy2) OVER (PARTITION BY doc_id ORDER BY o), false) AS gone FROM x),
+p AS (
+  SELECT a.doc_id AS d, a.o AS o, b.doc_id AS e, b.o - a.o AS diag FROM l a JOIN l b ON a.line = b.line AND (a.doc_id <> b.doc_id OR a.o <> b.o)),
+r AS (SELECT d, max(n) AS longest FROM (SELECT d, count(*) AS n FROM (SELECT *, o - row_number() OVER (PARTITION BY d, e, diag ORDER BY o) AS k FROM p) GROUP BY d, e, diag, k) GROUP BY d),
+k AS (
+  SELECT doc_id, count(o) AS n_lines, count(*) FILTER (WHERE gone) AS n_deleted,
+    string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS rest
+  FROM (SELECT a.doc_id, a.i, a.line, g.o, coalesce(g.gone, false) AS gone FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.i = g.i) GROUP BY doc_id)
+SELECT k.doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_deleted AS BIGINT) AS n_deleted, CAST(coalesce(longest, 0) AS BIGINT) AS longest_run,
+  sha256(CASE WHEN n_deleted = 0 THEN coalesce(text, '') WHEN trim(replace(rest, chr(10), ' ')) = '' THEN '' ELSE coalesce(rest, '') END) AS text_sha256
+FROM k JOIN documents USING (doc_id) LEFT JOIN r ON r.d = k.doc_id
 """,
 }
