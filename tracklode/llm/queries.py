@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, minhash
+from . import decontaminate, langid, linededup, minhash
 from .common import table
 
 
@@ -26,7 +26,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", F.col("_tl_deleted").cast("long").alias("n_deleted"), F.col("_tl_longest").cast("long").alias("longest_run"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op10_line_dedup": op10_line_dedup}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = langid.train(docs.where(~out))
+    return langid.identify(docs, model).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op10_line_dedup": op10_line_dedup, "op3_language_id": op3_language_id}
 
 SQL = {
     "op2_benchmark_decontamination": r"""
