@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, minhash
+from . import decontaminate, langid, linededup, minhash, packing
 from .common import table
 
 
@@ -33,7 +33,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op10_line_dedup": op10_line_dedup, "op3_language_id": op3_language_id}
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op10_line_dedup": op10_line_dedup, "op3_language_id": op3_language_id, "op1_packing": op1_packing}
 
 SQL = {
     "op2_benchmark_decontamination": r"""
