@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, minhash, packing
+from . import decontaminate, langid, linededup, minhash, packing, warc
 from .common import table
 
 
@@ -39,7 +39,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op10_line_dedup": op10_line_dedup, "op3_language_id": op3_language_id, "op1_packing": op1_packing}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op10_line_dedup": op10_line_dedup, "op3_language_id": op3_language_id, "op1_packing": op1_packing, "op5_warc": op5_warc}
 
 SQL = {
     "op2_benchmark_decontamination": r"""
@@ -95,5 +100,16 @@ k AS (
 SELECT k.doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_deleted AS BIGINT) AS n_deleted, CAST(coalesce(longest, 0) AS BIGINT) AS longest_run,
   sha256(CASE WHEN n_deleted = 0 THEN coalesce(text, '') WHEN trim(replace(rest, chr(10), ' ')) = '' THEN '' ELSE coalesce(rest, '') END) AS text_sha256
 FROM k JOIN documents USING (doc_id) LEFT JOIN r ON r.d = k.doc_id
+""",
+    "op5_warc": r"""
+WITH h AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages WHERE page_id IS NOT NULL),
+d AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 8), lambda i: translate(
+    lpad(upper(to_base(CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT), 32)), 4, '0'), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')), '') AS payload_digest
+  FROM h),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first_id FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
 """,
 }
