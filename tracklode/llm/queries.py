@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, minhash, packing, warc
+from . import decontaminate, embed, langid, linededup, minhash, packing, warc
 from .common import table
 
 
@@ -44,7 +44,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op10_line_dedup": op10_line_dedup, "op3_language_id": op3_language_id, "op1_packing": op1_packing, "op5_warc": op5_warc}
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got, recall = embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return got.withColumn("audited_recall", F.lit(recall))
+
+
+QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op10_line_dedup": op10_line_dedup, "op3_language_id": op3_language_id, "op1_packing": op1_packing, "op5_warc": op5_warc, "op6_embedding_near_dedup": op6_embedding_near_dedup}
 
 SQL = {
     "op2_benchmark_decontamination": r"""
