@@ -4,10 +4,10 @@ Two permutations of a universe of 2**20 slots make the whole signature: the firs
 shifted circularly by k places, gives coordinate k. A shingle's values for all coordinates are therefore one contiguous
 slice of the (wrapped) second permutation, and a signature is the column minimum of the slices of a document's shingles.
 
-Signatures are cut into bands. In each bucket one hub is compared with the other members, links join components, and
-the buckets that still hold several components go into the next round without the hubs that are done. No bucket is
-expanded into all its pairs unless its members really stay apart, and none is capped. Every link is confirmed on the
-full sets of 64-bit shingle hashes.
+Signatures are cut into bands. In each bucket the hub (the smallest id) is compared with the other members, and links
+join components. Buckets that still hold several components are then compared exactly across the components, in blocks
+of bounded size that emit tree edges only. No bucket is capped, no pairs inside a component are formed, and every link
+is confirmed on the full sets of 64-bit shingle hashes.
 
 Defined cases: a text without words (or null) has an empty set and links with nothing; a row with a null id is never
 linked and never kept; rows that repeat an id stand for one node; other columns are not read.
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from .textkit import U64, mix, runs, shingles, space_table, text_chunks, word_ha
 
 UNIVERSE_BITS = 20
 BANDS, BAND_ROWS = 20, 5
-#: Later rounds compare so many hubs of each open bucket at once.
-HUBS = 6
+#: Members of a block when a bucket's components are compared exactly.
+BLOCK = 400
 #: A list of at most so many ids is broadcast to pick documents; a longer one is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -90,15 +91,81 @@ def sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(own)))], ["id", "hashes"])
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, k: int, per: int, hundred: int) -> DataFrame:
+def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, per: int, hundred: int) -> np.ndarray:
+    """Which pairs of set sizes a, b with so many common members reach the similarity."""
+    return hundred * common >= per * (a[:, None] + b[None, :] - common)
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Exact intersection sizes of all left with all right sets, by matrix products over the shared members."""
+    everything = np.concatenate([*left, *right])
+    members, code, n = np.unique(everything, return_inverse=True, return_counts=True)
+    shared = np.cumsum(n > 1) - 1
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    keep = n[code] > 1
+    col, row = shared[code[keep]], row[keep]
+    out = np.zeros((len(left), len(right)), np.float64)
+    for lo in range(0, int((n > 1).sum()), columns):
+        part = (col >= lo) & (col < lo + columns)
+        block = np.zeros((len(left) + len(right), columns), np.float32)
+        block[row[part], col[part] - lo] = 1
+        out += block[: len(left)] @ block[len(left) :].T
+    return np.rint(out).astype(np.int64)
+
+
+def block_links(part: pd.DataFrame, per: int, hundred: int) -> pd.DataFrame:
+    """Tree edges (a, b) that join what is linked between the left and the right members of a block."""
+    left, right = part[part["role"] != 1], part[part["role"] != 0]  # role 2: a block with itself
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    ls, rs = list(left["hashes"]), list(right["hashes"])
+    hit = linked(common_counts(ls, rs), np.array([len(x) for x in ls]), np.array([len(x) for x in rs]), per, hundred)
+    li, ri = left["rep"].to_numpy(np.int64), right["rep"].to_numpy(np.int64)
+    some = np.flatnonzero(hit.any(axis=1))
+    big = np.iinfo(np.int64).max
+    label_l, label_r = li.copy(), ri.copy()
+    while True:  # the smallest id reachable inside the block
+        new_r = np.minimum(label_r, np.where(hit[some], label_l[some, None], big).min(axis=0, initial=big))
+        new_l = label_l.copy()
+        new_l[some] = np.minimum(label_l[some], np.where(hit[some], new_r[None, :], big).min(axis=1, initial=big))
+        if (new_r == label_r).all() and (new_l == label_l).all():
+            break
+        label_l, label_r = new_l, new_r
+    a, b = np.concatenate([label_l, label_r]), np.concatenate([li, ri])
+    return pd.DataFrame({"a": a[a < b], "b": b[a < b]}).drop_duplicates()
+
+
+def residual_links(members: DataFrame, full: DataFrame, per: int, hundred: int) -> DataFrame:
+    """Links between different components of a bucket (bucket, rep, comp), block by block.
+
+    Members of the bucket's first component meet only the others, which meet each other too. Blocks hold at most about
+    BLOCK members whatever the bucket's size, and only tree edges leave them.
+    """
+    # Bands that hold the same members are one bucket.
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    first = cut(members.groupBy("bucket").agg(F.min(F.struct("rep", "comp")).alias("m"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h")), "buckets")
+    first = first.groupBy("m", "last", "n", "h").agg(F.min("bucket").alias("bucket")).select("bucket", F.col("m.comp").alias("main"))
+    rows = cut(members.join(first, "bucket"), "residual")
+    sizes = rows.groupBy("bucket").agg(count(F.col("comp") == F.col("main")).alias("n_main"), count(F.col("comp") != F.col("main")).alias("n_other"))
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
+    rows = rows.join(cut(sizes.select("bucket", blocks("n_main").alias("mains"), blocks("n_other").alias("others")), "sizes"), "bucket")
+    is_main = F.col("comp") == F.col("main")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "bucket"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    place = lambda i, kind, j, role: F.struct(i.cast("int").alias("i"), F.lit(kind).alias("kind"), j.cast("int").alias("j"), role.cast("int").alias("role"))
+    others = F.sequence(F.lit(0), F.col("others") - 1)
+    as_main = F.transform(others, lambda i: place(i, "main", F.col("own"), F.lit(1)))
+    with_others = F.transform(others, lambda k: place(F.least(k, F.col("own")), "other", F.greatest(k, F.col("own")), F.when(k == F.col("own"), 2).when(k > F.col("own"), 0).otherwise(1)))
+    with_mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: place(F.col("own"), "main", j, F.lit(0)))
+    spread = rows.select("bucket", "rep", F.explode(F.when(is_main, as_main).otherwise(F.concat(with_others, with_mains))).alias("p")).select("bucket", "rep", "p.*")
+    loaded = spread.join(full.select(F.col("id").alias("rep"), "hashes"), "rep")
+    return loaded.groupBy("bucket", "i", "kind", "j").applyInPandas(lambda part: block_links(part, per, hundred), "a long, b long")
+
+
+def confirmed(pairs: DataFrame, full: DataFrame, per: int, hundred: int) -> DataFrame:
     """Those pairs (a, b) whose full sets have hundred * intersection >= per * union."""
-    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    picked = docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    full = cut(picked.dropDuplicates(["id"]).mapInArrow(lambda it: sets(it, k), "id long, hashes array<long>") if not few else picked.mapInArrow(lambda it: sets(it, k), "id long, hashes array<long>"), "sets")
     both = pairs.join(full.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b").join(full.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
     common = F.size(F.array_intersect("ha", "hb")).cast("long")
-    return both.select("a", "b", common.alias("common"), (F.size("ha") + F.size("hb") - common).alias("both")).where(hundred * F.col("common") >= per * F.col("both")).select("a", "b").distinct()
+    return both.select("a", "b", common.alias("common"), (F.size("ha") + F.size("hb") - common).alias("both")).where(hundred * F.col("common") >= per * F.col("both")).select("a", "b")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, per: int = 80, hundred: int = 100, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
@@ -113,31 +180,26 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     classes = cut(known.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
     reps = known.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
     members = reps.select(F.explode("bands").alias("bucket"), F.col("id").alias("rep"), "n")
-    open_ = members.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("bucket")
-    members = cut(members.join(open_, "bucket"), "members").withColumn("comp", F.col("rep"))
-
-    links, comps, turn = None, None, 0
-    while True:
-        order = [F.col("rep")] if turn == 0 else [F.xxhash64("rep", F.lit(turn * HUBS + i)) for i in range(HUBS)]
-        picked = members.groupBy("bucket").agg(*[F.min(F.struct(o.alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))).alias(f"h{i}") for i, o in enumerate(order)])
-        hubs = cut(picked.select("bucket", F.explode(F.array_distinct(F.array(*[F.struct(f"h{i}.hub", f"h{i}.hub_n", f"h{i}.hub_comp") for i in range(len(order))]))).alias("h")).select("bucket", "h.*"), "hubs")
+    hubs = cut(members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").drop("last"), "hubs")
+    members = cut(members.join(hubs, "bucket"), "members")
+
+    comps = None
+    if not members.isEmpty():
+        wanted = cut(members.select(F.col("rep").alias("id")).distinct(), "wanted")
+        few = wanted.count() <= BROADCAST_IDS
+        picked = docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+        full = cut(picked.mapInArrow(lambda it: sets(it, k), "id long, hashes array<long>"), "sets")
+        sizes = members.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")).distinct()
         near = hundred * F.least("n", "hub_n") >= per * F.greatest("n", "hub_n")
-        pairs = cut(members.join(hubs, "bucket").where((F.col("comp") != F.col("hub_comp")) & near).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), "pairs")
-        if not pairs.isEmpty():
-            found = cut(confirmed(docs, pairs, k, per, hundred), "links")
-            links = found if links is None else links.union(found)
-            comps = connected_components(links)
-        members = members.drop("comp").join(hubs.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti")
-        if comps is not None:
-            members = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        else:
-            members = members.withColumn("comp", F.col("rep"))
-        members = cut(members.select("bucket", "rep", "n", "comp"), "members")
-        open_ = members.groupBy("bucket").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first < last").select("bucket")
-        members = cut(members.join(open_, "bucket"), "members")
-        if members.isEmpty():
-            break
-        turn += 1
+        pairs = members.where("rep <> hub").select("hub", "rep", "n").distinct().join(sizes, "hub").where(near)
+        links = cut(confirmed(cut(pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b")), "pairs"), full, per, hundred), "links")
+        comps = connected_components(links)
+        # Buckets that still hold several components are compared exactly, in blocks.
+        members = cut(members.select("bucket", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp")), "members")
+        apart = cut(members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high and n > 2").select("bucket"), "apart")
+        if not apart.isEmpty():
+            more = residual_links(cut(members.join(apart, "bucket"), "members"), full, per, hundred)
+            comps = connected_components(links.unionByName(cut(more, "more")))
 
     labels = classes.select("n", "f1", "f2", "rep")
     if comps is not None:
