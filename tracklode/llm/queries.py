@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed, langid, linededup, minhash, packing, warc
+from . import decontaminate, embed, langid, linededup, lm, minhash, packing, warc
 from .common import table
 
 
@@ -49,7 +49,15 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("audited_recall", F.lit(recall))
 
 
-QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op10_line_dedup": op10_line_dedup, "op3_language_id": op3_language_id, "op1_packing": op1_packing, "op5_warc": op5_warc, "op6_embedding_near_dedup": op6_embedding_near_dedup}
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    got = lm.score(docs, ~out)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    return got.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op10_line_dedup": op10_line_dedup, "op3_language_id": op3_language_id, "op1_packing": op1_packing, "op5_warc": op5_warc, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op8_lm_scoring": op8_lm_scoring}
 
 SQL = {
     "op2_benchmark_decontamination": r"""
