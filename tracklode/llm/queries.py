@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed, langid, linededup, lm, minhash, packing, warc
+from . import decontaminate, embed, langid, linededup, lm, minhash, packing, suffixdedup, tokencounts, warc
 from .common import table
 
 
@@ -57,7 +57,17 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op10_line_dedup": op10_line_dedup, "op3_language_id": op3_language_id, "op1_packing": op1_packing, "op5_warc": op5_warc, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op8_lm_scoring": op8_lm_scoring}
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencounts.edited_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op10_line_dedup": op10_line_dedup, "op3_language_id": op3_language_id, "op1_packing": op1_packing, "op5_warc": op5_warc, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op8_lm_scoring": op8_lm_scoring, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op9_token_counts": op9_token_counts}
 
 SQL = {
     "op2_benchmark_decontamination": r"""
