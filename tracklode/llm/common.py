@@ -37,6 +37,16 @@ def cut(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A list of at most so many keys is broadcast to drop rows; a longer one is joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(df: DataFrame, keys: DataFrame, on) -> DataFrame:
+    """Rows of df that match no row of keys."""
+    keys = cut(keys, "keys")
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_anti")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node reachable.
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
+
 WINDOW_WORDS = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,4 +87,4 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
 def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of documents that are not contaminated, columns unchanged; a null id is never contaminated."""
     bad = contamination(documents, benchmark, id_col, text_col, **kw).where("contaminated").select(F.col(id_col).alias("_tl_id"), F.col("text_key").alias("_tl_key"))
-    return documents.join(bad, (F.col(id_col) == F.col("_tl_id")) & (F.xxhash64(documents[text_col]) == F.col("_tl_key")), "left_anti")
+    return without(documents, bad, (F.col(id_col) == F.col("_tl_id")) & (F.xxhash64(F.col(text_col)) == F.col("_tl_key")))

@@ -172,6 +172,20 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH_PENA
     return path
 
 
+def keep_batches(batches: Iterator[pa.RecordBatch], column: int, model: Model, penalty: float, min_score: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = list(predict_batches(iter([pa.RecordBatch.from_arrays([batch.column(column)], ["text"])]), model, penalty, False))
+        if got:
+            found = pa.Table.from_batches(got)
+            yield batch.filter(pa.array((found["lang_pred"].to_numpy() != "und") & (found["score"].to_numpy() >= min_score)))
+
+
+def keep_identified(documents: DataFrame, model: Model, text_col: str = "text", penalty: float = SWITCH_PENALTY, min_score: float = 0.5) -> DataFrame:
+    """The rows, columns unchanged, whose text has letters and a language that holds at least min_score of them."""
+    at = documents.columns.index(text_col)
+    return documents.mapInArrow(lambda it: keep_batches(it, at, model, penalty, min_score), documents.schema)
+
+
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
 

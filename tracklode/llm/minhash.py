@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, without
 from .textkit import U64, mix, runs, shingles, space_table, text_chunks, word_hashes, word_spans
 
 UNIVERSE_BITS = 20
@@ -210,3 +210,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     out = signed.drop("bands").join(cut(labels, "labels"), ["n", "f1", "f2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """documents without the members of each near-duplicate group but the one with the smallest id; null ids stay."""
+    gone = near_duplicates(documents, id_col, text_col, **kw).where(~F.col("kept") & F.col(id_col).isNotNull())
+    return without(documents, gone.select(F.col(id_col).alias("_tl_id")).distinct(), F.col(id_col) == F.col("_tl_id"))
