@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from .common import cut
 from .textkit import U64, mix, runs, space_table, text_chunks, word_hashes, word_spans
 
-FREQUENT, ENDINGS = 96, 32  # classes: frequent words with the end, and endings of the others
+FREQUENT, ENDINGS = 72, 24  # classes: frequent words with the end, and endings of the others
 CLASSES = FREQUENT + ENDINGS
 END_CLASS = 0
 END_HASH = np.int64(-(1 << 62) + 12345)  # the end's key beside the words' hashes
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 1_200_000
 DIMENSIONS, NOISE, STEPS, BATCH = 32, 32, 600, 4096
 
 
