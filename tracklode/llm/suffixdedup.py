@@ -125,26 +125,31 @@ def neighbour_batches(batches: Iterator[pa.RecordBatch], reach: int, min_words:
         if first:
             yield edges(new.slice(0, BACK))
         rows = new if held is None else pa.concat_tables([held, new])
-        skip = 0 if held is None else held.num_rows
-        first, held = False, rows.slice(max(0, rows.num_rows - BACK))
         ids, pos, gram = (rows[x].to_numpy() for x in ("id", "pos", "gram"))
         sides = [np.frombuffer(b"".join(rows[x].to_pylist()), ">u4").reshape(len(ids), reach) for x in ("after", "before")]
-        best = np.zeros(len(ids), np.int64)
-        found = np.zeros((len(ids), 4), np.int64)
-        for j in range(1, BACK + 1):
-            b = np.arange(max(skip, j), len(ids))
-            a = b - j
-            ok = (gram[a] == gram[b]) & (ids[a] != ids[b])
+        n_rows, skip = len(ids), 0 if held is None else held.num_rows
+        best = np.zeros(n_rows, np.int64)
+        found = np.zeros((n_rows, 4), np.int64)
+        # Besides its neighbours, a row meets the smallest id so far under its gram: every copy but the first has an earlier one.
+        run = np.concatenate([[0], np.cumsum(gram[1:] != gram[:-1])])
+        rank = np.unique(ids, return_inverse=True)[1] - run * n_rows
+        least = np.maximum.accumulate(np.where(rank == np.minimum.accumulate(rank), np.arange(n_rows), 0))
+        new_rows = np.arange(max(skip, 1), n_rows)
+        for a, b in [(new_rows - j, new_rows) for j in range(1, BACK + 1)] + [(least[new_rows - 1], new_rows)]:
+            ok = (a >= 0) & (gram[a] == gram[b]) & (ids[a] != ids[b])
             a, b = a[ok], b[ok]
             if not len(a):
                 continue
             left, right = same_length(sides[1][a], sides[1][b]), same_length(sides[0][a], sides[0][b])
             total = left + GRAM + right
-            ok = (total >= min_words) & (total > best[b])
-            a, b, left, total = a[ok], b[ok], left[ok], total[ok]
-            best[b] = total
             later, earlier = np.where(ids[b] > ids[a], b, a), np.where(ids[b] > ids[a], a, b)
-            found[b] = np.stack([ids[later], pos[later] - left, ids[earlier], pos[earlier] - left], axis=1)
+            order = np.argsort(total, kind="stable")
+            order = order[(total[order] >= min_words) & (total[order] > best[later[order]])]
+            later, earlier, left, total = later[order], earlier[order], left[order], total[order]
+            best[later] = total
+            found[later] = np.stack([ids[later], pos[later] - left, ids[earlier], pos[earlier] - left], axis=1)
+        tail = np.arange(max(0, n_rows - BACK), n_rows)
+        first, held = False, rows.take(pa.array(np.unique([least[-1], *tail])))
         hit = best > 0
         n = int(hit.sum())
         yield pa.RecordBatch.from_arrays([pa.array(found[hit, 0]), pa.array(found[hit, 1]), pa.array(best[hit]), pa.array(found[hit, 2]), pa.array(found[hit, 3]), pa.array(np.zeros(n, bool)), *(pa.nulls(n, schema.field(x).type) for x in ("pos", "gram", "after", "before"))], schema=schema)
