@@ -1,6 +1,5 @@
 """Decontamination, packing, language ID, language model and token counts."""
 
-import hashlib
 import math
 import re
 import zlib
@@ -46,7 +45,7 @@ def test_contamination(spark, limit):
     got = decontaminate.contamination(documents(spark, docs), bench, broadcast_chars=limit)
     assert {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in got.collect()} == contamination_by_hand(docs, items)
     kept = decontaminate.decontaminate(documents(spark, docs), bench, broadcast_chars=limit)
-    assert {r.doc_id for r in kept.collect()} == {3, 4, 5, 6}
+    assert {r.doc_id for r in kept.collect()} == {i for i, x in contamination_by_hand(docs, items).items() if not x[3]}
     assert kept.columns == documents(spark, docs).columns
 
 
@@ -81,7 +80,7 @@ def test_packing_round_trip(spark):
 def test_packing_plan_uses_every_piece_with_little_padding():
     rng = np.random.default_rng(2)
     counts = np.zeros(257, np.int64)
-    np.add.at(counts, rng.integers(1, 257, 20_000) * rng.integers(1, 257, 20_000) // 256 + 1, 1) if False else np.add.at(counts, np.minimum(256, 1 + rng.exponential(60, 20_000).astype(int)), 1)
+    np.add.at(counts, np.minimum(256, 1 + rng.exponential(60, 20_000).astype(int)), 1)
     used = np.zeros_like(counts)
     filled = sequences = 0
     for pattern, times in packing.plan(counts):
@@ -225,7 +224,3 @@ def test_segment_tree_random_edits():
             new = new[:a] + r + new[b:]
         tree.apply(edits)
         assert tree.total == count(new)
-
-
-def test_hashes_are_documented_widths():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

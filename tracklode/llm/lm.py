@@ -180,8 +180,8 @@ def score_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, table: np.nd
         class_log = np.bincount(row, weights=table[cells], minlength=n_rows) / np.log(10)
         own = np.repeat(np.arange(n_rows), counts)
         single = classes < FREQUENT
-        frequent_log = np.bincount(own[single], weights=v.frequent_log[classes[single]], minlength=n_rows)
-        ending_log = np.bincount(own[~single], weights=v.ending_log[classes[~single] - FREQUENT], minlength=n_rows)
+        frequent_log = np.bincount(own[single], weights=v.frequent_log[classes[single]], minlength=n_rows).astype(float)
+        ending_log = np.bincount(own[~single], weights=v.ending_log[classes[~single] - FREQUENT], minlength=n_rows).astype(float)
         pairs, n = np.unique(own * (len(words) + 1) + place, return_counts=True)
         packed = np.stack([pairs % (len(words) + 1), n], axis=1).astype("<u4")
         at = np.searchsorted(pairs, np.arange(n_rows + 1) * (len(words) + 1))
