@@ -165,14 +165,14 @@ def fit(cells: np.ndarray, n: np.ndarray, seed: int = 3) -> LogBilinear:
     return LogBilinear(*params)
 
 
-SCORE_COLUMNS = "kind int, block string, id {id}, n_tokens long, class_log double, frequent_log double, ending_log double, places binary, word long, place int"
+SCORE_COLUMNS = "kind int, block long, id {id}, n_tokens long, class_log double, frequent_log double, ending_log double, places binary, word long, place int"
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, table: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of kind 0: a text with its class scores and its words as (place, count) in the block's dictionary; of kind 1: the dictionary."""
     table = table.reshape(-1)
     for held, hashes, ending, counts in block_words(batches, 1):
-        block = uuid.uuid4().hex
+        block = np.int64(uuid.uuid4().int >> 65)
         words, place = np.unique(hashes, return_inverse=True)
         classes = token_classes(v, hashes, ending)
         cells, row = trigram_cells(classes, counts)
@@ -188,9 +188,9 @@ def score_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, table: np.nd
         ids = pa.concat_arrays([b.column(0) for b in held])
         binary = pa.array([packed[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
         none = lambda kind, size: pa.nulls(size, kind)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n_rows, np.int32)), pa.array([block] * n_rows), ids, pa.array(counts + 1), pa.array(class_log), pa.array(frequent_log), pa.array(ending_log), binary, none(pa.int64(), n_rows), none(pa.int32(), n_rows)], [x.split()[0] for x in SCORE_COLUMNS.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n_rows, np.int32)), pa.array(np.full(n_rows, block)), ids, pa.array(counts + 1), pa.array(class_log), pa.array(frequent_log), pa.array(ending_log), binary, none(pa.int64(), n_rows), none(pa.int32(), n_rows)], [x.split()[0] for x in SCORE_COLUMNS.split(", ")])
         size = len(words)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int32)), pa.array([block] * size), none(ids.type, size), none(pa.int64(), size), *(none(pa.float64(), size) for _ in range(3)), none(pa.binary(), size), pa.array(words), pa.array(np.arange(size, dtype=np.int32))], [x.split()[0] for x in SCORE_COLUMNS.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int32)), pa.array(np.full(size, block)), none(ids.type, size), none(pa.int64(), size), *(none(pa.float64(), size) for _ in range(3)), none(pa.binary(), size), pa.array(words), pa.array(np.arange(size, dtype=np.int32))], [x.split()[0] for x in SCORE_COLUMNS.split(", ")])
 
 
 def sum_counts(texts: pd.DataFrame, dictionary: pd.DataFrame, v: Vocabulary) -> pd.DataFrame:
