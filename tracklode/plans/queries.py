@@ -500,3 +500,62 @@ def path_shape(spark, sf):
     dx, dy = F.col("x") - F.lag("x").over(way), F.col("y") - F.lag("y").over(way)
     t = tracks(spark, sf).withColumns({"d": F.sqrt(dx * dx + dy * dy), "turn": angles.wrap_angle(F.col("heading") - F.lag("heading").over(way))})
     return t.groupBy("track_id").agg(F.round(F.sum(F.coalesce("d", F.lit(0.0))), 6).alias("arc_length"), angles.turn_direction(F.sum("turn")).alias("direction"))
+
+
+@query("""
+WITH $TRACKS, o AS (SELECT kind, frame, track_id AS id, x, y, heading, vx AS speed FROM t WHERE valid),
+p AS (SELECT a.kind, a.frame, a.id, b.id AS bid, a.speed - b.speed AS closing, abs(b.heading - a.heading) AS turn, (b.x - a.x) * cos(a.heading) + (b.y - a.y) * sin(a.heading) AS lon, (b.y - a.y) * cos(a.heading) - (b.x - a.x) * sin(a.heading) AS lat
+  FROM o a JOIN o b ON a.kind = b.kind AND a.frame = b.frame AND a.id <> b.id),
+q AS (SELECT *, lon - (4.8 + abs(cos(turn)) * 4.8 + abs(sin(turn)) * 2.0) / 2 AS gap, abs(lat) - (2.0 + abs(sin(turn)) * 4.8 + abs(cos(turn)) * 2.0) / 2 AS ov FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY kind, frame, id ORDER BY gap, bid) AS k FROM q WHERE gap > 0 AND turn <= radians(75) AND ov < 0 AND (ov < -0.5 OR turn <= radians(10)))
+SELECT o.kind, o.frame, o.id, round(CASE WHEN closing > 0 THEN least(5.0, gap / closing) ELSE 5.0 END, 6) AS ttc FROM o LEFT JOIN n ON o.kind = n.kind AND o.frame = n.frame AND o.id = n.id AND n.k = 1
+""")
+def time_to_collision(spark, sf):
+    from ..operators import simulation
+
+    o = tracks(spark, sf).where("valid").select("kind", "frame", F.col("track_id").alias("id"), "x", "y", "heading", F.lit(4.8).alias("length"), F.lit(2.0).alias("width"), F.col("vx").alias("speed"))
+    return simulation.time_to_collision(o, ["kind", "frame"]).select("kind", "frame", "id", *r6("ttc"))
+
+
+@query("""
+WITH $TRACKS, p AS (SELECT track_id, frame, kind AS rollout, x + kind / 10.0 AS x, y FROM t), d AS (SELECT t.track_id, p.rollout, avg(sqrt((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y))) AS d FROM p JOIN t ON p.track_id = t.track_id AND p.frame = t.frame WHERE t.valid GROUP BY 1, 2)
+SELECT track_id, round(avg(d), 6) AS ade, round(min(d), 6) AS min_ade FROM d GROUP BY track_id
+""")
+def displacement_error(spark, sf):
+    from ..operators import simulation
+
+    t = tracks(spark, sf)
+    pred = t.select("track_id", "frame", F.col("kind").alias("rollout"), (F.col("x") + F.col("kind") / 10.0).alias("x"), "y")
+    return simulation.displacement(pred, t.select("track_id", "frame", "x", "y", "valid"), ["track_id"], "rollout", "frame").select("track_id", *r6("ade", "min_ade"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def windowed_counts(spark, sf):
+    from ..streaming import incremental
+
+    return incremental.windowed_counts(table(spark, sf, "events")).select("start", "event_type", "n", *r6("total"))
+
+
+@query("""
+WITH $TRACKS SELECT CAST(track_id AS VARCHAR) AS scenario_id, CAST(frame AS INTEGER) AS frame_index, CAST(kind AS INTEGER) AS object_type, x, y, valid FROM t
+""")
+def scenario_states(spark, sf):
+    """Tracks as scenario messages and back: encoded, decoded, and exploded into states."""
+    from ..sources import records
+
+    t = tracks(spark, sf)
+    state = F.struct("frame", "x", "y", "valid", "kind")
+    grouped = t.groupBy("track_id").agg(F.array_sort(F.collect_list(state)).alias("s"))
+
+    def encode(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for track, states in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [{"id": k, "object_type": s["kind"], "states": [{"center_x": s["x"], "center_y": s["y"], "valid": s["valid"]}]} for k, s in enumerate(states)]
+                out.append(records.encode({"scenario_id": str(track), "timestamps_seconds": [0.1], "current_time_index": 0, "tracks": rows}, records.SCENARIO))
+            yield pa.RecordBatch.from_arrays([pa.array(["events"] * len(out), pa.string()), pa.array(range(len(out)), pa.int64()), pa.array(out, pa.binary())], ["path", "record_index", "payload"])
+
+    states = records.track_states(records.scenarios(grouped.mapInArrow(encode, records.RAW)))
+    return states.select("scenario_id", F.col("track_id").alias("frame_index"), "object_type", "x", "y", "valid")
