@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ WINDOW = 4096
 BIN_TOKENS = 16
 END_ID = 2
 #: Words kept with their ids in each Python worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
+#: Texts whose new words are encoded together.
+GROUP_TEXTS = 128
 #: Pieces in a hash group within which ranks are counted.
 GROUP_PIECES = 50_000
 
@@ -52,17 +55,19 @@ def encode(texts: Iterable[bytes], path: str) -> Iterator[bytes]:
     parts in turn, and each part needs the tokenizer only once.
     """
     known = _cache.setdefault(path, {})
-    for text in texts:
-        parts = text.split()
-        new = list({p for p in parts if p not in known})
+    texts = iter(texts)
+    while group := list(islice(texts, GROUP_TEXTS)):
+        parts = [text.split() for text in group]
+        new = list({p for own in parts for p in own if p not in known})
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = list({p for own in parts for p in own})
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(parts))
             encoded = tokenizer(path).encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
             for p, e in zip(new, encoded, strict=True):
                 known[p] = np.array(e.ids, "<u4").tobytes()
-        yield b"".join(map(known.__getitem__, parts))
+        for own in parts:
+            yield b"".join(map(known.__getitem__, own))
 
 
 def piece_batches(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
