@@ -32,6 +32,8 @@ END_ID = 2
 CACHE_WORDS = 1_200_000
 #: Texts whose new words are encoded together.
 GROUP_TEXTS = 128
+#: New words in a text.
+LIST_WORDS = 4000
 #: Pieces in a hash group within which ranks are counted.
 GROUP_PIECES = 50_000
 
@@ -48,6 +50,16 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
+def encode_words(words: list[bytes], tokenizer) -> Iterator[tuple[bytes, bytes]]:
+    """(word, its ids) of words without white space, encoded as one text and told apart by the tokens' offsets."""
+    texts = [w.decode() for w in words]
+    encoded = tokenizer.encode(" ".join(texts), add_special_tokens=False)
+    ids = np.array(encoded.ids, "<u4").tobytes()
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    at = (4 * np.searchsorted(np.array([o[0] for o in encoded.offsets], np.int64), starts)).tolist()
+    return ((w, ids[a:b]) for w, a, b in zip(words, at[:-1], at[1:], strict=True))
+
+
 def encode(texts: Iterable[bytes], path: str) -> Iterator[bytes]:
     """Little-endian unsigned 32-bit ids of each text.
 
@@ -62,10 +74,8 @@ def encode(texts: Iterable[bytes], path: str) -> Iterator[bytes]:
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
             new = list({p for own in parts for p in own})
-        if new:
-            encoded = tokenizer(path).encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            for p, e in zip(new, encoded, strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
+        for i in range(0, len(new), LIST_WORDS):
+            known.update(encode_words(new[i : i + LIST_WORDS], tokenizer(path)))
         for own in parts:
             yield b"".join(map(known.__getitem__, own))
 
