@@ -217,7 +217,8 @@ def lane_edges(s: DataFrame) -> DataFrame:
     """(scenario_id, src, dst, kind): entry, exit, left and right."""
     f = s.select("scenario_id", F.explode("map_features").alias("f")).where("f.feature_kind = 'lane'")
     kinds = {"entry": "entry_lanes", "exit": "exit_lanes", "left": "left_neighbors", "right": "right_neighbors"}
-    links = F.flatten(F.array(*[F.transform(f"f.{c}", lambda d, k=k: F.struct(d.alias("dst"), F.lit(k).alias("kind"))) for k, c in kinds.items()]))
+    named = lambda kind: lambda d: F.struct(d.alias("dst"), F.lit(kind).alias("kind"))
+    links = F.flatten(F.array(*[F.transform(f"f.{c}", named(k)) for k, c in kinds.items()]))
     return f.select("scenario_id", F.col("f.id").alias("src"), F.explode(links).alias("e")).select("scenario_id", "src", "e.dst", "e.kind")
 
 
