@@ -213,3 +213,20 @@ def test_islands_partition_the_frames(spark, frames):
     got = windows.islands(spark.createDataFrame([("k", f) for f in frames], "k string, frame int"), ["k"], "frame").collect()
     covered = [f for r in got for f in range(r.start, r.end)]
     assert sorted(covered) == sorted(set(frames))
+
+
+def test_kernels(spark):
+    from tracklode.operators import kernels
+
+    rng = np.random.default_rng(5)
+    line = 3 + 2 * np.arange(12.0) - 0.5 * np.arange(12.0) ** 2
+    assert np.allclose(kernels.polynomial_smooth(line), line)
+    noisy = rng.normal(size=15)
+    fit = np.polyval(np.polyfit(np.arange(-3, 4), noisy[4:11], 2), 0)
+    assert kernels.polynomial_smooth(noisy)[7] == pytest.approx(fit)
+    states = [(0.0, True), (3.0, True), (0.1, True), (2.5, False), (3.1, True), (-0.2, True)]
+    got = spark.createDataFrame([(states,)], "s array<struct<heading:double,valid:boolean>>").select(kernels.repaired_headings(F.col("s")).alias("h")).first().h
+    assert got == [0.0, 0.0, 0.1, 2.5, 0.1, -0.2]
+    fan = np.array([(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (1.0, 1.0, 0.5)])
+    steps = spark.createDataFrame([("a", 0, 0.0, 0.0, 0.0), ("a", 1, 1.1, 0.0, 0.0), ("a", 2, 2.0, 1.2, 0.4), ("b", 0, 5.0, 5.0, 0.0)], "k string, step int, x double, y double, heading double")
+    assert rows(kernels.match_tokens(steps, fan, "k", "step"), "k", "step", "token", "x") == [("a", 1, 1, 1.0), ("a", 2, 2, 2.0)]

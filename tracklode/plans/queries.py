@@ -559,3 +559,65 @@ def scenario_states(spark, sf):
 
     states = records.track_states(records.scenarios(grouped.mapInArrow(encode, records.RAW)))
     return states.select("scenario_id", F.col("track_id").alias("frame_index"), "object_type", "x", "y", "valid")
+
+
+@query("""
+WITH $TRACKS SELECT track_id, frame, CASE WHEN event_id % 13 = 0 THEN 'DRIVEWAY' WHEN event_id % 11 = 0 OR (vx >= 0 AND x <= 30.0) OR (vy >= 0 AND y <= 1.5) THEN 'INTERSECTION' ELSE 'ROAD_SEGMENT' END AS road FROM t
+""")
+def road_classes(spark, sf):
+    from ..operators import kernels
+
+    t = tracks(spark, sf)
+    road = kernels.road_class(F.col("event_id") % 11 == 0, F.when(F.col("vx") >= 0, F.col("x")), F.when(F.col("vy") >= 0, F.col("y") * 10), F.col("event_id") % 13 == 0)
+    return t.select("track_id", "frame", road.alias("road"))
+
+
+@query(f"""
+WITH {NEAREST_SQL.split(",\nb AS")[0]}, k AS (SELECT vec_id, token, d2, row_number() OVER (PARTITION BY vec_id ORDER BY d2, token) AS r FROM d WHERE token < 8),
+i AS (SELECT *, CASE WHEN r > 1 THEN 1.0 / (d2 + 1e-6) ELSE 0.0 END AS inv FROM k)
+SELECT vec_id, token, round(CASE WHEN r = 1 THEN 0.9 ELSE 0.1 * inv / sum(inv) OVER (PARTITION BY vec_id) END, 6) AS weight FROM i
+""")
+def soft_targets(spark, sf):
+    from ..operators import kernels
+
+    e = table(spark, sf, "embeddings")
+    words = F.broadcast(e.where("vec_id < 8").select(F.col("vec_id").alias("token"), F.col("embedding").alias("tv")))  # 8 rows of the vocabulary
+    d = e.where("vec_id >= 64").join(words).select("vec_id", "token", joins.squared_distance(F.col("embedding"), F.col("tv")).alias("d2"))
+    return kernels.soft_targets(d, ["vec_id"], "token", "d2").select("vec_id", "token", *r6("weight"))
+
+
+@query("""
+SELECT o_custkey, o_orderkey, CAST(floor(o_custkey / 300.0) AS BIGINT) AS shard FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1
+""")
+def first_rollouts(spark, sf):
+    from ..operators import kernels
+
+    return kernels.first_per_key(table(spark, sf, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], 300).select("o_custkey", "o_orderkey", "shard")
+
+
+@query()
+def heading_repair(spark, sf):
+    """A fold over each track; tests compare it with a loop."""
+    from ..operators import kernels
+
+    t = tracks(spark, sf).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("frame", "heading", "valid"))).alias("s"))
+    return t.select("track_id", F.posexplode(kernels.repaired_headings(F.col("s"))).alias("frame", "heading"))
+
+
+@query()
+def smoothed_tracks(spark, sf):
+    """Least-squares smoothing; tests compare it with polynomial fits."""
+    from ..operators import kernels
+
+    return kernels.smooth_tracks(tracks(spark, sf), "track_id", "frame", "x", "valid")
+
+
+@query()
+def matched_tokens(spark, sf):
+    """Sequential quantization with a fan of endpoints; tests compare it with a loop."""
+    import numpy as np
+
+    from ..operators import kernels
+
+    fan = np.array([(r * np.cos(a), r * np.sin(a), a) for r in (0.0, 5.0, 20.0, 60.0) for a in np.linspace(-1.0, 1.0, 9)])
+    return kernels.match_tokens(tracks(spark, sf), fan, "track_id", "frame")
