@@ -621,3 +621,40 @@ def matched_tokens(spark, sf):
 
     fan = np.array([(r * np.cos(a), r * np.sin(a), a) for r in (0.0, 5.0, 20.0, 60.0) for a in np.linspace(-1.0, 1.0, 9)])
     return kernels.match_tokens(tracks(spark, sf), fan, "track_id", "frame")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT CAST(o_custkey % 20 AS BIGINT) AS g, o_custkey AS src, o_custkey + o_orderkey % 3 * 20 AS dst FROM orders), u AS (SELECT g, src AS a, dst AS b FROM e UNION SELECT g, dst, src FROM e),
+r AS (SELECT g, a AS node, a AS root FROM u UNION SELECT u.g, u.b, r.root FROM r JOIN u ON r.g = u.g AND r.node = u.a AND r.root < u.b)
+SELECT g, node, least(node, min(root)) AS component FROM r GROUP BY g, node
+""")
+def lane_components(spark, sf):
+    from ..operators import graph
+
+    e = table(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("g"), F.col("o_custkey").alias("src"), (F.col("o_custkey") + F.col("o_orderkey") % 3 * 20).alias("dst"))
+    return graph.components(e, "g")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT CAST(o_custkey % 20 AS BIGINT) AS g, o_custkey AS src, o_custkey + (1 + o_orderkey % 3) * 20 AS dst, 1.0 + o_orderkey % 3 AS w FROM orders),
+s AS (SELECT g, min(src) AS node FROM e GROUP BY g), d AS (SELECT g, node, 0.0 AS distance FROM s UNION SELECT e.g, e.dst, d.distance + e.w FROM d JOIN e ON d.g = e.g AND d.node = e.src WHERE d.distance + e.w <= 6.0)
+SELECT g, node, CAST(min(distance) AS DOUBLE) AS distance FROM d GROUP BY g, node
+""")
+def lane_distances(spark, sf):
+    from ..operators import graph
+
+    e = table(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("g"), F.col("o_custkey").alias("src"), (F.col("o_custkey") + (1 + F.col("o_orderkey") % 3) * 20).alias("dst"), (1.0 + F.col("o_orderkey") % 3).alias("length")).distinct()
+    return graph.distances(e, e.groupBy("g").agg(F.min("src").alias("node")), "g", most=6.0)
+
+
+@query("""
+WITH $TRACKS, a AS (SELECT track_id, frame, heading FROM t WHERE frame < 12), g AS (SELECT *, heading - coalesce(lag(heading) OVER (PARTITION BY track_id ORDER BY heading), max(heading) OVER (PARTITION BY track_id) - 2 * pi()) AS gap FROM a),
+w AS (SELECT track_id, heading AS origin FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY gap DESC, heading) AS k FROM g) WHERE k = 1),
+u AS (SELECT track_id, frame, CASE WHEN heading >= origin THEN heading ELSE heading + 2 * pi() END AS turned FROM a JOIN w USING (track_id)),
+f AS (SELECT *, CASE WHEN turned - lag(turned) OVER (PARTITION BY track_id ORDER BY turned) > 0.5 THEN 1 ELSE 0 END AS fresh FROM u)
+SELECT track_id, frame, CAST(sum(fresh) OVER (PARTITION BY track_id ORDER BY turned) AS BIGINT) AS cluster FROM f
+""")
+def circular_clusters(spark, sf):
+    from ..operators import graph
+
+    return graph.circular_clusters(tracks(spark, sf).where("frame < 12"), ["track_id"], "heading", 0.5).select("track_id", "frame", "cluster")
