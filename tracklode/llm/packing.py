@@ -15,8 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterable, Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +23,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
+from .textkit import U64, space_table, text_chunks, word_hashes, word_spans
 
 WINDOW = 4096
 BIN_TOKENS = 16
 END_ID = 2
 #: Words kept with their ids in each Python worker.
-CACHE_WORDS = 1_200_000
-#: Texts whose new words are encoded together.
-GROUP_TEXTS = 128
+CACHE_WORDS = 2_000_000
+#: Bytes of text whose words are looked up together.
+CHUNK_BYTES = 1 << 20
 #: New words in a text.
 LIST_WORDS = 4000
 #: Pieces in a hash group within which ranks are counted.
 GROUP_PIECES = 50_000
 
-_cache: dict[str, dict[bytes, bytes]] = {}
+_cache: dict[str, WordIds] = {}
 _tokenizers: dict[str, object] = {}
 
 
@@ -50,51 +50,84 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-def encode_words(words: list[bytes], tokenizer) -> Iterator[tuple[bytes, bytes]]:
-    """(word, its ids) of words without white space, encoded as one text and told apart by the tokens' offsets."""
+def encode_words(words: list[bytes], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, number of ids of each) of words without white space, encoded as one text and told apart by offsets."""
     texts = [w.decode() for w in words]
     encoded = tokenizer.encode(" ".join(texts), add_special_tokens=False)
-    ids = np.array(encoded.ids, "<u4").tobytes()
     starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    at = (4 * np.searchsorted(np.array([o[0] for o in encoded.offsets], np.int64), starts)).tolist()
-    return ((w, ids[a:b]) for w, a, b in zip(words, at[:-1], at[1:], strict=True))
-
-
-def encode(texts: Iterable[bytes], path: str) -> Iterator[bytes]:
-    """Little-endian unsigned 32-bit ids of each text.
+    return np.array(encoded.ids, np.uint32), np.diff(np.searchsorted(np.array([o[0] for o in encoded.offsets], np.int64), starts))
+
+
+class WordIds:
+    """The ids of known words by the words' 64-bit hashes, about 30 bytes a word, in sorted arrays."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.start, self.count, self.pool = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def missing(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of sorted hashes in the arrays, which of them are not there)."""
+        at = np.searchsorted(self.hashes, hashes)
+        if not len(self.hashes):
+            return at, np.ones(len(hashes), bool)
+        return at, self.hashes[np.minimum(at, len(self.hashes) - 1)] != hashes
+
+    def places(self, hashes: np.ndarray, words: Callable[[np.ndarray], list[bytes]]) -> np.ndarray:
+        """Places of sorted, distinct hashes; words() gives the words of those that are new."""
+        at, new = self.missing(hashes)
+        if len(self.hashes) + new.sum() > CACHE_WORDS:
+            self.clear()
+            at, new = self.missing(hashes)
+        if new.any():
+            which = np.flatnonzero(new)
+            got = [encode_words(words(which[i : i + LIST_WORDS]), tokenizer(self.path)) for i in range(0, len(which), LIST_WORDS)]
+            count = np.concatenate([c for _, c in got])
+            start = len(self.pool) + np.cumsum(count) - count
+            self.pool = np.concatenate([self.pool, *(ids for ids, _ in got)])
+            for name, values in (("hashes", hashes[which]), ("start", start), ("count", count)):
+                setattr(self, name, np.insert(getattr(self, name), at[which], values))
+            at = np.searchsorted(self.hashes, hashes)
+        return at
+
+
+def encode(texts: pa.Array, path: str, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, offsets of the rows in them) of runs of texts, the end id last in every row.
 
     The vocabulary marks word ends and drops white space, so the ids of a text are those of its white-space-separated
     parts in turn, and each part needs the tokenizer only once.
     """
-    known = _cache.setdefault(path, {})
-    texts = iter(texts)
-    while group := list(islice(texts, GROUP_TEXTS)):
-        parts = [text.split() for text in group]
-        new = list({p for own in parts for p in own if p not in known})
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list({p for own in parts for p in own})
-        for i in range(0, len(new), LIST_WORDS):
-            known.update(encode_words(new[i : i + LIST_WORDS], tokenizer(path)))
-        for own in parts:
-            yield b"".join(map(known.__getitem__, own))
+    known = _cache.setdefault(path, WordIds(path))
+    for lo, hi, data, offs in text_chunks(texts, CHUNK_BYTES):
+        starts, ends, row = word_spans(data, offs, space_table())
+        hashes, first, inverse = np.unique(word_hashes(data, starts, ends, fold=False), return_index=True, return_inverse=True)
+        at = known.places(hashes, lambda which: [data[starts[i] : ends[i]].tobytes() for i in first[which]])[inverse]
+        count = known.count[at].astype(np.int64)
+        total = np.cumsum(count)
+        ids = known.pool[np.repeat(known.start[at] - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
+        per_row = np.bincount(row, weights=count, minlength=hi - lo).astype(np.int64)
+        out = np.full(len(ids) + hi - lo, end_id, "<u4")
+        out[np.arange(len(ids)) + np.repeat(np.arange(hi - lo), per_row)] = ids
+        yield out, np.concatenate([[0], np.cumsum(per_row + 1)])
 
 
 def piece_batches(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        source = (x.as_py() or b"" for x in batch.column(1).cast(pa.binary()))
         at, start, length, crc, total = [], [], [], [], []
-        for row, ids in enumerate(encode(source, path)):
-            ids += end
-            n = len(ids) // 4
-            for s in range(0, n, window):
-                own = ids[4 * s : 4 * (s + window)]
-                at.append(row)
-                start.append(s)
-                length.append(len(own) // 4)
-                crc.append(zlib.crc32(own))
-                total.append(n)
+        row = 0
+        for ids, offs in encode(batch.column(1), path, end_id):
+            data = memoryview(ids.tobytes())
+            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                for s in range(a, b, window):
+                    e = min(s + window, b)
+                    at.append(row)
+                    start.append(s - a)
+                    length.append(e - s)
+                    crc.append(zlib.crc32(data[4 * s : 4 * e]))
+                    total.append(b - a)
+                row += 1
         cols = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
         yield pa.RecordBatch.from_arrays(cols, ["id", "start", "length", "ids_crc32", "doc_tokens"])
 

@@ -26,10 +26,11 @@ def space_table() -> np.ndarray:
 
 
 @cache
-def byte_values() -> np.ndarray:
-    """A random 64-bit value for each byte; A-Z share the values of a-z."""
+def byte_values(fold: bool = True) -> np.ndarray:
+    """A random 64-bit value for each byte; with fold, A-Z share the values of a-z."""
     v = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-    v[65:91] = v[97:123]
+    if fold:
+        v[65:91] = v[97:123]
     return v
 
 
@@ -90,12 +91,12 @@ def word_spans(data: np.ndarray, offs: np.ndarray, sep: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte runs, A-Z taken as a-z."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hashes of the byte runs; with fold, A-Z are taken as a-z."""
     n = len(data)
     up, down = powers(n + 1)
     total = np.zeros(n + 1, U64)
-    np.cumsum(byte_values()[data] * up[:n], out=total[1:])
+    np.cumsum(byte_values(fold)[data] * up[:n], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
