@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path
+from .common import BROADCAST_KEYS, cut, new_path
 
 ARCHIVE_BYTES = 16 << 20
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
@@ -46,7 +46,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.col("payload"))})
     # Only groups of equal payloads are joined back, on the digest and the size.
     first = cut(rows.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
-    return rows.join(first, ["digest", "payload_bytes"], "left").withColumn("refers_to", F.when(F.col("first") < F.col("id"), F.col("first"))).drop("first")
+    few = first.count() <= BROADCAST_KEYS  # then the payloads need no shuffle for this
+    return rows.join(F.broadcast(first) if few else first, ["digest", "payload_bytes"], "left").withColumn("refers_to", F.when(F.col("first") < F.col("id"), F.col("first"))).drop("first")
 
 
 def write_archives(rows: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
