@@ -66,6 +66,33 @@ def test_embeddings_match_brute_force(spark):
     assert all((found[i].n_links, found[i].component_id, found[i].kept) == (0, i, True) for i, _ in odd)
 
 
+def brute_components(links):
+    label = np.arange(len(links))
+    for _ in range(len(links)):
+        label = np.minimum(label, np.where(links, label[None, :], len(links)).min(axis=1, initial=len(links)))
+    return label
+
+
+def arc(degrees):
+    return [(i + 1, [float(np.cos(a)), float(np.sin(a)), 0.0]) for i, a in enumerate(np.deg2rad(degrees))]
+
+
+@pytest.mark.parametrize("part_nodes", [4, 1500])
+def test_embedding_chains_are_one_component(spark, part_nodes):
+    # Links (18 degrees at most): 1-3, 2-3, 3's smallest is 1; 4-6, 5-6, 5-7; 8 alone; and a long chain whose ids are shuffled.
+    rng = np.random.default_rng(4)
+    degrees = [0.0, 24.0, 12.0, 60.0, 84.0, 72.0, 96.0, 130.0, *(160.0 + 12.0 * rng.permutation(12))]
+    data = arc(degrees)
+    v = np.array([x for _, x in data])
+    links = v @ v.T >= 0.95
+    np.fill_diagonal(links, False)
+    got, recall = embed.near_duplicates(vectors(spark, data), settings=embed.Settings(part_nodes=part_nodes))
+    want = brute_components(links)
+    assert recall == 1.0
+    assert rows(got, "vec_id", "n_links", "component_id") == sorted(((i + 1, int(links[i].sum()), int(want[i]) + 1) for i in range(len(v))), key=repr)
+    assert [int(x) + 1 for x in want[:8]] == [1, 1, 1, 4, 4, 4, 4, 8]
+
+
 def test_embeddings_empty_and_single(spark):
     assert embed.near_duplicates(vectors(spark, []))[0].count() == 0
     got, _ = embed.near_duplicates(vectors(spark, [(4, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0])]))

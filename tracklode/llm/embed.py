@@ -6,7 +6,8 @@ too large is split by a hash into parts of bounded size. Each part builds its ow
 lists of a node from all its parts are united, and the united lists are what the search walks: from the part's medoids it
 expands greedily, keeps a beam, and once it is inside the similarity range it expands every node of the range. Found
 pairs are verified by the cosine in double precision. A pair that meets in several parts is counted in the first one
-only, so no pairs leave the tasks: counts and one tree edge for each node do. Queries of a split shard visit all its
+only, so no pairs leave the tasks: counts do, and one edge for each node and part, which together are a spanning forest
+of all pairs the part found. Queries of a split shard visit all its
 parts. Recall is audited against brute force on a bounded sample of queries; while it is below the target, the index is
 searched again with a wider beam and more shards for each node.
 
@@ -138,8 +139,22 @@ def search(v: np.ndarray, graph: tuple[np.ndarray, np.ndarray], queries: np.ndar
     return np.nonzero(sims >= threshold)
 
 
+def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label (the smallest place of each place's component) once the places a[i] and b[i] are linked too."""
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low < high
+        if not apart.any():
+            return label
+        parent = np.arange(len(label))
+        np.minimum.at(parent, high[apart], low[apart])
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        label = parent[label]
+
+
 def search_part(part: pd.DataFrame, threshold: float, beam: int, shard: int, block: int = 256) -> pd.DataFrame:
-    """Links of the part's queries with its members: (node, links, low): links counted here, smallest linked node.
+    """Links of the part's queries with its members: (node, links, low): links counted here, smallest node reached over all links found here.
 
     Rows: node, v, mult, shards, near (null for a query from another part of the shard).
     """
@@ -175,7 +190,8 @@ def search_part(part: pd.DataFrame, threshold: float, beam: int, shard: int, blo
     offs = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
     graph = offs, np.array([y for x in lists for y in x], np.int64)
     links = np.zeros(len(nodes), np.int64)
-    low = nodes.astype(np.int64).copy()
+    order, at = np.unique(nodes.astype(np.int64), return_inverse=True)
+    label = np.arange(len(order))
     look = lambda rows: search(v, graph, v_all[rows], entries, threshold, beam)
     # What one member finds of another holds for both.
     found = np.zeros((len(inside), len(inside)), bool)
@@ -199,8 +215,8 @@ def search_part(part: pd.DataFrame, threshold: float, beam: int, shard: int, blo
             common = np.where(both & (s < common), s, common)
         first = common == shard
         links += np.bincount(q[first], weights=mult[node[first]], minlength=len(nodes)).astype(np.int64)
-        np.minimum.at(low, q, nodes[node])
-    return pd.DataFrame({"node": nodes, "links": links, "low": low})
+        label = merge_labels(label, at[q], at[node])
+    return pd.DataFrame({"node": nodes, "links": links, "low": order[label[at]]})
 
 
 def audit_batches(batches: Iterator[pa.RecordBatch], queries: np.ndarray, names: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -214,7 +230,7 @@ def audit_batches(batches: Iterator[pa.RecordBatch], queries: np.ndarray, names:
 
 
 def graph_links(nodes: DataFrame, s: Settings) -> DataFrame:
-    """(node, links, low) for every node (node, v, mult) that has a link, by one build and search."""
+    """(node, links, low) for every node (node, v, mult) in each of its parts, by one build and search."""
     spark = nodes.sparkSession
     n = nodes.count()
     sample = nodes.orderBy(F.xxhash64("node", F.lit(11))).limit(s.sample).select("v").toPandas()
@@ -233,7 +249,7 @@ def graph_links(nodes: DataFrame, s: Settings) -> DataFrame:
     visit = spread.where("parts > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("to <> part")
     visit = visit.select("shard", F.col("to").alias("part"), "node", "v", "mult", "shards", F.lit(None).cast("array<long>").alias("near"), F.lit(False).alias("member"))
     found = own.unionByName(visit).groupBy("shard", "part").applyInPandas(lambda key, part: search_part(part, s.threshold, s.beam, int(key[0])), "node long, links long, low long")
-    return cut(found.groupBy("node").agg(F.sum("links").alias("links"), F.min("low").alias("low")), "found")
+    return cut(found, "found")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings | None = None) -> tuple[DataFrame, float]:
@@ -254,13 +270,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         truth = nodes.select("node", "v", "mult").mapInArrow(lambda it: audit_batches(it, queries, names, s.threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).toPandas()
         for _ in range(3):
             found = graph_links(nodes, s)
-            got = found.where(F.col("node").isin([int(x) for x in names])).select("node", "links").toPandas()
+            got = found.where(F.col("node").isin([int(x) for x in names])).groupBy("node").agg(F.sum("links").alias("links")).toPandas()
             recall = float(got["links"].sum() / max(1, truth["links"].sum())) if truth["links"].sum() else 1.0
             if recall >= s.target_recall:
                 break
             s = replace(s, overlap=2 * s.overlap, beam=2 * s.beam)
     comps = connected_components(found.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")))
-    per_node = nodes.join(found.select("node", "links"), "node", "left").join(comps, "node", "left")
+    per_node = nodes.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(comps, "node", "left")
     per_node = cut(per_node.select("v", "mult", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")), "per_node")
     ok = rows.where("ok").join(per_node, "v").select("id", (F.col("links") + F.col("mult") - 1).alias("n_links"), F.col("component").alias("component_id"))
     out = ok.unionByName(rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
