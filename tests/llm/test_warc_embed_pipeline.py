@@ -93,6 +93,18 @@ def test_embedding_chains_are_one_component(spark, part_nodes):
     assert [int(x) + 1 for x in want[:8]] == [1, 1, 1, 4, 4, 4, 4, 8]
 
 
+def test_embeddings_repeated_ids_and_lengths(spark):
+    east, north, flat = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, 2.0]
+    # Two different vectors have 5 as their smallest id; equal vectors of the rarer length link with each other.
+    data = [(5, east), (5, north), (9, north), (11, [1.0, 0.05, 0.0]), (20, flat), (21, flat), (22, [1.0, 2.1]), (23, [2.0, -1.0])]
+    got, recall = embed.near_duplicates(vectors(spark, data))
+    assert recall == 1.0
+    want = [(5, 1, 5, True), (5, 1, 5, True), (9, 1, 5, False), (11, 1, 5, False), (20, 2, 20, True), (21, 2, 20, False), (22, 2, 20, False), (23, 0, 23, True)]
+    assert rows(got, "vec_id", "n_links", "component_id", "kept") == sorted(want, key=repr)
+    got, _ = embed.near_duplicates(vectors(spark, [(1, east), (2, flat), (3, north[:1] + [1.0])]), settings=embed.Settings(part_nodes=1))
+    assert rows(got, "vec_id", "n_links", "component_id") == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
+
+
 def test_embeddings_empty_and_single(spark):
     assert embed.near_duplicates(vectors(spark, []))[0].count() == 0
     got, _ = embed.near_duplicates(vectors(spark, [(4, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0])]))

@@ -1,6 +1,6 @@
 """Embedding near-dedup over a flat robust-pruned graph.
 
-Equal vectors are one node. Medoids (chosen from a bounded hash sample, their number following that of the nodes, half by density and half by
+Equal vectors are one node, with a number of its own; components are named by ids at the end. Medoids (chosen from a bounded hash sample, their number following that of the nodes, half by density and half by
 farthest distance) define shards; every node goes to its nearest few medoids, which makes the shards overlap, and a shard that is still
 too large is split by a hash into parts of bounded size. Each part builds its own neighbour lists with robust pruning; the
 lists of a node from all its parts are united, and the united lists are what the search walks: from the part's medoids it
@@ -11,9 +11,11 @@ of all pairs the part found. Queries of a split shard visit all its
 parts. Recall is audited against brute force on a bounded sample of queries; while it is below the target, the index is
 searched again with a wider beam and more shards for each node.
 
-Defined cases: a vector that is null, zero, or holds null or non-finite components, and one whose length differs from
-the most common length, links with nothing; rows with a null id are dropped; rows that repeat an id are separate
-vectors under one id; an empty table gives an empty result; other columns are not read.
+Vectors of different lengths do not link; each length is a table of its own. The most common length, and any other of more
+than a part's nodes, has its own graph; all shorter tables are compared exactly, each in one task.
+
+Defined cases: a vector that is null, zero, or holds null or non-finite components links with nothing; rows with a null id
+are dropped; rows that repeat an id are separate vectors under one id; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -229,6 +231,18 @@ def audit_batches(batches: Iterator[pa.RecordBatch], queries: np.ndarray, names:
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array((hit * batch.column(2).to_numpy()[None, :]).sum(axis=1).astype(np.int64))], ["node", "links"])
 
 
+def exact_part(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(node, links, low) of a table of at most a part's nodes, by all pairs."""
+    nodes = part["node"].to_numpy(np.int64)
+    v = unit(np.stack(part["v"].to_numpy()).astype(np.float64))
+    hit = v @ v.T >= threshold
+    np.fill_diagonal(hit, False)
+    order, at = np.unique(nodes, return_inverse=True)
+    a, b = np.nonzero(hit)
+    label = merge_labels(np.arange(len(order)), at[a], at[b])
+    return pd.DataFrame({"node": nodes, "links": (hit * part["mult"].to_numpy(np.int64)[None, :]).sum(axis=1), "low": order[label[at]]})
+
+
 def graph_links(nodes: DataFrame, s: Settings) -> DataFrame:
     """(node, links, low) for every node (node, v, mult) in each of its parts, by one build and search."""
     spark = nodes.sparkSession
@@ -252,32 +266,44 @@ def graph_links(nodes: DataFrame, s: Settings) -> DataFrame:
     return cut(found, "found")
 
 
+def audited_links(nodes: DataFrame, s: Settings) -> tuple[DataFrame, int, int]:
+    """(links of nodes of one length; links of the audited nodes that were found; all they have)."""
+    sample = nodes.orderBy(F.xxhash64("node", F.lit(23))).limit(s.audit_queries).toPandas()
+    queries, names = unit(np.stack(sample["v"].to_numpy()).astype(np.float64)), sample["node"].to_numpy()
+    truth = nodes.select("node", "v", "mult").mapInArrow(lambda it: audit_batches(it, queries, names, s.threshold), "node long, links long").agg(F.sum("links").alias("links")).first()
+    true = int(truth["links"] or 0)
+    for _ in range(3):
+        found = graph_links(nodes, s)
+        caught = int(found.where(F.col("node").isin([int(x) for x in names])).agg(F.sum("links").alias("links")).first()["links"] or 0)
+        if not true or caught / true >= s.target_recall:
+            break
+        s = replace(s, overlap=2 * s.overlap, beam=2 * s.beam)
+    return found, caught, true
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings | None = None) -> tuple[DataFrame, float]:
     """(one row per vector: id_col, n_links, component_id, kept; audited recall)."""
     s = settings or Settings()
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
     fine = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = cut(rows.withColumn("ok", F.coalesce(fine, F.lit(False))), "rows")
-    size = rows.where("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == (size["d"] if size else 0)))
-    nodes = cut(rows.where("ok").groupBy("v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("mult")).dropDuplicates(["node"]), "nodes")
-    n = nodes.count()
-    if n < 2:
-        found, recall = rows.select(F.col("id").alias("node"), F.lit(0).cast("long").alias("links"), F.col("id").alias("low")).where(F.lit(False)), 1.0
-    else:
-        sample = nodes.orderBy(F.xxhash64("node", F.lit(23))).limit(s.audit_queries).toPandas()
-        queries, names = unit(np.stack(sample["v"].to_numpy()).astype(np.float64)), sample["node"].to_numpy()
-        truth = nodes.select("node", "v", "mult").mapInArrow(lambda it: audit_batches(it, queries, names, s.threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).toPandas()
-        for _ in range(3):
-            found = graph_links(nodes, s)
-            got = found.where(F.col("node").isin([int(x) for x in names])).groupBy("node").agg(F.sum("links").alias("links")).toPandas()
-            recall = float(got["links"].sum() / max(1, truth["links"].sum())) if truth["links"].sum() else 1.0
-            if recall >= s.target_recall:
-                break
-            s = replace(s, overlap=2 * s.overlap, beam=2 * s.beam)
-    comps = connected_components(found.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")))
-    per_node = nodes.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(comps, "node", "left")
-    per_node = cut(per_node.select("v", "mult", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")), "per_node")
-    ok = rows.where("ok").join(per_node, "v").select("id", (F.col("links") + F.col("mult") - 1).alias("n_links"), F.col("component").alias("component_id"))
+    # The number of a node is its place in the written table; its smallest id may also be that of other vectors.
+    nodes = cut(rows.where("ok").groupBy("v").agg(F.min("id").alias("low_id"), F.count(F.lit(1)).alias("mult")).sortWithinPartitions("low_id", "v").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    sizes = nodes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum("mult").alias("rows"))
+    common = sizes.where("n > 1").orderBy(F.desc("rows"), "d").first()
+    big = {r.d for r in sizes.where(F.col("n") > s.part_nodes).collect()} | ({common.d} if common else set())
+    small = nodes.where(~F.size("v").isin(sorted(big))) if big else nodes
+    found = cut(small.groupBy(F.size("v").alias("d")).applyInPandas(lambda part: exact_part(part, s.threshold), "node long, links long, low long"), "exact")
+    caught = true = 0
+    for d in sorted(big):
+        more, hits, all_ = audited_links(nodes.where(F.size("v") == d), s)
+        found, caught, true = found.unionByName(more), caught + hits, true + all_
+    recall = caught / true if true else 1.0
+    comps = cut(connected_components(found.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b"))), "components")
+    names = comps.join(nodes.select("node", "low_id"), "node").groupBy("component").agg(F.min("low_id").alias("name"))
+    named = comps.join(names, "component").select("node", "name")
+    per_node = nodes.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(named, "node", "left")
+    per_node = cut(per_node.select("v", "mult", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("name", "low_id").alias("component")), "per_node")
+    ok = rows.where("ok").join(per_node, "v", "left").select("id", (F.col("links") + F.col("mult") - 1).alias("n_links"), F.col("component").alias("component_id"))
     out = ok.unionByName(rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept")), recall
