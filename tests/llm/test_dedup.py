@@ -165,3 +165,20 @@ def test_repeated_passages(spark):
         assert r.n_words >= 50 and own[r.start : r.start + r.n_words] == other[r.other_start : r.other_start + r.n_words]
     assert {(r.doc_id, r.n_words) for r in got.collect()} == {(2, 60), (3, 60), (5, 90)}
     assert suffixdedup.repeated_passages(documents(spark, [])).count() == 0
+
+
+def test_repeated_passages_under_common_grams(spark):
+    # Many documents share notices of 30 words; two of them also share the 30 words in front, and go on differently.
+    data, i = [], 100
+    for k in range(8):
+        notice, lead = prose(5000 + k, 30, 10**6), prose(6000 + k, 30, 10**6)
+        for j in range(40):
+            front = lead if j in (13, 31) else prose(7000 + 100 * k + j, 30, 10**6)
+            data.append((i, f"{front} {notice} {prose(9000 + 100 * k + j, 60, 10**6)}"))
+            i += 1
+    # A middle of 40 words: one document shares it with what stands before, another with what stands behind.
+    a, m, b = prose(1, 30, 10**6), prose(2, 40, 10**6), prose(3, 30, 10**6)
+    data += [(1, f"{a} {m} {prose(4, 60, 10**6)}"), (2, f"{prose(5, 60, 10**6)} {m} {b}"), (3, f"{a} {m} {b}")]
+    got = rows(suffixdedup.repeated_passages(documents(spark, data)), "doc_id", "start", "n_words", "other_doc_id", "other_start")
+    want = [(100 + 40 * k + 31, 0, 60, 100 + 40 * k + 13, 0) for k in range(8)] + [(3, 0, 70, 1, 0), (3, 30, 70, 2, 60)]
+    assert got == sorted(want, key=repr)

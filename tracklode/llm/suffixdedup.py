@@ -4,7 +4,10 @@ Suffixes are kept only where a minimiser stands: in every window of min_words -
 with the smallest hash, so any passage of min_words words holds a kept suffix at the same place in all its copies. Kept
 suffixes whose gram occurs once are dropped. The others are sorted by the words that follow (then by those before), range
 partitioned with the place as the last key, so that a passage in a third of all documents spreads over many tasks, and
-each suffix is compared with the few before it. A match is extended to the right and to the left over up to
+each suffix is compared with the few before it. That covers all pairs of a gram with few places only, so under grams with
+more, the windows of min_words words that chose the suffix are hashed too, and each is compared with the smallest place of
+its hash: every window that a smaller id holds too is found, however common its gram. Of the matches of a suffix all that lie in no other
+are kept. A match is extended to the right and to the left over up to
 min_words - GRAM words each; the matches of a long passage overlap and are merged along their diagonal. Equal texts are
 reported as one match of the whole text with the smallest id; only that one is searched.
 
@@ -31,6 +34,8 @@ MIN_WORDS = 50
 GRAM = 10
 #: Each suffix is compared with so many before it in the order.
 BACK = 8
+#: At most so many leading places (about 400 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_LEADERS = 50_000
 
 
 def chunk_words(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -52,19 +57,25 @@ def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at).astype(np.int64)), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64))], ["id", "n_words", "k1", "k2"])
 
 
-def minimisers(words: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word index, row, gram hash) of the kept suffixes."""
+def chosen(words: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of each window of min_words words inside a row, the place of its minimiser, row of each word)."""
     width = min_words - GRAM + 1
     grams = gram_hashes(words, GRAM)
-    if len(grams) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    if len(grams) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), row
     first = np.arange(len(grams) - width + 1)
     first = first[row[first] == row[first + min_words - 1]]
     view = np.lib.stride_tricks.sliding_window_view(grams, width)
     best = np.concatenate([first[i : i + 65536] + view[first[i : i + 65536]].argmin(axis=1) for i in range(0, len(first), 65536)]) if len(first) else first
+    return first, best, row
+
+
+def minimisers(words: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word index, row, gram hash) of the kept suffixes."""
+    _, best, row = chosen(words, at, min_words)
     best = np.unique(best)
-    return best, row[best], grams[best]
+    return best, row[best], gram_hashes(words, GRAM)[best] if len(best) else np.zeros(0, U64)
 
 
 def minimiser_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -75,15 +86,23 @@ def minimiser_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iter
 
 
 def context_batches(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
-    """(id, pos, gram, after, before): words after the gram and before it, nearest first, 4 bytes each, 0 beyond the text."""
+    """(id, pos, gram, after, before, windows): words after the gram and before it, nearest first, 4 bytes each, 0 beyond the text.
+
+    windows: hashes of the windows that chose the place, if it is among the row's places of common grams.
+    """
     for batch in batches:
-        places = batch.column(2).to_pylist()
+        places, commons = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         for lo, hi, words, at in chunk_words(batch, 1):
             short = (words >> U64(32)).astype(np.uint32) | np.uint32(1)
             own = [np.asarray(p, np.int64) for p in places[lo:hi]]
             row = np.repeat(np.arange(hi - lo), [len(p) for p in own])
             pos = np.concatenate(own) if own else np.zeros(0, np.int64)
             grams = gram_hashes(words, GRAM)
+            heavy = np.concatenate([at[i] + np.asarray(p, np.int64) for i, p in enumerate(commons[lo:hi])]) if hi > lo else np.zeros(0, np.int64)
+            first, best, _ = chosen(words, at, reach + GRAM) if len(heavy) else (np.zeros(0, np.int64), np.zeros(0, np.int64), None)
+            some = np.isin(best, heavy)
+            first, best = first[some], best[some]  # best does not fall: the leftmost minimum moves with its window
+            keys = gram_hashes(words, reach + GRAM)[first].view(np.int64) if len(first) else np.zeros(0, np.int64)
             for i in range(0, len(pos), 8192):
                 r, p = row[i : i + 8192], pos[i : i + 8192]
                 begin, end, here = at[r][:, None], at[r + 1][:, None], (at[r] + p)[:, None]
@@ -92,7 +111,12 @@ def context_batches(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[p
                     ok = (idx >= begin) & (idx < end)
                     sides.append(np.where(ok, short[np.clip(idx, 0, len(short) - 1)], 0).astype(">u4"))
                 binary = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * reach), len(p), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary()) for x in sides]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(r)), pa.array(p.astype(np.int32)), pa.array(grams[here[:, 0]].view(np.int64)), *binary], ["id", "pos", "gram", "after", "before"])
+                from_, to = np.searchsorted(best, here[:, 0]), np.searchsorted(best, here[:, 0], side="right")
+                n = to - from_
+                offs = np.concatenate([[0], np.cumsum(n)])
+                own_keys = keys[np.repeat(from_ - offs[:-1], n) + np.arange(offs[-1])]
+                windows = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(own_keys, pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(r)), pa.array(p.astype(np.int32)), pa.array(grams[here[:, 0]].view(np.int64)), *binary, windows], ["id", "pos", "gram", "after", "before", "windows"])
 
 
 def same_length(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,8 +125,27 @@ def same_length(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
+def longest(later: np.ndarray, left: np.ndarray, right: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Places of the matches that lie in no other match of the same suffix; of equal ones that with the smallest other id."""
+    order = np.lexsort((other, -right, -left, later))
+    group = np.cumsum(np.concatenate([[True], later[order][1:] != later[order][:-1]])) if len(order) else order
+    height = group * 2**20 + right[order] + 1
+    before = np.concatenate([[0], np.maximum.accumulate(height)[:-1]]) if len(order) else order
+    return order[height > before]
+
+
+def extended_batches(batches: Iterator[pa.RecordBatch], reach: int, min_words: int) -> Iterator[pa.RecordBatch]:
+    """Matches of pairs (id, pos, after, before, other, other_pos, other_after, other_before)."""
+    for batch in batches:
+        side = lambda i: np.frombuffer(b"".join(batch.column(i).to_pylist()), ">u4").reshape(batch.num_rows, reach)  # noqa: B023, E731
+        left, right = same_length(side(3), side(7)), same_length(side(2), side(6))
+        ok = np.flatnonzero(left + GRAM + right >= min_words)
+        col = lambda i: batch.column(i).to_numpy().astype(np.int64)[ok]  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (col(0), col(1) - left[ok], (left + GRAM + right)[ok], col(4), col(5) - left[ok])], ["id", "start", "n_words", "other", "other_start"])
+
+
 def neighbour_batches(batches: Iterator[pa.RecordBatch], reach: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    """Matches (id, start, n_words, other, other_start) with one of the rows before, best first; and the edge rows.
+    """Matches (id, start, n_words, other, other_start) with the rows before that lie in no other; and the edge rows.
 
     Edge rows (edge true, with their columns) are the first and last BACK rows of the partition, for the pairs that
     stand on both sides of a partition's border.
@@ -128,8 +171,7 @@ def neighbour_batches(batches: Iterator[pa.RecordBatch], reach: int, min_words:
         ids, pos, gram = (rows[x].to_numpy() for x in ("id", "pos", "gram"))
         sides = [np.frombuffer(b"".join(rows[x].to_pylist()), ">u4").reshape(len(ids), reach) for x in ("after", "before")]
         n_rows, skip = len(ids), 0 if held is None else held.num_rows
-        best = np.zeros(n_rows, np.int64)
-        found = np.zeros((n_rows, 4), np.int64)
+        found: list[np.ndarray] = [np.zeros((4, 0), np.int64)]
         # Besides its neighbours, a row meets the smallest id so far under its gram: every copy but the first has an earlier one.
         run = np.concatenate([[0], np.cumsum(gram[1:] != gram[:-1])])
         rank = np.unique(ids, return_inverse=True)[1] - run * n_rows
@@ -141,18 +183,16 @@ def neighbour_batches(batches: Iterator[pa.RecordBatch], reach: int, min_words:
             if not len(a):
                 continue
             left, right = same_length(sides[1][a], sides[1][b]), same_length(sides[0][a], sides[0][b])
-            total = left + GRAM + right
             later, earlier = np.where(ids[b] > ids[a], b, a), np.where(ids[b] > ids[a], a, b)
-            order = np.argsort(total, kind="stable")
-            order = order[(total[order] >= min_words) & (total[order] > best[later[order]])]
-            later, earlier, left, total = later[order], earlier[order], left[order], total[order]
-            best[later] = total
-            found[later] = np.stack([ids[later], pos[later] - left, ids[earlier], pos[earlier] - left], axis=1)
+            ok = left + GRAM + right >= min_words
+            found.append(np.stack([later, earlier, left, right])[:, ok])
+        later, earlier, left, right = np.concatenate(found, axis=1)
+        keep = longest(later, left, right, ids[earlier])
+        later, earlier, left, right = later[keep], earlier[keep], left[keep], right[keep]
         tail = np.arange(max(0, n_rows - BACK), n_rows)
         first, held = False, rows.take(pa.array(np.unique([least[-1], *tail])))
-        hit = best > 0
-        n = int(hit.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(found[hit, 0]), pa.array(found[hit, 1]), pa.array(best[hit]), pa.array(found[hit, 2]), pa.array(found[hit, 3]), pa.array(np.zeros(n, bool)), *(pa.nulls(n, schema.field(x).type) for x in ("pos", "gram", "after", "before"))], schema=schema)
+        n = len(later)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[later]), pa.array(pos[later] - left), pa.array(left + GRAM + right), pa.array(ids[earlier]), pa.array(pos[earlier] - left), pa.array(np.zeros(n, bool)), *(pa.nulls(n, schema.field(x).type) for x in ("pos", "gram", "after", "before"))], schema=schema)
     if held is not None:
         yield edges(held)
 
@@ -160,6 +200,19 @@ def neighbour_batches(batches: Iterator[pa.RecordBatch], reach: int, min_words:
 MATCHES = "id long, start long, n_words long, other long, other_start long, edge boolean, pos int, gram long, after binary, before binary"
 
 
+def window_matches(contexts: DataFrame, reach: int, min_words: int) -> DataFrame:
+    """Matches (id, start, n_words, other, other_start) of every hashed window with the smallest place that holds it."""
+    windows = contexts.select("id", "pos", F.explode("windows").alias("window"))
+    leads = cut(windows.groupBy("window").agg(F.min(F.struct("id", "pos")).alias("m"), F.max("id").alias("high")).where("m.id < high").select("window", F.col("m.id").alias("other"), F.col("m.pos").alias("other_pos")), "leads")
+    pairs = cut(windows.join(leads, "window").where("id > other").select("id", "pos", "other", "other_pos").distinct(), "window_pairs")
+    sides = contexts.select("id", "pos", "after", "before")
+    theirs = sides.select(F.col("id").alias("other"), F.col("pos").alias("other_pos"), F.col("after").alias("other_after"), F.col("before").alias("other_before"))
+    theirs = cut(theirs.join(leads.select("other", "other_pos").distinct(), ["other", "other_pos"], "left_semi"), "leaders")
+    theirs = F.broadcast(theirs) if theirs.count() <= BROADCAST_LEADERS else theirs
+    both = pairs.join(sides, ["id", "pos"]).join(theirs, ["other", "other_pos"]).select("id", "pos", "after", "before", "other", "other_pos", "other_after", "other_before")
+    return both.mapInArrow(lambda it: extended_batches(it, reach, min_words), "id long, start long, n_words long, other long, other_start long")
+
+
 def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated passage: id_col, start, n_words, other_<id_col>, other_start (places in words from 0).
 
@@ -175,9 +228,9 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     whole = copies.select("id", F.lit(0).cast("long").alias("start"), "n_words", F.col("rep").alias("other"), F.lit(0).cast("long").alias("other_start"))
 
     sampled = cut(docs.mapInArrow(lambda it: minimiser_batches(it, min_words), "id long, pos int, gram long").join(copies.select("id").distinct(), "id", "left_anti").dropDuplicates(["id", "pos"]), "minimisers")
-    grams = cut(sampled.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("gram"), "grams")
-    places = sampled.join(grams, "gram").groupBy("id").agg(F.collect_list("pos").alias("places"))
-    contexts = docs.dropDuplicates(["id"]).join(places, "id").select("id", "text", "places").mapInArrow(lambda it: context_batches(it, reach), "id long, pos int, gram long, after binary, before binary")
+    grams = cut(sampled.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("gram", (F.col("n") > BACK).alias("common")), "grams")
+    places = sampled.join(grams, "gram").groupBy("id").agg(F.collect_list("pos").alias("places"), F.collect_list(F.when(F.col("common"), F.col("pos"))).alias("commons"))
+    contexts = docs.dropDuplicates(["id"]).join(places, "id").select("id", "text", "places", "commons").mapInArrow(lambda it: context_batches(it, reach), "id long, pos int, gram long, after binary, before binary, windows array<long>")
     contexts = cut(contexts, "contexts")
     order = ["gram", "after", "before", "id", "pos"]
     compare = lambda it: neighbour_batches(it, reach, min_words)
@@ -185,6 +238,7 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     # At most 2 * BACK edge rows a partition: the borders of the partitions are compared in one small sort.
     border = found.where("edge").select("id", "pos", "gram", "after", "before").distinct().coalesce(1).sortWithinPartitions(*order).mapInArrow(compare, MATCHES)
     spans = found.where("not edge").unionByName(border.where("not edge")).select("id", "start", "n_words", "other", "other_start").distinct()
+    spans = spans.unionByName(cut(window_matches(contexts, reach, min_words), "window_matches")).distinct()
     # Overlapping matches on one diagonal are one passage.
     way = Window.partitionBy("id", "other", "diagonal").orderBy("start", "n_words")
     spans = spans.withColumn("diagonal", F.col("start") - F.col("other_start")).withColumn("end", F.col("start") + F.col("n_words"))
