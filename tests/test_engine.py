@@ -230,3 +230,55 @@ def test_kernels(spark):
     fan = np.array([(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (1.0, 1.0, 0.5)])
     steps = spark.createDataFrame([("a", 0, 0.0, 0.0, 0.0), ("a", 1, 1.1, 0.0, 0.0), ("a", 2, 2.0, 1.2, 0.4), ("b", 0, 5.0, 5.0, 0.0)], "k string, step int, x double, y double, heading double")
     assert rows(kernels.match_tokens(steps, fan, "k", "step"), "k", "step", "token", "x") == [("a", 1, 1, 1.0), ("a", 2, 2, 2.0)]
+
+
+def test_whole_input_queries_match_loops(spark):
+    from tracklode.plans.queries import tagged
+    from tracklode.plans.tables import table, tracks
+
+    headings = {}
+    for r in tracks(spark, SF).select("track_id", "frame", "heading").collect():
+        headings.setdefault(r.track_id, []).append((r.heading, r.frame))
+    assert max(len(x) for x in headings.values()) > 12
+    want = []
+    for track, own in headings.items():
+        own.sort()
+        gaps = [own[i][0] - (own[i - 1][0] if i else own[-1][0] - 2 * math.pi) for i in range(len(own))]
+        at, cluster = max(range(len(own)), key=lambda i: (gaps[i], -own[i][0])), 0
+        for j in range(len(own)):
+            i = (at + j) % len(own)
+            cluster += j > 0 and gaps[i] > 0.5
+            want.append((track, own[i][1], cluster))
+    assert rows(QUERIES["circular_clusters_all"](spark, SF), "track_id", "frame", "cluster") == sorted(want)
+
+    seen = {(r.track_id, r.tag, r.frame) for r in tagged(spark, SF).collect()}
+    starts = {}
+    for track, tag, frame in seen:
+        if (track, tag, frame - 1) not in seen:
+            starts.setdefault(track, {}).setdefault(frame, []).append(tag.lower())
+    assert max(max(x) for x in starts.values()) >= 6
+    join = lambda x: x[0] if len(x) == 1 else " and ".join(x) if len(x) == 2 else ", ".join(x[:-1]) + ", and " + x[-1]
+    prompt = lambda at: " ".join(f"{'Then, the' if k else 'The'} target is {join(sorted(at[f]))}." for k, f in enumerate(sorted(at)))
+    assert rows(QUERIES["ordered_sentences_all"](spark, SF), "track_id", "prompt") == sorted((t, prompt(at)) for t, at in starts.items())
+
+    e = {r.vec_id: np.array(r.embedding, float) for r in table(spark, SF, "embeddings").select("vec_id", "embedding").collect()}
+    weight = {(r.vec_id, r.token): r.weight for r in QUERIES["soft_targets_all"](spark, SF).collect()}
+    words = [t for t in sorted(e) if t < 64]
+    assert set(weight) == {(v, t) for v in e if v >= 64 for t in words}
+    for v in [x for x in e if x >= 64]:
+        d2 = np.array([((e[v] - e[t]) ** 2).sum() for t in words])
+        inv = np.where(np.arange(len(words)) == d2.argmin(), 0.0, 1 / (d2 + 1e-6))
+        assert np.allclose([weight[v, t] for t in words], np.where(inv == 0, 0.9, 0.1 * inv / inv.sum()), atol=2e-6)
+
+    orders = {r.o_orderkey: r for r in table(spark, SF, "orders").collect()}
+    line = {}
+    for r in table(spark, SF, "lineitem").select("l_orderkey", "l_linestatus").collect():
+        line[r.l_orderkey] = min(line.get(r.l_orderkey, r.l_linestatus), r.l_linestatus)
+    status = lambda k: "right_only" if k not in orders else "left_only" if k not in line else "matched" if orders[k].o_orderstatus == line[k] else "mismatch"
+    counts = {}
+    for k in {*orders, *line}:
+        counts[status(k)] = counts.get(status(k), 0) + 1
+    assert rows(QUERIES["aligned_audit_all"](spark, SF), "status", "n") == sorted(counts.items())
+    a, b = {r.o_custkey for r in orders.values()}, {r.c_custkey for r in table(spark, SF, "customer").collect()}
+    got = {r.side: r.n for r in QUERIES["key_audit_all"](spark, SF).collect()}
+    assert {x: got.get(x, 0) for x in ("both", "only_a", "only_b")} == {"both": len(a & b), "only_a": len(a - b), "only_b": len(b - a)}

@@ -409,7 +409,16 @@ p AS (SELECT track_id, s, CASE WHEN len(l) = 1 THEN l[1] WHEN len(l) = 2 THEN l[
 SELECT track_id, string_agg(CASE WHEN k = 1 THEN 'The' ELSE 'Then, the' END || ' target is ' || phrase || '.', ' ' ORDER BY s) AS prompt FROM p GROUP BY track_id
 """)
 def ordered_sentences(spark, sf):
-    runs = windows.islands(tagged(spark, sf), ["track_id", "tag"], "frame").where("start < 6")
+    return sentences(windows.islands(tagged(spark, sf), ["track_id", "tag"], "frame").where("start < 6"))
+
+
+@query()
+def ordered_sentences_all(spark, sf):
+    """All intervals of each track; tests compare it with a loop."""
+    return sentences(windows.islands(tagged(spark, sf), ["track_id", "tag"], "frame"))
+
+
+def sentences(runs: DataFrame) -> DataFrame:
     at = runs.groupBy("track_id", "start").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     phrase = text.join_phrases(F.transform("tags", F.lower))
     ordered = F.array_sort(F.collect_list(F.struct("start", phrase.alias("p"))))
@@ -578,10 +587,20 @@ i AS (SELECT *, CASE WHEN r > 1 THEN 1.0 / (d2 + 1e-6) ELSE 0.0 END AS inv FROM
 SELECT vec_id, token, round(CASE WHEN r = 1 THEN 0.9 ELSE 0.1 * inv / sum(inv) OVER (PARTITION BY vec_id) END, 6) AS weight FROM i
 """)
 def soft_targets(spark, sf):
+    return token_weights(spark, sf, 8)
+
+
+@query()
+def soft_targets_all(spark, sf):
+    """The whole vocabulary of nearest_token; tests compare it with a loop."""
+    return token_weights(spark, sf, 64)
+
+
+def token_weights(spark: SparkSession, sf: str, size: int) -> DataFrame:
     from ..operators import kernels
 
     e = table(spark, sf, "embeddings")
-    words = F.broadcast(e.where("vec_id < 8").select(F.col("vec_id").alias("token"), F.col("embedding").alias("tv")))  # 8 rows of the vocabulary
+    words = F.broadcast(e.where(F.col("vec_id") < size).select(F.col("vec_id").alias("token"), F.col("embedding").alias("tv")))
     d = e.where("vec_id >= 64").join(words).select("vec_id", "token", joins.squared_distance(F.col("embedding"), F.col("tv")).alias("d2"))
     return kernels.soft_targets(d, ["vec_id"], "token", "d2").select("vec_id", "token", *r6("weight"))
 
@@ -658,3 +677,25 @@ def circular_clusters(spark, sf):
     from ..operators import graph
 
     return graph.circular_clusters(tracks(spark, sf).where("frame < 12"), ["track_id"], "heading", 0.5).select("track_id", "frame", "cluster")
+
+
+@query()
+def circular_clusters_all(spark, sf):
+    """All frames of each track; tests compare it with a loop."""
+    from ..operators import graph
+
+    return graph.circular_clusters(tracks(spark, sf), ["track_id"], "heading", 0.5).select("track_id", "frame", "cluster")
+
+
+@query()
+def aligned_audit_all(spark, sf):
+    """All orders and items; tests compare it with a loop."""
+    left = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
+    right = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.min("l_linestatus").alias("v"))
+    return joins.aligned(left, right, ["k"], ["v"]).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def key_audit_all(spark, sf):
+    """All orders and customers; tests compare it with a loop."""
+    return joins.key_audit(table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), "k")
