@@ -5,6 +5,8 @@ language is the sum of log probabilities of its byte trigrams (A-Z as a-z, word
 smoothed, hashed counts. Viterbi over the words of a text, with one penalty for every change of language, gives spans;
 the text's language is the one with most letters in them and the score is its share of the letters.
 
+A run of letters of more than 2**18 bytes in a text of more than twice that is taken as several words.
+
 Defined cases: null text or text without letters is 'und' with score 0; ties go to the language that sorts first; a
 training table without usable rows makes every text 'und'; rows that repeat are predicted one by one; other columns are
 not read. Only ids, texts and labels of training rows are learned from; a prediction reads the text alone.
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textkit import text_chunks, word_spans
 
 BUCKET_BITS = 16
@@ -30,7 +33,7 @@ TRAIN_ROWS = 20_000
 SMOOTHING = 0.5
 #: A language is a candidate for a script that holds at least this share of its letters.
 SCRIPT_SHARE = 0.002
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 # Unicode block ranges by script (first, last, script).
 SCRIPT_RANGES = [
@@ -94,14 +97,16 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(batch.column(1).to_pylist(), object)
-        for lo, hi, data, offs in text_chunks(batch.column(0)):
+        parts = ((lo + row, part, own) for lo, _, data, offs in text_chunks(batch.column(0)) for row, _, part, own in pieces(data, offs))
+        for lo, data, offs in parts:
             if not len(data):
                 continue
             inside, at, script = byte_letters(data)
             buckets = trigrams(data, inside)
             row = np.searchsorted(offs, np.arange(len(data)), "right") - 1
-            for lang in set(langs[lo:hi]):
-                own = np.isin(row, np.flatnonzero(langs[lo:hi] == lang))
+            some = langs[lo : lo + len(offs) - 1]
+            for lang in set(some):
+                own = np.isin(row, np.flatnonzero(some == lang))
                 total = totals.setdefault(lang, np.zeros((1 << BUCKET_BITS) + len(SCRIPTS), np.int64))
                 total += np.bincount(np.concatenate([buckets[own & inside], (1 << BUCKET_BITS) + script[own[at]].astype(np.int64)]), minlength=len(total))
     for lang, total in totals.items():
@@ -111,6 +116,7 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
     """Learn from about train_rows of the rows that have id, text and language (all of them where there are fewer)."""
+    small_batches(rows.sparkSession)
     rows = rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     share = min(1.0, train_rows / max(1, rows.count()))
     rows = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -149,8 +155,9 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH_PENA
     starts = bounds[:-1][order]
     lengths = n[order]
     many = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), "right")
-    came = np.zeros(scores.shape, np.uint8)
-    own = np.arange(scores.shape[1], dtype=np.uint8)
+    number = np.min_scalar_type(max(0, scores.shape[1] - 1))
+    came = np.zeros(scores.shape, number)
+    own = np.arange(scores.shape[1], dtype=number)
     value = np.zeros((len(n), scores.shape[1]), np.float32)
     for t, m in enumerate(many):
         v = value[:m]
@@ -162,7 +169,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH_PENA
             v = np.maximum(v, change)
         v = v + scores[at]
         value[:m] = v - v.max(axis=1, keepdims=True)
-    path = np.zeros(len(scores), np.uint8)
+    path = np.zeros(len(scores), number)
     state = value.argmax(axis=1)
     for t in range(len(many) - 1, -1, -1):
         m = many[t]
@@ -182,8 +189,10 @@ def keep_batches(batches: Iterator[pa.RecordBatch], column: int, model: Model, p
 
 def keep_identified(documents: DataFrame, model: Model, text_col: str = "text", penalty: float = SWITCH_PENALTY, min_score: float = 0.5) -> DataFrame:
     """The rows, columns unchanged, whose text has letters and a language that holds at least min_score of them."""
+    small_batches(documents.sparkSession)
     at = documents.columns.index(text_col)
-    return documents.mapInArrow(lambda it: keep_batches(it, at, model, penalty, min_score), documents.schema)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    return documents.mapInArrow(lambda it: keep_batches(it, at, shared.value, penalty, min_score), documents.schema)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
@@ -195,9 +204,11 @@ def predict_batches(batches: Iterator[pa.RecordBatch], model: Model, penalty: fl
     for batch in batches:
         for lo, hi, data, offs in text_chunks(batch.column(0), BLOCK_BYTES):
             rest = [c.slice(lo, hi - lo) for c in batch.columns[1:]]
-            got = [word_scores(model, *part) for part in pieces(data, offs)] if model.languages else []
-            shift = np.cumsum([0, *[len(p) for p, _ in pieces(data, offs)]])
-            rows = np.cumsum([0, *[len(o) - 1 for _, o in pieces(data, offs)]])
+            got, shift, rows = [], [], []
+            for first, at, part, own in pieces(data, offs) if model.languages else ():
+                got.append(word_scores(model, part, own))
+                shift.append(at)
+                rows.append(first)
             n_rows = hi - lo
             if got and sum(len(g[0]) for g in got):
                 scores, letters = np.concatenate([g[0] for g in got]), np.concatenate([g[4] for g in got])
@@ -224,18 +235,35 @@ def predict_batches(batches: Iterator[pa.RecordBatch], model: Model, penalty: fl
             yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[1:], "lang_pred", "score", *["spans"] * spans])
 
 
-def pieces(data: np.ndarray, offs: np.ndarray, limit: int = 1 << 18) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Runs of rows of about limit bytes, so that the work arrays of a piece stay in the cache."""
-    out, row = [], 0
+def pieces(data: np.ndarray, offs: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, first byte, bytes, row offsets) of runs of rows of about limit bytes, so that work arrays stay small.
+
+    A row of more than twice that is several pieces, cut behind the last ASCII byte that is no letter, or in front of a
+    character where there is none: a run of letters of more than limit bytes counts as several words.
+    """
+    row = 0
     while row < len(offs) - 1:
         end = max(row + 1, int(np.searchsorted(offs, offs[row] + limit, "right")) - 1)
-        out.append((data[offs[row] : offs[end]], offs[row : end + 1] - offs[row]))
+        lo, hi = int(offs[row]), int(offs[end])
+        if hi - lo <= 2 * limit:
+            yield row, lo, data[lo:hi], offs[row : end + 1] - lo
+        else:
+            while lo < hi:
+                cut = min(lo + limit, hi)
+                if cut < hi:
+                    block = data[lo:cut]
+                    plain = np.flatnonzero((block < 65) | ((block > 90) & (block < 97)) | ((block > 122) & (block < 128)))
+                    whole = np.flatnonzero((data[lo + 1 : cut + 1] & 0xC0) != 0x80)
+                    cut = lo + 1 + int(plain[-1] if len(plain) else whole[-1])
+                yield row, lo, data[lo:cut], np.array([0, cut - lo])
+                lo = cut
         row = end
-    return out
 
 
 def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY, spans: bool = False) -> DataFrame:
     """id_col, lang_pred, score and, if asked for, spans, one row per row of documents."""
+    small_batches(documents.sparkSession)
     kind = documents.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
-    return documents.select(F.col(text_col).alias("_tl_text"), id_col).mapInArrow(lambda it: predict_batches(it, model, penalty, spans), schema)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    return documents.select(F.col(text_col).alias("_tl_text"), F.col(id_col)).mapInArrow(lambda it: predict_batches(it, shared.value, penalty, spans), schema)

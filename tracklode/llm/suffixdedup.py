@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
-from .textkit import U64, gram_hashes, mix, runs, space_table, text_chunks, word_hashes, word_spans
+from .common import cut, small_batches
+from .textkit import U64, chunk_words, gram_hashes, mix, runs
 
 MIN_WORDS = 50
 GRAM = 10
@@ -38,17 +38,16 @@ BACK = 8
 BROADCAST_LEADERS = 50_000
 
 
-def chunk_words(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def row_words(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, word hashes, offsets of each row's words)."""
-    for lo, hi, data, offs in text_chunks(batch.column(column)):
-        starts, ends, rows = word_spans(data, offs, space_table())
-        yield lo, hi, word_hashes(data, starts, ends), runs(rows, hi - lo)
+    for lo, hi, _, _, _, rows, hashes in chunk_words(batch.column(column)):
+        yield lo, hi, hashes, runs(rows, hi - lo)
 
 
 def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n_words, two hashes of the whole word sequence)."""
     for batch in batches:
-        for lo, hi, words, at in chunk_words(batch, 1):
+        for lo, hi, words, at in row_words(batch, 1):
             keys = np.zeros((hi - lo, 2), U64)
             place = (np.arange(len(words)) - np.repeat(at[:-1], np.diff(at))).astype(U64)
             for j, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
@@ -80,7 +79,7 @@ def minimisers(words: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.nd
 
 def minimiser_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, words, at in chunk_words(batch, 1):
+        for lo, hi, words, at in row_words(batch, 1):
             place, row, gram = minimisers(words, at, min_words)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array((place - at[row]).astype(np.int32)), pa.array(gram.view(np.int64))], ["id", "pos", "gram"])
 
@@ -92,7 +91,7 @@ def context_batches(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[p
     """
     for batch in batches:
         places, commons = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        for lo, hi, words, at in chunk_words(batch, 1):
+        for lo, hi, words, at in row_words(batch, 1):
             short = (words >> U64(32)).astype(np.uint32) | np.uint32(1)
             own = [np.asarray(p, np.int64) for p in places[lo:hi]]
             row = np.repeat(np.arange(hi - lo), [len(p) for p in own])

@@ -91,13 +91,57 @@ def word_spans(data: np.ndarray, offs: np.ndarray, sep: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """64-bit hashes of the byte runs; with fold, A-Z are taken as a-z."""
+def raw_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """The sum of each byte's value times the base to the power of its place in the run, modulo 2**64."""
     n = len(data)
     up, down = powers(n + 1)
     total = np.zeros(n + 1, U64)
     np.cumsum(byte_values(fold)[data] * up[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+    return (total[ends] - total[starts]) * down[starts]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hashes of the byte runs; with fold, A-Z are taken as a-z."""
+    return mix(raw_hashes(data, starts, ends, fold) + (ends - starts).astype(U64))
+
+
+def long_words(data: np.ndarray, sep: np.ndarray, fold: bool, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the words of one long text, in blocks of limit bytes; a word may cross blocks."""
+    starts, ends, raws = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    held: tuple[int, int] | None = None  # start and sum of a word that touches the end of the block before
+    for lo in range(0, len(data), limit):
+        block = data[lo : lo + limit]
+        s, e, _ = word_spans(block, np.array([0, len(block)]), sep)
+        raw = raw_hashes(block, s, e, fold)
+        s, e = s + lo, e + lo
+        if held is not None:
+            if len(s) and s[0] == lo:
+                raw[0] = U64((held[1] + int(raw[0]) * pow(_BASE, lo - held[0], 1 << 64)) % (1 << 64))
+                s[0] = held[0]
+            else:
+                s, e, raw = np.append(held[0], s), np.append(lo, e), np.append(U64(held[1]), raw)
+        held = None
+        if len(e) and e[-1] == lo + len(block) < len(data):
+            held, s, e, raw = (int(s[-1]), int(raw[-1])), s[:-1], e[:-1], raw[:-1]
+        starts.append(s)
+        ends.append(e)
+        raws.append(raw)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
+    return starts, ends, mix(np.concatenate(raws) + (ends - starts).astype(U64))
+
+
+def chunk_words(texts: pa.Array, fold: bool = True, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, starts, ends, rows, hashes) of the words of runs of rows; words are as in space_table().
+
+    Work arrays are those of limit bytes of text at a time, however long a text is.
+    """
+    for lo, hi, data, offs in text_chunks(texts, limit):
+        if len(data) > 2 * limit:  # one row
+            starts, ends, hashes = long_words(data, space_table(), fold, limit)
+            yield lo, hi, data, starts, ends, np.zeros(len(starts), np.int64), hashes
+        else:
+            starts, ends, rows = word_spans(data, offs, space_table())
+            yield lo, hi, data, starts, ends, rows, word_hashes(data, starts, ends, fold)
 
 
 def runs(rows: np.ndarray, n_rows: int) -> np.ndarray:

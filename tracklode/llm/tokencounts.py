@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 LEAF_CHARS = 512
 #: Pre-tokens whose counts each Python worker keeps.
 CACHE_PRETOKENS = 400_000
@@ -163,6 +165,7 @@ def count_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, ed
 
 def edited_counts(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", editor: Callable[[str], list[Edit]] = redactions) -> DataFrame:
     """Per row: id_col, n_tokens, n_leaves, n_edits, n_encoded_again (leaves), n_tokens_edited."""
+    small_batches(documents.sparkSession)
     kind = documents.schema[id_col].dataType.simpleString()
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     got = rows.mapInArrow(lambda it: count_batches(it, path, pattern, editor), f"id {kind}, n_tokens long, n_leaves long, n_edits long, n_encoded_again long, n_tokens_edited long")
