@@ -10,7 +10,8 @@ of bounded size that emit tree edges only. No bucket is capped, no pairs inside
 is confirmed on the full sets of 64-bit shingle hashes.
 
 Defined cases: a text without words (or null) has an empty set and links with nothing; a row with a null id is never
-linked and never kept; rows that repeat an id stand for one node; other columns are not read.
+linked, and keep_first leaves it; a link belongs to the row's own set, so rows that repeat an id with different texts are
+told apart, and rows that repeat id and text are one document; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, without
-from .textkit import U64, mix, runs, shingles, space_table, text_chunks, word_hashes, word_spans
+from .common import connected_components, cut, small_batches, without
+from .textkit import U64, chunk_words, mix, runs, shingles
 
 UNIVERSE_BITS = 20
 BANDS, BAND_ROWS = 20, 5
+SET = ["n", "f1", "f2"]  # size and two sums of a set: its name
 #: Members of a block when a bucket's components are compared exactly.
 BLOCK = 400
 #: A list of at most so many ids is broadcast to pick documents; a longer one is joined by a shuffle.
@@ -46,9 +48,8 @@ def permutations(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
 
 def chunk_shingles(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, shingle hashes, offsets of each row's shingles)."""
-    for lo, hi, data, offs in text_chunks(batch.column(column)):
-        starts, ends, rows = word_spans(data, offs, space_table())
-        got, row = shingles(word_hashes(data, starts, ends), runs(rows, hi - lo), k)
+    for lo, hi, _, _, _, rows, hashes in chunk_words(batch.column(column)):
+        got, row = shingles(hashes, runs(rows, hi - lo), k)
         yield lo, hi, got, runs(row, hi - lo)
 
 
@@ -59,6 +60,11 @@ def signature(hashes: np.ndarray, coordinates: int, block: int = 20_000) -> np.n
     return np.minimum.reduce([shifted[at[i : i + block]].min(axis=0) for i in range(0, len(at), block)])
 
 
+def fingerprint(own: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two sums over the members of a set."""
+    return mix(own).sum(dtype=U64), mix(own ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64)
+
+
 def sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     salts = mix(np.arange(1, bands + 1, dtype=U64))
     for batch in batches:
@@ -71,7 +77,7 @@ def sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> It
                 if len(own):
                     own = own[np.concatenate([[True], own[1:] != own[:-1]])]
                     n[r] = len(own)
-                    marks[r] = mix(own).sum(dtype=U64), mix(own ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64)
+                    marks[r] = fingerprint(own)
                     sig = signature(own, bands * rows).astype(U64).reshape(bands, rows)
                     key = salts.copy()
                     for j in range(rows):
@@ -79,16 +85,18 @@ def sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> It
                     keys[r] = key
         flat = pa.array(keys[n > 0].reshape(-1).view(np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(marks[:, 0].view(np.int64)), pa.array(marks[:, 1].view(np.int64)), lists], ["id", "n", "f1", "f2", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(marks[:, 0].view(np.int64)), pa.array(marks[:, 1].view(np.int64)), lists], ["id", "tk", *SET, "bands"])
 
 
 def sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(id, distinct shingle hashes), in output batches of bounded size."""
+    """(id, the set's name, distinct shingle hashes), in output batches of bounded size."""
     for batch in batches:
         for lo, hi, got, at in chunk_shingles(batch, 1, k):
-            own = [np.unique(got[at[i] : at[i + 1]]).view(np.int64) for i in range(hi - lo)]
-            offs = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(own)))], ["id", "hashes"])
+            own = [np.unique(got[at[i] : at[i + 1]]) for i in range(hi - lo)]
+            n = np.array([len(x) for x in own], np.int64)
+            marks = np.array([fingerprint(x) for x in own], U64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(own).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(marks[:, 0]), pa.array(marks[:, 1]), lists], ["id", *SET, "hashes"])
 
 
 def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, per: int, hundred: int) -> np.ndarray:
@@ -168,27 +176,28 @@ def confirmed(pairs: DataFrame, full: DataFrame, per: int, hundred: int) -> Data
     return both.select("a", "b", common.alias("common"), (F.size("ha") + F.size("hb") - common).alias("both")).where(hundred * F.col("common") >= per * F.col("both")).select("a", "b")
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, per: int = 80, hundred: int = 100, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """One row per document: id_col, n_shingles, component_id, kept (id = component_id).
-
-    Documents are linked where hundred * |A & B| >= per * |A | B| over their sets of k-word shingles.
-    """
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(docs.mapInArrow(lambda it: sign(it, k, bands, rows), "id long, n long, f1 long, f2 long, bands array<long>"), "signed")
+def grouped(documents: DataFrame, id_col: str, text_col: str, k: int, per: int, hundred: int, bands: int, rows: int) -> DataFrame:
+    """(id, tk: hash of the text, n, component: smallest id reachable, lead: the row is the group's first set under that id)."""
+    small_batches(documents.sparkSession)
+    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tk"))
+    signed = cut(docs.mapInArrow(lambda it: sign(it, k, bands, rows), "id long, tk long, n long, f1 long, f2 long, bands array<long>"), "signed")
     known = signed.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    # Equal sets are one class, whatever its size; only its smallest id goes on.
-    classes = cut(known.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
-    reps = known.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    members = reps.select(F.explode("bands").alias("bucket"), F.col("id").alias("rep"), "n")
+    # Equal sets are one node, whatever their number; its smallest id may also be that of other sets.
+    classes = known.groupBy(*SET).agg(F.min("id").alias("low"), F.any_value("bands").alias("bands"))
+    nodes = cut(classes.sortWithinPartitions("low", *SET).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    members = nodes.select(F.explode("bands").alias("bucket"), F.col("node").alias("rep"), "n")
     hubs = cut(members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").drop("last"), "hubs")
     members = cut(members.join(hubs, "bucket"), "members")
 
     comps = None
     if not members.isEmpty():
-        wanted = cut(members.select(F.col("rep").alias("id")).distinct(), "wanted")
-        few = wanted.count() <= BROADCAST_IDS
-        picked = docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-        full = cut(picked.mapInArrow(lambda it: sets(it, k), "id long, hashes array<long>"), "sets")
+        wanted = cut(nodes.select("node", "low", *SET).join(members.select(F.col("rep").alias("node")).distinct(), "node", "left_semi").withColumnRenamed("low", "id"), "wanted")
+        hint = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda x: x)
+        picked = docs.join(hint(wanted.select("id").distinct()), "id", "left_semi")
+        full = picked.mapInArrow(lambda it: sets(it, k), "id long, n long, f1 long, f2 long, hashes array<long>").join(hint(wanted), ["id", *SET])
+        if not known.groupBy("id").count().where("count > 1").isEmpty():
+            full = full.dropDuplicates(["node"])
+        full = cut(full.select(F.col("node").alias("id"), "hashes"), "sets")
         sizes = members.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")).distinct()
         near = hundred * F.least("n", "hub_n") >= per * F.greatest("n", "hub_n")
         pairs = members.where("rep <> hub").select("hub", "rep", "n").distinct().join(sizes, "hub").where(near)
@@ -201,18 +210,32 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
             more = residual_links(cut(members.join(apart, "bucket"), "members"), full, per, hundred)
             comps = connected_components(links.unionByName(cut(more, "more")))
 
-    labels = classes.select("n", "f1", "f2", "rep")
+    labels = nodes.select(*SET, "low", "node")
     if comps is not None:
-        labels = labels.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        labels = labels.select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
+        own = comps.join(labels.select("node", "low"), "node")
+        # The group is named by its smallest id; of sets under that id the one with the smallest number leads.
+        heads = cut(own.groupBy("component").agg(F.min(F.struct("low", "node")).alias("head")), "heads")
+        labels = labels.join(own.join(heads, "component").select("node", "head"), "node", "left")
+        labels = labels.select(*SET, "low", F.coalesce("head.low", "low").alias("component"), F.coalesce(F.col("head.node") == F.col("node"), F.lit(True)).alias("first"))
     else:
-        labels = labels.withColumnRenamed("rep", "component")
-    out = signed.drop("bands").join(cut(labels, "labels"), ["n", "f1", "f2"], "left")
+        labels = labels.select(*SET, "low", F.col("low").alias("component"), F.lit(True).alias("first"))
+    out = signed.drop("bands").join(cut(labels, "labels"), SET, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    lead = F.coalesce(F.col("first") & (F.col("id") == F.col("low")), F.lit(True))
+    return out.select("id", "tk", "n", component.alias("component"), lead.alias("lead"))
+
+
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, per: int = 80, hundred: int = 100, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """One row per document: id_col, n_shingles, component_id, kept (id = component_id).
+
+    Documents are linked where hundred * |A & B| >= per * |A | B| over their sets of k-word shingles.
+    """
+    got = grouped(documents, id_col, text_col, k, per, hundred, bands, rows)
+    return got.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
-def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """documents without the members of each near-duplicate group but the one with the smallest id; null ids stay."""
-    gone = near_duplicates(documents, id_col, text_col, **kw).where(~F.col("kept") & F.col(id_col).isNotNull())
-    return without(documents, gone.select(F.col(id_col).alias("_tl_id")).distinct(), F.col(id_col) == F.col("_tl_id"))
+def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, per: int = 80, hundred: int = 100, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """documents without the members of each near-duplicate group but the first set of the smallest id; null ids stay."""
+    gone = grouped(documents, id_col, text_col, k, per, hundred, bands, rows).where(~F.col("lead") & F.col("id").isNotNull())
+    gone = gone.select(F.col("id").alias("_tl_id"), F.col("tk").alias("_tl_tk")).distinct()
+    return without(documents, gone, (F.col(id_col) == F.col("_tl_id")) & (F.xxhash64(F.col(text_col)) == F.col("_tl_tk")))
