@@ -6,7 +6,8 @@ rarest word. Documents are joined on that word alone; the positional bound (the
 document) and the length bound come next, and an exact comparison of the words at that place verifies the rest.
 
 Defined cases: null text has no words; an item without words or without an id is ignored; an empty benchmark hits
-nothing; rows that repeat both id and text give one result row; other columns of either table are not read.
+nothing; a null document id is an id like any other; rows that repeat give a result row each; other columns of either
+table are not read.
 """
 
 from __future__ import annotations
@@ -68,7 +69,8 @@ def window_hits(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
         return spread.join(F.broadcast(prefix), "key", "left").where((F.col("pos") == 0) | (F.col("win").isNotNull() & inside & same)).select(*out)
     spread = with_n.select("id", "text_key", "n_words", F.posexplode("w").alias("pos0", "word")).select("id", "text_key", "n_words", (F.col("pos0") + 1).alias("pos"), F.lower("word").alias("key"))
     places = spread.join(prefix, "key").where(inside).drop("key")
-    found = places.join(docs, ["id", "text_key"]).where(same).select(*out)
+    texts = docs.withColumnsRenamed({"id": "of", "text_key": "of_key"})
+    found = places.join(texts, F.col("id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key"))).where(same).select(*out)
     heads = with_n.select("id", "text_key", "n_words", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("string").alias("win"), F.lit(None).cast("array<string>").alias("items"))
     return heads.unionByName(found)
 
@@ -77,14 +79,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """Per document: id_col, text_key, n_words, n_hit, items (sorted ids as strings), contaminated (n_hit > 0 and share * n_hit >= n_words)."""
     hits = window_hits(documents, benchmark, id_col, text_col, item_col, size, broadcast_chars)
     place = F.when(F.col("win").isNotNull(), F.struct("start", "len"))
-    per = hits.groupBy("id", "text_key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(place)).alias("places"), F.collect_set("items").alias("items"))
+    # Rows that repeat are counted by their heads and given back one by one.
+    per = hits.groupBy("id", "text_key").agg(F.max("n_words").alias("n_words"), F.count_if(F.col("win").isNull()).cast("int").alias("rows"), F.array_sort(F.collect_set(place)).alias("places"), F.collect_set("items").alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     step = lambda acc, p: F.struct((acc["n"] + F.greatest(F.lit(0), p["start"] + p["len"] - F.greatest(acc["end"], p["start"]))).cast("long").alias("n"), F.greatest(acc["end"], p["start"] + p["len"]).alias("end"))
-    per = per.select(F.col("id").alias(id_col), "text_key", "n_words", F.aggregate("places", start, step, lambda acc: acc["n"]).alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"))
+    per = per.withColumn("row", F.explode(F.sequence(F.lit(1), "rows"))).select(F.col("id").alias(id_col), "text_key", "n_words", F.aggregate("places", start, step, lambda acc: acc["n"]).alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"))
     return per.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of documents that are not contaminated, columns unchanged; a null id is never contaminated."""
-    bad = contamination(documents, benchmark, id_col, text_col, **kw).where("contaminated").select(F.col(id_col).alias("_tl_id"), F.col("text_key").alias("_tl_key"))
-    return without(documents, bad, (F.col(id_col) == F.col("_tl_id")) & (F.xxhash64(F.col(text_col)) == F.col("_tl_key")))
+    """The rows of documents that are not contaminated, columns unchanged."""
+    bad = contamination(documents, benchmark, id_col, text_col, **kw).where("contaminated").select(F.col(id_col).alias("_tl_id"), F.col("text_key").alias("_tl_key")).distinct()
+    return without(documents, bad, F.col(id_col).eqNullSafe(F.col("_tl_id")) & (F.xxhash64(F.col(text_col)) == F.col("_tl_key")))
