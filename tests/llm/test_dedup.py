@@ -56,6 +56,16 @@ def test_minhash_empty_and_repeated_rows(spark):
     assert rows(got, "doc_id", "component_id", "kept") == [(3, 3, True), (5, 3, False), (5, 3, False)]
 
 
+def test_minhash_of_ids_with_several_texts(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    data = [(5, a), (5, b), (9, b), (8, a + " tail"), (5, a), (5, b + " tail"), (7, prose(3, 50))]
+    got = minhash.near_duplicates(documents(spark, data))
+    assert rows(got, "doc_id", "component_id", "kept") == sorted([(i, 7 if i == 7 else 5, i in (5, 7)) for i, _ in data], key=repr)
+    kept = minhash.keep_first(documents(spark, data))
+    texts = rows(kept, "doc_id", "text")
+    assert [t for t in texts if t != (5, b) and t != (5, b + " tail")] == sorted([(5, a), (5, a), data[6]], key=repr) and len(texts) == 4
+
+
 def test_keep_first_keeps_columns(spark):
     docs = documents(spark, near_copies())
     got = minhash.keep_first(docs, k=3, per=85)
@@ -94,6 +104,17 @@ def test_word_hashes_agree_with_plain_splitting():
     assert len(set(by_word.values())) == len(by_word)
 
 
+def test_long_texts_are_hashed_in_blocks():
+    rng = random.Random(1)
+    for t in range(60):
+        text = "".join(rng.choice(["a", "B", "é", " ", "\n", "xyz"]) for _ in range(rng.randrange(200)))
+        text = text.replace(" ", "q").replace("\n", "r") if t % 3 == 0 else text
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts, ends, _ = textkit.word_spans(data, np.array([0, len(data)]), textkit.space_table())
+        for got, want in zip(textkit.long_words(data, textkit.space_table(), True, 7), (starts, ends, textkit.word_hashes(data, starts, ends)), strict=True):
+            assert (got == want).all()
+
+
 def test_connected_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(7, 7), (None, 3)] + [(1000, i) for i in range(300, 380)]
@@ -150,8 +171,38 @@ def test_line_dedup_random_and_empty(spark):
     want = plain_line_dedup(data)
     got = {r.doc_id: r._tl_deleted for r in linededup.dedup_lines(documents(spark, data)).collect()}
     assert got == {i: len(want[i]) for i in got}
-    with pytest.raises(ValueError):
-        linededup.deleted_lines(linededup.LineSuffixes(documents(spark, data), "doc_id", "text"), min_lines=3)
+
+
+@pytest.mark.parametrize("min_lines", [1, 2, 3, 5])
+def test_line_dedup_runs_of_any_length(spark, min_lines):
+    rng = random.Random(min_lines)
+    stock = [[f"line {k} {j}" for j in range(7)] for k in range(6)]
+    data = []
+    for i in range(50):
+        lines = []
+        for _ in range(rng.randrange(1, 5)):
+            part = rng.choice(stock)
+            lines += part[rng.randrange(3) : rng.randrange(4, 8)] + [f"own {i}"] * rng.randrange(2)
+        data.append((i, "\n".join(lines)))
+    want = plain_line_dedup(data, min_lines)
+    got = {r.doc_id: r for r in linededup.dedup_lines(documents(spark, data), min_lines=min_lines, with_runs=True).collect()}
+    short = {r.doc_id: r._tl_deleted for r in linededup.dedup_lines(documents(spark, data), min_lines=min_lines).collect()}
+    assert {i: r._tl_deleted for i, r in got.items()} == {i: len(want[i]) for i in got} == short
+    lines = {i: t.split("\n") for i, t in data}
+
+    def longest(i):
+        places = [(j, a) for j in lines for a in range(len(lines[j]))]
+        best = 0
+        for a in range(len(lines[i])):
+            for j, b in places:
+                if (j, b) != (i, a):
+                    n = 0
+                    while a + n < len(lines[i]) and b + n < len(lines[j]) and lines[i][a + n] == lines[j][b + n]:
+                        n += 1
+                    best = max(best, n)
+        return best
+
+    assert all(got[i]._tl_longest == longest(i) for i in list(got)[::7])
 
 
 def test_repeated_passages(spark):

@@ -49,6 +49,18 @@ def test_contamination(spark, limit):
     assert kept.columns == documents(spark, docs).columns
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_contamination_of_null_ids_and_repeated_rows(spark, limit):
+    item = prose(1, 20)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = documents(spark, [(None, item), (None, "clean words"), (4, item), (4, item), (4, "other text"), (5, None), (5, None)])
+    got = decontaminate.contamination(docs, bench, broadcast_chars=limit)
+    want = [(4, 20, True), (4, 20, True), (4, 0, False), (5, 0, False), (5, 0, False), (None, 20, True), (None, 0, False)]
+    assert rows(got, "doc_id", "n_hit", "contaminated") == sorted(want, key=repr)
+    kept = decontaminate.decontaminate(docs, bench, broadcast_chars=limit)
+    assert rows(kept, "doc_id", "text") == sorted([(None, "clean words"), (4, "other text"), (5, None), (5, None)], key=repr)
+
+
 def test_contamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert rows(decontaminate.contamination(documents(spark, [(1, "a b")]), none), "doc_id", "n_hit", "contaminated") == [(1, 0, False)]
@@ -77,35 +89,47 @@ def test_packing_round_trip(spark):
     assert packing.pack(documents(spark, []), path).count() == 0
 
 
-def test_packing_plan_uses_every_piece_with_little_padding():
-    rng = np.random.default_rng(2)
-    counts = np.zeros(257, np.int64)
-    np.add.at(counts, np.minimum(256, 1 + rng.exponential(60, 20_000).astype(int)), 1)
+@pytest.mark.parametrize("lengths", [lambda r: r.integers(3, 12, 30_000), lambda r: 1 + r.exponential(700, 20_000), lambda r: r.integers(17, 21, 40_000), lambda r: 1 + r.exponential(60, 20_000)])
+def test_packing_plan_uses_every_piece_with_little_padding(lengths):
+    sizes = packing.bin_sizes(4096)
+    pieces = np.minimum(4096, lengths(np.random.default_rng(2)).astype(int))
+    at = np.searchsorted(sizes, pieces)
+    assert (np.diff(sizes) <= np.maximum(1, sizes[:-1] / 128)).all() and sizes[-1] == 4096
+    counts = np.bincount(at, minlength=len(sizes))
     used = np.zeros_like(counts)
-    filled = sequences = 0
-    for pattern, times in packing.plan(counts):
-        assert sum(b * m for b, m in pattern.items()) <= 256
+    sequences = 0
+    for pattern, times in packing.plan(counts, sizes, 4096):
+        assert sum(sizes[b] * m for b, m in pattern.items()) <= 4096
         for b, m in pattern.items():
             used[b] += m * times
-        filled += times * sum(b * m for b, m in pattern.items())
         sequences += times
-    assert (used == counts).all() and filled / (256 * sequences) > 0.99
+    assert (used == counts).all() and pieces.sum() / 4096 > 0.99 * (sequences - 1)
+
+
+def test_packing_of_short_and_of_long_texts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = [(i, prose(i, 3 + i % 9)) for i in range(3000)] + [(5000, prose(1, 150_000))]
+    got = packing.pack(documents(spark, docs), path).toPandas()
+    tokens, sequences = got["length"].sum(), got["sequence_id"].nunique()
+    assert tokens > 0.98 * 4096 * (sequences - 1) and got.groupby("sequence_id")["length"].sum().max() <= 4096
+    assert got[got.doc_id == 5000]["length"].sum() == got[got.doc_id == 5000]["doc_tokens"].iloc[0]
 
 
 def test_nnls_solves_a_known_problem():
-    parts = packing.combinations(8)
+    sizes = np.arange(1, 9)
+    parts = packing.combinations(sizes, np.ones(8, bool), 8)
+    assert {tuple(p) for p in parts.tolist()} >= {(7, -1, -1, 1), (3, 3, -1, 1), (2, 2, 1, 1)}
+
+    def pieces(x):
+        out = np.zeros(9)
+        for (a, b, c, m), v in zip(parts, x, strict=True):
+            np.add.at(out, [a, b, c], [m * v, v, v])
+        return out[:8]
+
     want = np.zeros(len(parts))
     want[[3, 7]] = 5, 9
-    target = np.zeros(9)
-    for row, x in zip(parts, want, strict=True):
-        for b in row[row > 0]:
-            target[b] += x
-    x = packing.nnls(parts, target)
-    got = np.zeros(9)
-    for row, v in zip(parts, x, strict=True):
-        for b in row[row > 0]:
-            got[b] += v
-    assert (x >= 0).all() and np.allclose(got, target, atol=1e-6)
+    x = packing.nnls(parts, pieces(want))
+    assert (x >= 0).all() and np.allclose(pieces(x), pieces(want), atol=1e-6)
 
 
 LANGS = {"aa": "the and of with that which this from", "bb": "der die und nicht mit auch ein werden", "cc": "это что как его она так было еще"}
@@ -137,6 +161,24 @@ def test_language_id_without_training_rows(spark):
     assert langid.identify(documents(spark, []), model).count() == 0
 
 
+def test_language_id_of_long_texts_and_many_languages(spark):
+    model = langid.train(documents(spark, language_rows()))
+    data = (LANGS["bb"] + " " + LANGS["cc"] + ", ").encode() * 40
+    byte = np.frombuffer(data, np.uint8)
+    offs = np.array([0, len(byte)])
+    whole = langid.word_scores(model, byte, offs)
+    parts = [(langid.word_scores(model, part, own), at) for _, at, part, own in langid.pieces(byte, offs, 97)]
+    assert len(parts) > 20 and np.allclose(np.concatenate([g[0] for g, _ in parts]), whole[0], atol=1e-3)
+    assert np.concatenate([g[1] + at for g, at in parts]).tolist() == whole[1].tolist()
+    han = np.frombuffer(("漢字" * 300).encode(), np.uint8)
+    assert b"".join(p.tobytes() for _, _, p, _ in langid.pieces(han, np.array([0, len(han)]), 97)).decode() == "漢字" * 300
+    scores = np.random.default_rng(3).normal(0, 1, (40, 300)).astype(np.float32)
+    assert langid.viterbi(scores, np.array([0, 40]), 0.0).tolist() == scores.argmax(axis=1).tolist()
+    text = LANGS["aa"] * 60_000
+    got = langid.identify(documents(spark, [(1, text)]), model).collect()
+    assert [(r.doc_id, r.lang_pred) for r in got] == [(1, "aa")]
+
+
 def test_viterbi_equals_exhaustive_search():
     import itertools
 
