@@ -233,3 +233,41 @@ def test_repeated_passages_under_common_grams(spark):
     got = rows(suffixdedup.repeated_passages(documents(spark, data)), "doc_id", "start", "n_words", "other_doc_id", "other_start")
     want = [(100 + 40 * k + 31, 0, 60, 100 + 40 * k + 13, 0) for k in range(8)] + [(3, 0, 70, 1, 0), (3, 30, 70, 2, 60)]
     assert got == sorted(want, key=repr)
+
+
+def common_runs(a, b, least):
+    """Maximal common word runs of at least `least` words: (start in a, length, start in b)."""
+    out = []
+    for d in range(-len(b) + 1, len(a)):
+        run = 0
+        for i in range(max(0, d), min(len(a), len(b) + d) + 1):
+            if i < min(len(a), len(b) + d) and a[i] == b[i - d]:
+                run += 1
+            else:
+                if run >= least:
+                    out.append((i - run, run, i - run - d))
+                run = 0
+    return out
+
+
+@pytest.mark.parametrize("copies", [2, 3, 12, 40])
+def test_repeated_passages_among_decoys(spark, copies):
+    # Decoys share only the last 12 words of the passage; some ids have several texts.
+    passage = prose(1, 55, 10**6)
+    data = [(i, f"{prose(10 + i, i % 40, 10**6)} {passage} {prose(500 + i, 20, 10**6)}") for i in range(copies)]
+    data += [(1000 + i, f"{prose(2000 + i, 40, 10**6)} {' '.join(passage.split()[-12:])} {prose(3000 + i, 40, 10**6)}") for i in range(60)]
+    data += [(copies + 1, prose(77, 70, 10**6)), (copies + 1, f"{passage} x"), (copies + 1, f"{passage} x")]
+    got = suffixdedup.repeated_passages(documents(spark, data))
+    want = {(j, a, n, i, b) for (i, s), (j, t) in itertools.permutations(set(data), 2) if i < j and i < 1000 and j < 1000 for a, n, b in common_runs(words(t), words(s), 50)}
+    found = {tuple(r) for r in got.select("doc_id", "start", "n_words", "other_doc_id", "other_start").collect()}
+    assert found <= want and {x[0] for x in found} == {x[0] for x in want} == {*range(1, copies), copies + 1}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 7, 8])
+def test_neighbours_of_few_suffixes(n):
+    import pyarrow as pa
+
+    side = np.arange(1, 41, dtype=">u4").tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([5] * n, pa.int64()), pa.array([0] * n, pa.int32()), pa.array([9] * n, pa.int64()), pa.array([side] * n, pa.binary()), pa.array([side] * n, pa.binary())], ["id", "tk", "pos", "gram", "after", "before"])
+    out = pa.Table.from_batches(list(suffixdedup.neighbour_batches(iter([batch]), 40, 50))).to_pylist()
+    assert sorted(r["id"] for r in out if not r["edge"]) == list(range(1, n))

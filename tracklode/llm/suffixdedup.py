@@ -15,7 +15,8 @@ Words are maximal runs of [^\\x20\\x09-\\x0D], A-Z taken as a-z; equality is tha
 hashes for each word of the extension.
 
 Defined cases: null texts and texts of fewer than min_words words have no passages; rows with a null id are dropped; rows
-that repeat an id count as one document; matches within one document are not reported; other columns are not read.
+that repeat id and text count once; different texts under one id are searched one by one, and matches between texts of one
+id are not reported; other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def row_words(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np
 
 
 def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n_words, two hashes of the whole word sequence)."""
+    """(id, tk, n_words, two hashes of the whole word sequence)."""
     for batch in batches:
         for lo, hi, words, at in row_words(batch, 1):
             keys = np.zeros((hi - lo, 2), U64)
@@ -53,7 +54,7 @@ def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
                 total = np.concatenate([[U64(0)], np.cumsum(mix(words + mix(place * U64(2) + U64(1)) * U64(salt)))])
                 keys[:, j] = total[at[1:]] - total[at[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at).astype(np.int64)), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64))], ["id", "n_words", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 2)), pa.array(np.diff(at).astype(np.int64)), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64))], ["id", "tk", "n_words", "k1", "k2"])
 
 
 def chosen(words: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,11 +82,12 @@ def minimiser_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iter
     for batch in batches:
         for lo, hi, words, at in row_words(batch, 1):
             place, row, gram = minimisers(words, at, min_words)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array((place - at[row]).astype(np.int32)), pa.array(gram.view(np.int64))], ["id", "pos", "gram"])
+            names = [batch.column(i).slice(lo, hi - lo).take(pa.array(row)) for i in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array((place - at[row]).astype(np.int32)), pa.array(gram.view(np.int64))], ["id", "tk", "pos", "gram"])
 
 
 def context_batches(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
-    """(id, pos, gram, after, before, windows): words after the gram and before it, nearest first, 4 bytes each, 0 beyond the text.
+    """(id, tk, pos, gram, after, before, windows): words after the gram and before it, nearest first, 4 bytes each, 0 beyond the text.
 
     windows: hashes of the windows that chose the place, if it is among the row's places of common grams.
     """
@@ -115,7 +117,8 @@ def context_batches(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[p
                 offs = np.concatenate([[0], np.cumsum(n)])
                 own_keys = keys[np.repeat(from_ - offs[:-1], n) + np.arange(offs[-1])]
                 windows = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(own_keys, pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(r)), pa.array(p.astype(np.int32)), pa.array(grams[here[:, 0]].view(np.int64)), *binary, windows], ["id", "pos", "gram", "after", "before", "windows"])
+                names = [batch.column(i).slice(lo, hi - lo).take(pa.array(r)) for i in (0, 4)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(p.astype(np.int32)), pa.array(grams[here[:, 0]].view(np.int64)), *binary, windows], ["id", "tk", "pos", "gram", "after", "before", "windows"])
 
 
 def same_length(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -134,29 +137,29 @@ def longest(later: np.ndarray, left: np.ndarray, right: np.ndarray, other: np.nd
 
 
 def extended_batches(batches: Iterator[pa.RecordBatch], reach: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    """Matches of pairs (id, pos, after, before, other, other_pos, other_after, other_before)."""
+    """Matches of pairs (id, pos, after, before, other, other_pos, other_after, other_before, tk, other_tk)."""
     for batch in batches:
         side = lambda i: np.frombuffer(b"".join(batch.column(i).to_pylist()), ">u4").reshape(batch.num_rows, reach)  # noqa: B023, E731
         left, right = same_length(side(3), side(7)), same_length(side(2), side(6))
         ok = np.flatnonzero(left + GRAM + right >= min_words)
         col = lambda i: batch.column(i).to_numpy().astype(np.int64)[ok]  # noqa: B023, E731
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (col(0), col(1) - left[ok], (left + GRAM + right)[ok], col(4), col(5) - left[ok])], ["id", "start", "n_words", "other", "other_start"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (col(0), col(1) - left[ok], (left + GRAM + right)[ok], col(4), col(5) - left[ok], col(8), col(9))], ["id", "start", "n_words", "other", "other_start", "tk", "other_tk"])
 
 
 def neighbour_batches(batches: Iterator[pa.RecordBatch], reach: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    """Matches (id, start, n_words, other, other_start) with the rows before that lie in no other; and the edge rows.
+    """Matches (id, start, n_words, other, other_start, tk, other_tk) with the rows before that lie in no other; and the edge rows.
 
     Edge rows (edge true, with their columns) are the first and last BACK rows of the partition, for the pairs that
     stand on both sides of a partition's border.
     """
-    schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("other", pa.int64()), ("other_start", pa.int64()), ("edge", pa.bool_()), ("pos", pa.int32()), ("gram", pa.int64()), ("after", pa.binary()), ("before", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("other", pa.int64()), ("other_start", pa.int64()), ("tk", pa.int64()), ("other_tk", pa.int64()), ("edge", pa.bool_()), ("pos", pa.int32()), ("gram", pa.int64()), ("after", pa.binary()), ("before", pa.binary())])
 
     def edges(rows: pa.Table) -> pa.RecordBatch:
         n = rows.num_rows
         c = rows.combine_chunks()
         col = lambda name: c[name].combine_chunks() if n else pa.array([], schema.field(name).type)
         none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([col("id"), none, none, none, none, pa.array(np.ones(n, bool)), col("pos"), col("gram"), col("after"), col("before")], schema=schema)
+        return pa.RecordBatch.from_arrays([col("id"), none, none, none, none, col("tk"), none, pa.array(np.ones(n, bool)), col("pos"), col("gram"), col("after"), col("before")], schema=schema)
 
     held: pa.Table | None = None
     first = True
@@ -167,7 +170,7 @@ def neighbour_batches(batches: Iterator[pa.RecordBatch], reach: int, min_words:
         if first:
             yield edges(new.slice(0, BACK))
         rows = new if held is None else pa.concat_tables([held, new])
-        ids, pos, gram = (rows[x].to_numpy() for x in ("id", "pos", "gram"))
+        ids, tk, pos, gram = (rows[x].to_numpy() for x in ("id", "tk", "pos", "gram"))
         sides = [np.frombuffer(b"".join(rows[x].to_pylist()), ">u4").reshape(len(ids), reach) for x in ("after", "before")]
         n_rows, skip = len(ids), 0 if held is None else held.num_rows
         found: list[np.ndarray] = [np.zeros((4, 0), np.int64)]
@@ -177,7 +180,8 @@ def neighbour_batches(batches: Iterator[pa.RecordBatch], reach: int, min_words:
         least = np.maximum.accumulate(np.where(rank == np.minimum.accumulate(rank), np.arange(n_rows), 0))
         new_rows = np.arange(max(skip, 1), n_rows)
         for a, b in [(new_rows - j, new_rows) for j in range(1, BACK + 1)] + [(least[new_rows - 1], new_rows)]:
-            ok = (a >= 0) & (gram[a] == gram[b]) & (ids[a] != ids[b])
+            a, b = a[a >= 0], b[a >= 0]
+            ok = (gram[a] == gram[b]) & (ids[a] != ids[b])
             a, b = a[ok], b[ok]
             if not len(a):
                 continue
@@ -191,25 +195,27 @@ def neighbour_batches(batches: Iterator[pa.RecordBatch], reach: int, min_words:
         tail = np.arange(max(0, n_rows - BACK), n_rows)
         first, held = False, rows.take(pa.array(np.unique([least[-1], *tail])))
         n = len(later)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[later]), pa.array(pos[later] - left), pa.array(left + GRAM + right), pa.array(ids[earlier]), pa.array(pos[earlier] - left), pa.array(np.zeros(n, bool)), *(pa.nulls(n, schema.field(x).type) for x in ("pos", "gram", "after", "before"))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[later]), pa.array(pos[later] - left), pa.array(left + GRAM + right), pa.array(ids[earlier]), pa.array(pos[earlier] - left), pa.array(tk[later]), pa.array(tk[earlier]), pa.array(np.zeros(n, bool)), *(pa.nulls(n, schema.field(x).type) for x in ("pos", "gram", "after", "before"))], schema=schema)
     if held is not None:
         yield edges(held)
 
 
-MATCHES = "id long, start long, n_words long, other long, other_start long, edge boolean, pos int, gram long, after binary, before binary"
+MATCHES = "id long, start long, n_words long, other long, other_start long, tk long, other_tk long, edge boolean, pos int, gram long, after binary, before binary"
 
 
 def window_matches(contexts: DataFrame, reach: int, min_words: int) -> DataFrame:
-    """Matches (id, start, n_words, other, other_start) of every hashed window with the smallest place that holds it."""
-    windows = contexts.select("id", "pos", F.explode("windows").alias("window"))
-    leads = cut(windows.groupBy("window").agg(F.min(F.struct("id", "pos")).alias("m"), F.max("id").alias("high")).where("m.id < high").select("window", F.col("m.id").alias("other"), F.col("m.pos").alias("other_pos")), "leads")
-    pairs = cut(windows.join(leads, "window").where("id > other").select("id", "pos", "other", "other_pos").distinct(), "window_pairs")
-    sides = contexts.select("id", "pos", "after", "before")
-    theirs = sides.select(F.col("id").alias("other"), F.col("pos").alias("other_pos"), F.col("after").alias("other_after"), F.col("before").alias("other_before"))
-    theirs = cut(theirs.join(leads.select("other", "other_pos").distinct(), ["other", "other_pos"], "left_semi"), "leaders")
+    """Matches (id, start, n_words, other, other_start, tk, other_tk) of every hashed window with the smallest place that holds it."""
+    own, others = ["id", "tk", "pos"], ["other", "other_tk", "other_pos"]
+    windows = contexts.select(*own, F.explode("windows").alias("window"))
+    leads = windows.groupBy("window").agg(F.min(F.struct(*own)).alias("m"), F.max("id").alias("high")).where("m.id < high")
+    leads = cut(leads.select("window", F.col("m.id").alias("other"), F.col("m.tk").alias("other_tk"), F.col("m.pos").alias("other_pos")), "leads")
+    pairs = cut(windows.join(leads, "window").where("id > other").select(*own, *others).distinct(), "window_pairs")
+    sides = contexts.select(*own, "after", "before")
+    theirs = sides.withColumnsRenamed(dict(zip([*own, "after", "before"], [*others, "other_after", "other_before"], strict=True)))
+    theirs = cut(theirs.join(leads.select(*others).distinct(), others, "left_semi"), "leaders")
     theirs = F.broadcast(theirs) if theirs.count() <= BROADCAST_LEADERS else theirs
-    both = pairs.join(sides, ["id", "pos"]).join(theirs, ["other", "other_pos"]).select("id", "pos", "after", "before", "other", "other_pos", "other_after", "other_before")
-    return both.mapInArrow(lambda it: extended_batches(it, reach, min_words), "id long, start long, n_words long, other long, other_start long")
+    both = pairs.join(sides, own).join(theirs, others).select("id", "pos", "after", "before", "other", "other_pos", "other_after", "other_before", "tk", "other_tk")
+    return both.mapInArrow(lambda it: extended_batches(it, reach, min_words), "id long, start long, n_words long, other long, other_start long, tk long, other_tk long")
 
 
 def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -220,28 +226,35 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     if min_words <= GRAM:
         raise ValueError(f"min_words must be above {GRAM}")
     reach = min_words - GRAM
-    docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    keys = cut(docs.mapInArrow(text_batches, "id long, n_words long, k1 long, k2 long").where(F.col("n_words") >= min_words), "texts")
-    reps = cut(keys.groupBy("n_words", "k1", "k2").agg(F.min("id").alias("rep")), "reps")
-    copies = cut(keys.join(reps, ["n_words", "k1", "k2"]).where("id <> rep"), "copies")
-    whole = copies.select("id", F.lit(0).cast("long").alias("start"), "n_words", F.col("rep").alias("other"), F.lit(0).cast("long").alias("other_start"))
-
-    sampled = cut(docs.mapInArrow(lambda it: minimiser_batches(it, min_words), "id long, pos int, gram long").join(copies.select("id").distinct(), "id", "left_anti").dropDuplicates(["id", "pos"]), "minimisers")
+    small_batches(documents.sparkSession)
+    text = ["id", "tk"]
+    docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tk"))
+    keys = cut(docs.mapInArrow(text_batches, "id long, tk long, n_words long, k1 long, k2 long").where(F.col("n_words") >= min_words).distinct(), "texts")
+    reps = cut(keys.groupBy("n_words", "k1", "k2").agg(F.min(F.struct(*text)).alias("rep")), "reps")
+    copies = cut(keys.join(reps, ["n_words", "k1", "k2"]).where(F.struct(*text) > F.col("rep")), "copies")
+    zero = F.lit(0).cast("long")
+    whole = copies.where("id > rep.id").select("id", zero.alias("start"), "n_words", F.col("rep.id").alias("other"), zero.alias("other_start"))
+
+    sampled = docs.mapInArrow(lambda it: minimiser_batches(it, min_words), "id long, tk long, pos int, gram long")
+    sampled = cut(sampled.join(copies.select(*text).distinct(), text, "left_anti").dropDuplicates([*text, "pos"]), "minimisers")
     grams = cut(sampled.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("gram", (F.col("n") > BACK).alias("common")), "grams")
-    places = sampled.join(grams, "gram").groupBy("id").agg(F.collect_list("pos").alias("places"), F.collect_list(F.when(F.col("common"), F.col("pos"))).alias("commons"))
-    contexts = docs.dropDuplicates(["id"]).join(places, "id").select("id", "text", "places", "commons").mapInArrow(lambda it: context_batches(it, reach), "id long, pos int, gram long, after binary, before binary, windows array<long>")
+    places = sampled.join(grams, "gram").groupBy(*text).agg(F.collect_list("pos").alias("places"), F.collect_list(F.when(F.col("common"), F.col("pos"))).alias("commons"))
+    contexts = docs.dropDuplicates(text).join(places, text).select("id", "text", "places", "commons", "tk").mapInArrow(lambda it: context_batches(it, reach), "id long, tk long, pos int, gram long, after binary, before binary, windows array<long>")
     contexts = cut(contexts, "contexts")
-    order = ["gram", "after", "before", "id", "pos"]
+    order = ["gram", "after", "before", "id", "tk", "pos"]
+    row = ["id", "tk", "pos", "gram", "after", "before"]
     compare = lambda it: neighbour_batches(it, reach, min_words)
-    found = cut(contexts.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "pos", "gram", "after", "before").mapInArrow(compare, MATCHES), "matches")
+    found = cut(contexts.repartitionByRange(*order).sortWithinPartitions(*order).select(*row).mapInArrow(compare, MATCHES), "matches")
     # At most 2 * BACK edge rows a partition: the borders of the partitions are compared in one small sort.
-    border = found.where("edge").select("id", "pos", "gram", "after", "before").distinct().coalesce(1).sortWithinPartitions(*order).mapInArrow(compare, MATCHES)
-    spans = found.where("not edge").unionByName(border.where("not edge")).select("id", "start", "n_words", "other", "other_start").distinct()
+    border = found.where("edge").select(*row).distinct().coalesce(1).sortWithinPartitions(*order).mapInArrow(compare, MATCHES)
+    span = ["id", "start", "n_words", "other", "other_start", "tk", "other_tk"]
+    spans = found.where("not edge").unionByName(border.where("not edge")).select(*span).distinct()
     spans = spans.unionByName(cut(window_matches(contexts, reach, min_words), "window_matches")).distinct()
     # Overlapping matches on one diagonal are one passage.
-    way = Window.partitionBy("id", "other", "diagonal").orderBy("start", "n_words")
+    pair = ["id", "tk", "other", "other_tk", "diagonal"]
+    way = Window.partitionBy(*pair).orderBy("start", "n_words")
     spans = spans.withColumn("diagonal", F.col("start") - F.col("other_start")).withColumn("end", F.col("start") + F.col("n_words"))
     spans = spans.withColumn("new", F.coalesce((F.col("start") > F.max("end").over(way.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
-    spans = spans.withColumn("run", F.sum("new").over(way)).groupBy("id", "other", "diagonal", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other_start").alias("other_start"))
+    spans = spans.withColumn("run", F.sum("new").over(way)).groupBy(*pair, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other_start").alias("other_start"))
     spans = spans.select("id", "start", (F.col("end") - F.col("start")).alias("n_words"), "other", "other_start")
-    return spans.unionByName(whole.distinct()).select(F.col("id").alias(id_col), "start", "n_words", F.col("other").alias(f"other_{id_col}"), "other_start")
+    return spans.unionByName(whole).distinct().select(F.col("id").alias(id_col), "start", "n_words", F.col("other").alias(f"other_{id_col}"), "other_start")
