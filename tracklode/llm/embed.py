@@ -9,7 +9,7 @@ pairs are verified by the cosine in double precision. A pair that meets in sever
 only, so no pairs leave the tasks: counts do, and one edge for each node and part, which together are a spanning forest
 of all pairs the part found. Queries of a split shard visit all its
 parts. Recall is audited against brute force on a bounded sample of queries; while it is below the target, the index is
-searched again with a wider beam and more shards for each node.
+built and searched again with a wider beam and more shards for each node, at last with all.
 
 Vectors of different lengths do not link; each length is a table of its own. The most common length, and any other of more
 than a part's nodes, has its own graph; all shorter tables are compared exactly, each in one task.
@@ -249,7 +249,7 @@ def graph_links(nodes: DataFrame, s: Settings) -> DataFrame:
     n = nodes.count()
     sample = nodes.orderBy(F.xxhash64("node", F.lit(11))).limit(s.sample).select("v").toPandas()
     medoids = choose_medoids(unit(np.stack(sample["v"].to_numpy()).astype(np.float64)), min(s.max_medoids, max(1, -(-n * s.overlap // s.part_nodes))))
-    assigned = cut(nodes.select("node", "v").mapInArrow(lambda it: assign_batches(it, medoids, s), "node long, v array<float>, shards array<int>").join(nodes.select("node", "mult"), "node"), "assigned")
+    assigned = cut(nodes.select("node", "v").mapInArrow(lambda it: assign_batches(it, medoids, s), f"node long, v {nodes.schema['v'].dataType.simpleString()}, shards array<int>").join(nodes.select("node", "mult"), "node"), "assigned")
     spread = assigned.withColumn("shard", F.explode("shards"))
     # A shard above the size of a part is split; its number of parts is bounded by the data, not by a cap.
     sizes = spread.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * s.part_nodes)).cast("int").alias("parts"))
@@ -272,19 +272,21 @@ def audited_links(nodes: DataFrame, s: Settings) -> tuple[DataFrame, int, int]:
     queries, names = unit(np.stack(sample["v"].to_numpy()).astype(np.float64)), sample["node"].to_numpy()
     truth = nodes.select("node", "v", "mult").mapInArrow(lambda it: audit_batches(it, queries, names, s.threshold), "node long, links long").agg(F.sum("links").alias("links")).first()
     true = int(truth["links"] or 0)
-    for _ in range(3):
+    while True:
         found = graph_links(nodes, s)
         caught = int(found.where(F.col("node").isin([int(x) for x in names])).agg(F.sum("links").alias("links")).first()["links"] or 0)
-        if not true or caught / true >= s.target_recall:
-            break
+        # Once every node is in every shard and the beam holds a part, the search is exhaustive.
+        if not true or caught / true >= s.target_recall or (s.overlap >= s.max_medoids and s.beam >= 2 * s.part_nodes):
+            return found, caught, true
         s = replace(s, overlap=2 * s.overlap, beam=2 * s.beam)
-    return found, caught, true
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings | None = None) -> tuple[DataFrame, float]:
     """(one row per vector: id_col, n_links, component_id, kept; audited recall)."""
     s = settings or Settings()
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    # Components keep their precision: only doubles need more than a float.
+    kind = "array<double>" if "double" in vectors.schema[vector_col].dataType.simpleString() else "array<float>"
+    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
     fine = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = cut(rows.withColumn("ok", F.coalesce(fine, F.lit(False))), "rows")
     # The number of a node is its place in the written table; its smallest id may also be that of other vectors.
