@@ -259,10 +259,10 @@ def test_segment_tree_random_edits():
         text = "".join(rng.choice(["ab", " ", "  ", "\n", "12", "é", "'s", ".", "word "]) for _ in range(300))
         tree = tokencounts.SegmentTree(text, count, 16)
         assert tree.total == count(text)
-        cuts = sorted(rng.sample(range(len(text)), 12))
-        edits = [(a, b, rng.choice(["", " ", "new", "x y", "\n\n"])) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
-        new = text
-        for a, b, r in reversed(edits):
-            new = new[:a] + r + new[b:]
-        tree.apply(edits)
-        assert tree.total == count(new)
+        for _ in range(4):  # each time on the text that the edits before left
+            cuts = sorted(rng.sample(range(len(text) + 1), 12))
+            edits = [(a, b, rng.choice(["", " ", "new", "x y", "\n\n", "longer words here"])) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+            for a, b, r in reversed(edits):
+                text = text[:a] + r + text[b:]
+            tree.apply(edits)
+            assert tree.text == text and tree.total == count(text)

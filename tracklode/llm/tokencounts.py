@@ -126,22 +126,31 @@ class SegmentTree:
         return out
 
     def apply(self, edits: list[Edit]) -> int:
-        """Update the sums for the edited text; the number of leaves that were encoded again.
+        """Update text and sums for the edits; the number of leaves that were encoded again.
 
         The new text of a region stands in its first leaf; its other leaves become empty, so the tree keeps its shape.
         """
         ends = [*self.starts[1:], len(self.text)]
-        n = 0
+        n = moved = done = copied = 0
+        pieces, starts = [], []
         for first, last, own in self.touched(edits):
             at, parts = self.starts[first], []
             for start, end, new in own:
                 parts += [self.text[at:start], new]
                 at = end
             parts.append(self.text[at : ends[last]])
-            self.set_leaf(first, self.count("".join(parts)))
+            new = "".join(parts)
+            self.set_leaf(first, self.count(new))
             for leaf in range(first + 1, last + 1):
                 self.set_leaf(leaf, 0)
             n += last - first + 1
+            pieces += [self.text[copied : self.starts[first]], new]
+            starts += [x + moved for x in self.starts[done : first + 1]]
+            moved += len(new) - (ends[last] - self.starts[first])
+            starts += [ends[last] + moved] * (last - first)
+            done, copied = last + 1, ends[last]
+        self.starts = starts + [x + moved for x in self.starts[done:]]
+        self.text = "".join([*pieces, self.text[copied:]])
         return n
 
 
