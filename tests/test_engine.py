@@ -10,7 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracklode.functions import angles, text
-from tracklode.operators import aggregates, intervals, joins, labels, likelihood, simulation, windows
+from tracklode.operators import agents, aggregates, filters, intervals, joins, labels, lanes, likelihood, simulation, windows
+from tracklode.plans import motion  # noqa: F401  registers its queries
 from tracklode.plans.queries import QUERIES, SQL
 from tracklode.sources import manifests, records
 from tracklode.streaming import incremental
@@ -64,8 +65,12 @@ def test_frame_tags(spark):
 
 def test_conflicts(spark):
     data = [("a", "LeftTurn", 0, 10), ("a", "Straight", 5, 20), ("a", "Straight", 30, 35), ("b", "Parked", 0, 9), ("c", "Parked", 0, 9), ("c", "LeftTurn", 0, 5)]
-    got = intervals.resolve_conflicts(spark.createDataFrame(data, "k string, action string, start long, end long"), "k", {"LeftTurn": 1, "Straight": 5}, [{"LeftTurn", "Straight"}])
+    got = intervals.resolve_conflicts(spark.createDataFrame(data, "k string, action string, start long, end long"), "k", labels.TAG_PRIORITY, labels.TAG_EXCLUDES)
     assert rows(got, "k", "action", "start", "end") == [("a", "LeftTurn", 0, 10), ("a", "Straight", 10, 20), ("a", "Straight", 30, 35), ("b", "Parked", 0, 9), ("c", "LeftTurn", 0, 5), ("c", "Parked", 0, 9)]
+    # Exclusions are directed: Parked excludes a later tag, but LeftTurn does not exclude Parked; at equal rank the later one keeps the overlap.
+    more = [("d", "Parked", 0, 9), ("d", "Straight", 5, 20), ("e", "Accelerate", 0, 9), ("e", "Decelerate", 5, 12), ("f", "LeftTurn", 0, 9), ("f", "RightTurn", 4, 12), ("g", "Accelerate", 0, 9), ("g", "Parked", 4, 12)]
+    got_more = intervals.resolve_conflicts(spark.createDataFrame(more, "k string, action string, start long, end long"), "k", labels.TAG_PRIORITY, labels.TAG_EXCLUDES)
+    assert rows(got_more, "k", "action", "start", "end") == [("d", "Parked", 0, 5), ("d", "Straight", 5, 20), ("e", "Accelerate", 0, 9), ("e", "Decelerate", 5, 12), ("f", "LeftTurn", 0, 4), ("f", "RightTurn", 4, 12), ("g", "Accelerate", 0, 9), ("g", "Parked", 9, 12)]
     assert rows(intervals.drop_when_multiple(got, ["k"], "action", "Parked"), "k", "action") == [("a", "LeftTurn"), ("a", "Straight"), ("a", "Straight"), ("b", "Parked"), ("c", "LeftTurn")]
 
 
@@ -84,7 +89,9 @@ def test_interpolation_and_gaps(spark):
     df = spark.createDataFrame([(1, i, float(i * i), v) for i, v in enumerate(valid)], "k int, f int, x double, v boolean")
     got = windows.interpolate(windows.fill_short_gaps(df, ["k"], "f", "v", 2), ["k"], "f", "x", "v").orderBy("f").collect()
     assert [r.filled for r in got] == [True, True, True, True, False, False, False, True, False]
-    assert [r.interpolated for r in got][:8] == pytest.approx(np.interp(range(8), [0, 3, 7], [0, 9, 49])) and got[8].interpolated is None
+    assert [r.interpolated for r in got] == pytest.approx(np.interp(range(9), [0, 3, 7], [0, 9, 49]))
+    one = spark.createDataFrame([(1, i, float(i), i == 2) for i in range(5)], "k int, f int, x double, v boolean")
+    assert [r.interpolated for r in windows.interpolate(one, ["k"], "f", "x", "v").collect()] == [2.0] * 5
 
 
 def test_transition_shrinkage(spark):
@@ -225,60 +232,185 @@ def test_kernels(spark):
     fit = np.polyval(np.polyfit(np.arange(-3, 4), noisy[4:11], 2), 0)
     assert kernels.polynomial_smooth(noisy)[7] == pytest.approx(fit)
     states = [(0.0, True), (3.0, True), (0.1, True), (2.5, False), (3.1, True), (-0.2, True)]
-    got = spark.createDataFrame([(states,)], "s array<struct<heading:double,valid:boolean>>").select(kernels.repaired_headings(F.col("s")).alias("h")).first().h
-    assert got == [0.0, 0.0, 0.1, 2.5, 0.1, -0.2]
-    fan = np.array([(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (1.0, 1.0, 0.5)])
-    steps = spark.createDataFrame([("a", 0, 0.0, 0.0, 0.0), ("a", 1, 1.1, 0.0, 0.0), ("a", 2, 2.0, 1.2, 0.4), ("b", 0, 5.0, 5.0, 0.0)], "k string, step int, x double, y double, heading double")
-    assert rows(kernels.match_tokens(steps, fan, "k", "step"), "k", "step", "token", "x") == [("a", 1, 1, 1.0), ("a", 2, 2, 2.0)]
-
-
-def test_whole_input_queries_match_loops(spark):
-    from tracklode.plans.queries import tagged
-    from tracklode.plans.tables import table, tracks
-
-    headings = {}
-    for r in tracks(spark, SF).select("track_id", "frame", "heading").collect():
-        headings.setdefault(r.track_id, []).append((r.heading, r.frame))
-    assert max(len(x) for x in headings.values()) > 12
-    want = []
-    for track, own in headings.items():
-        own.sort()
-        gaps = [own[i][0] - (own[i - 1][0] if i else own[-1][0] - 2 * math.pi) for i in range(len(own))]
-        at, cluster = max(range(len(own)), key=lambda i: (gaps[i], -own[i][0])), 0
-        for j in range(len(own)):
-            i = (at + j) % len(own)
-            cluster += j > 0 and gaps[i] > 0.5
-            want.append((track, own[i][1], cluster))
-    assert rows(QUERIES["circular_clusters_all"](spark, SF), "track_id", "frame", "cluster") == sorted(want)
-
-    seen = {(r.track_id, r.tag, r.frame) for r in tagged(spark, SF).collect()}
-    starts = {}
-    for track, tag, frame in seen:
-        if (track, tag, frame - 1) not in seen:
-            starts.setdefault(track, {}).setdefault(frame, []).append(tag.lower())
-    assert max(max(x) for x in starts.values()) >= 6
-    join = lambda x: x[0] if len(x) == 1 else " and ".join(x) if len(x) == 2 else ", ".join(x[:-1]) + ", and " + x[-1]
-    prompt = lambda at: " ".join(f"{'Then, the' if k else 'The'} target is {join(sorted(at[f]))}." for k, f in enumerate(sorted(at)))
-    assert rows(QUERIES["ordered_sentences_all"](spark, SF), "track_id", "prompt") == sorted((t, prompt(at)) for t, at in starts.items())
-
-    e = {r.vec_id: np.array(r.embedding, float) for r in table(spark, SF, "embeddings").select("vec_id", "embedding").collect()}
-    weight = {(r.vec_id, r.token): r.weight for r in QUERIES["soft_targets_all"](spark, SF).collect()}
-    words = [t for t in sorted(e) if t < 64]
-    assert set(weight) == {(v, t) for v in e if v >= 64 for t in words}
-    for v in [x for x in e if x >= 64]:
-        d2 = np.array([((e[v] - e[t]) ** 2).sum() for t in words])
-        inv = np.where(np.arange(len(words)) == d2.argmin(), 0.0, 1 / (d2 + 1e-6))
-        assert np.allclose([weight[v, t] for t in words], np.where(inv == 0, 0.9, 0.1 * inv / inv.sum()), atol=2e-6)
-
-    orders = {r.o_orderkey: r for r in table(spark, SF, "orders").collect()}
-    line = {}
-    for r in table(spark, SF, "lineitem").select("l_orderkey", "l_linestatus").collect():
-        line[r.l_orderkey] = min(line.get(r.l_orderkey, r.l_linestatus), r.l_linestatus)
-    status = lambda k: "right_only" if k not in orders else "left_only" if k not in line else "matched" if orders[k].o_orderstatus == line[k] else "mismatch"
-    counts = {}
-    for k in {*orders, *line}:
-        counts[status(k)] = counts.get(status(k), 0) + 1
-    assert rows(QUERIES["aligned_audit_all"](spark, SF), "status", "n") == sorted(counts.items())
-    a, b = {r.o_custkey for r in orders.values()}, {r.c_custkey for r in table(spark, SF, "customer").collect()}
-    got = {r.side: r.n for r in QUERIES["key_audit_all"](spark, SF).collect()}
-    assert {x: got.get(x, 0) for x in ("both", "only_a", "only_b")} == {"both": len(a & b), "only_a": len(a - b), "only_b": len(b - a)}
+    df = spark.createDataFrame([("a", i, h, v) for i, (h, v) in enumerate(states)], "k string, f int, h double, v boolean")
+    assert [r.h for r in kernels.repair_headings(df, "k", "f", "h", "v").orderBy("f").collect()] == [0.0, 0.0, 0.1, 2.5, 3.1, 3.1]
+    contours = kernels.token_contours(np.array([(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (1.0, 1.0, 0.5)]), 2.0, 4.0)
+    assert contours[0].tolist() == [[2, 1], [2, -1], [-2, -1], [-2, 1]]
+    steps = spark.createDataFrame([("a", 0, 0.0, 0.0, 0.0, True), ("a", 1, 1.1, 0.0, 0.0, True), ("a", 2, 2.0, 1.2, 0.4, True), ("a", 3, 9.0, 9.0, 1.0, False), ("b", 0, 5.0, 5.0, 0.0, True)], "k string, step int, x double, y double, heading double, valid boolean")
+    got = kernels.match_tokens(steps, contours, 2.0, 4.0, "k", "step").orderBy("step").collect()
+    assert [(r.k, r.step, r.token, round(r.x, 6), round(r.y, 6), round(r.heading, 6), r.matched) for r in got] == [("a", 1, 1, 1.0, 0.0, 0.0, True), ("a", 2, 2, 2.0, 1.0, 0.5, True), ("a", 3, 2, 9.0, 9.0, 1.0, False)]
+
+
+def test_road_classes(spark):
+    from tracklode.operators import kernels
+
+    cases = [(False, "INTERSECTION", None, True), (True, "INTERSECTION", None, True), (True, "IN_INTERSECTION", None, False), (True, "NEAR_INTERSECTION_APPROACH", 30.0, False), (True, "NEAR_INTERSECTION_APPROACH", 31.0, False), (True, "NEAR_INTERSECTION_EXIT", 16.0, False), (True, "NEAR_INTERSECTION_EXIT", None, False), (True, "OFF_MAP", 1.0, False)]
+    got = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, v boolean, r string, d double, w boolean").orderBy("i").select(kernels.road_class(F.col("v"), F.col("r"), F.col("d"), F.col("w")).alias("c")).collect()
+    assert [r.c for r in got] == ["UNKNOWN", "PARKING_LOT_PROXY", "INTERSECTION", "INTERSECTION", "ROAD_SEGMENT", "ROAD_SEGMENT", "ROAD_SEGMENT", "UNKNOWN"]
+
+
+def test_mean_over_keys_of_the_best_replica(spark):
+    df = spark.createDataFrame([("a", 1, 4.0, True), ("a", 1, 2.0, True), ("a", 2, 1.0, True), ("a", 2, 9.0, True), ("b", 1, 3.0, True), ("b", 2, 5.0, True), ("c", 1, 1.0, False)], "k string, r int, d double, v boolean")
+    assert aggregates.min_over_replicas(df, ["k"], "r", "d", "v").first().value == pytest.approx((6.0 / 2 + 3.0) / 2, abs=1e-5)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_exact_percentiles_match_numpy(spark, seed):
+    rng = np.random.default_rng(seed)
+    data = {"a": np.round(rng.normal(size=501), 1), "b": rng.normal(size=7), None: np.full(300, 5.0), "d": np.array([1.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, own in data.items() for v in own] + [("a", None)], "k string, v double")
+    got = {r.k: (r.lo, r.mid, r.hi) for r in aggregates.exact_percentiles(df, ["k"], "v", {"lo": 0.01, "mid": 0.5, "hi": 0.95}, 8).collect()}
+    assert set(got) == set(data)
+    for k, own in data.items():
+        assert got[k] == pytest.approx(tuple(np.percentile(own, [1, 50, 95])))
+
+
+def test_nearest_token_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    words, points = rng.normal(size=(37, 4)), rng.normal(size=(50, 4))
+    words[9] = words[3]
+    points[0] = words[3]
+    frame = lambda v: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    d2 = ((points[:, None] - words[None]) ** 2).sum(axis=2)
+    for block in (5, 100):
+        got = joins.nearest_token(frame(points), frame(words).withColumnsRenamed({"id": "t", "v": "w"}), "id", "v", "t", "w", block).orderBy("id").collect()
+        assert [r.token for r in got] == d2.argmin(axis=1).tolist() and np.allclose([r.d2 for r in got], d2.min(axis=1))
+
+
+def test_incremental_spread_keeps_its_digits(spark, tmp_path):
+    spark.createDataFrame([("a", 2, 1e9 + 0.5, 0.5, 1e9, 1e9 + 1.0), ("a", 2, 1e9 + 2.5, 0.5, 1e9 + 2, 1e9 + 3.0)], "k string, n long, mean double, m2 double, lo double, hi double").write.parquet(str(tmp_path / "p"))
+    got = incremental.moments(spark, str(tmp_path / "p"), ["k"]).first()
+    assert got.n == 4 and got["std"] == pytest.approx(np.std([0, 1, 2, 3]), abs=1e-6)
+
+
+def test_tag_texts(spark):
+    texts = ["Stopping(7,ego at 12-30)", "LeftTurnTemporal(5 at 0-9)", "LeftTurn( 5 at 0-9 )", "Jump(1 at 0-9)", "Parked(1 at 9-9)", "Parked 1 at 0-9", None, " KeepSpeed(a,,b at 3-4) "]
+    df = spark.createDataFrame([("s", 99, t) for t in texts], "scenario string, me long, entry string")
+    want = [("7", "Stopping", 12, 30), ("99", "Stopping", 12, 30), ("5", "LeftTurn", 0, 9), ("a", "KeepSpeed", 3, 4), ("b", "KeepSpeed", 3, 4)]
+    assert rows(intervals.parsed_tags(df, "entry", list(labels.TAG_PHRASES), "me"), "agent", "action", "start", "end") == sorted(want)
+    assert len(rows(intervals.parsed_tags(df, "entry", list(labels.TAG_PHRASES)), "agent")) == 4
+
+
+def test_prompts_of_missing_scenes(spark):
+    agents_ = spark.createDataFrame([("s1", 1), ("s1", 2), ("s2", 1)], "scenario string, agent long")
+    mapping = spark.createDataFrame([("s1", "x")], "scenario string, scene string")
+    found = spark.createDataFrame([("x", 1, "go"), ("y", 1, "no")], "scene string, agent long, prompt string")
+    assert rows(joins.prompts_for(agents_, mapping, found), "scenario", "agent", "prompt", "has_prompt") == [("s1", 1, "go", True), ("s1", 2, "", False), ("s2", 1, "", False)]
+
+
+def lane_change_by_loop(d, heading, lane_heading, run=8):
+    """(first, last, direction) of the lane changes of one track, frame by frame."""
+    n, diff = len(d), np.diff(d)
+    out = []
+    for c in [0, *[i for i in range(1, n - 1) if diff[i - 1] * diff[i] < 0]]:
+        part = diff[c : c + run]
+        if c + run >= n or not ((part > 0).all() or (part < 0).all()) or abs(d[c]) > 0.75:
+            continue
+        up = part[0] > 0
+        e = next((i for i in range(c, n - 1) if (diff[i] <= 0 if up else diff[i] >= 0)), None)
+        if e is None or e + 1 >= n or d[e] * d[e + 1] >= 0 or abs(d[e]) < 1.25 or abs(d[e + 1]) < 1.25:
+            continue
+        fits = [i for i in range(e + 2, n) if math.acos(max(-1.0, min(1.0, math.cos(heading[i] - lane_heading[i])))) < math.radians(5) and abs(d[i]) < 0.55]
+        if fits:
+            out.append((c, fits[0], "left" if up else "right"))
+    return out
+
+
+def test_lane_changes_match_a_loop(spark):
+    rng = np.random.default_rng(6)
+    data, want = [], []
+    for track in range(40):
+        d = []
+        while len(d) < 60:
+            d += [(-0.5 + 0.45 * k) for k in range(rng.integers(7, 12))] + [-1.6 + 0.4 * k for k in range(rng.integers(1, 6))] + rng.normal(0, 0.3, rng.integers(0, 4)).tolist()
+        d = np.array(d[:60]) * rng.choice([-1, 1])
+        heading = rng.choice([0.0, 0.05, 0.2], 60)
+        data += [(track, i, float(d[i]), float(heading[i]), 0.0) for i in range(60)]
+        want += [(track, *x) for x in lane_change_by_loop(d, heading, np.zeros(60))]
+    df = spark.createDataFrame(data, "k int, f int, offset double, heading double, lane_heading double")
+    assert rows(lanes.lane_changes(df, ["k"], "f"), "k", "start", "end", "direction") == sorted(want) and len(want) > 20
+
+
+def test_lane_offsets_signs_and_ties(spark):
+    lane = spark.createDataFrame([("s", 1, [(0.0, 0.0), (10.0, 0.0)]), ("s", 2, [(0.0, 0.0), (0.0, 10.0)]), ("s", 3, [(5.0, 5.0)])], "scene string, lane int, points array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([("s", 0, 0.0, 1.0), ("s", 1, 10.0, -2.0), ("s", 2, 1.0, 11.0)], "scene string, frame int, x double, y double")
+    got = lanes.lane_offsets(points, lanes.lane_vertices(lane, ["scene"], "lane", "points"), ["scene"], ["frame"], "lane")
+    assert rows(got, "frame", "lane", "offset") == [(0, 1, 1.0), (1, 1, -2.0), (2, 2, -math.sqrt(2))]
+
+
+def box_polygon(x, y, h, length, width):
+    c, s = math.cos(h), math.sin(h)
+    return [np.array([x + a * c - b * s, y + a * s + b * c]) for a, b in ((length / 2, width / 2), (-length / 2, width / 2), (-length / 2, -width / 2), (length / 2, -width / 2))]
+
+
+def polygon_distance(a, b):
+    """Signed distance of the origin from the convex hull of all differences of corners."""
+    points = sorted({(round(float(p[0] - q[0]), 12), round(float(p[1] - q[1]), 12)) for p in a for q in b})
+    half = lambda ps: [h for h in [[]] for p in ps if not [h.pop() for _ in iter(lambda: len(h) > 1 and (h[-1][0] - h[-2][0]) * (p[1] - h[-2][1]) - (h[-1][1] - h[-2][1]) * (p[0] - h[-2][0]) <= 0, False)] or True if h.append(p) or True][:1]
+    lower, upper = half(points)[0], half(points[::-1])[0]
+    hull = lower[:-1] + upper[:-1]
+    inside, best = True, math.inf
+    for p, q in zip(hull, hull[1:] + hull[:1], strict=True):
+        e = np.array(q) - np.array(p)
+        t = max(0.0, min(1.0, float(-np.array(p) @ e / (e @ e))))
+        best = min(best, float(np.linalg.norm(np.array(p) + t * e)))
+        inside &= e[0] * -p[1] - e[1] * -p[0] >= 0
+    return -best if inside else best
+
+
+def test_box_distances_match_polygons(spark):
+    rng = np.random.default_rng(9)
+    boxes = [(1, i, *rng.uniform(-6, 6, 2).tolist(), float(rng.uniform(-3, 3)), float(rng.uniform(2, 6)), float(rng.uniform(1, 2.5))) for i in range(14)] + [(2, 99, 0.0, 0.0, 0.0, 4.0, 2.0)]
+    df = spark.createDataFrame(boxes, "step int, id int, x double, y double, heading double, length double, width double")
+    got = {r.id: r.distance for r in lanes.nearest_object(df, ["step"]).collect()}
+    for b in boxes[:-1]:
+        want = math.inf
+        for o in boxes[:-1]:
+            if o[1] != b[1]:
+                off = [min(x[5], x[6]) * 0.7 / 2 for x in (b, o)]
+                want = min(want, polygon_distance(box_polygon(*b[2:5], b[5] - 2 * off[0], b[6] - 2 * off[0]), box_polygon(*o[2:5], o[5] - 2 * off[1], o[6] - 2 * off[1])) - sum(off))
+        assert got[b[1]] == pytest.approx(want, abs=1e-6)
+    assert got[99] == lanes.FAR_AWAY
+
+
+def test_features_and_shapes(spark):
+    states = [(1, f, float(f * f), [3.0, -3.0, 3.1][f % 3], f not in (2, 5), [0.0, 4.0, 6.0][f % 3]) for f in range(7)] + [(2, f, 0.0, 0.0, f < 3, 1.0) for f in range(7)]
+    df = spark.createDataFrame(states, "k int, f int, x double, heading double, valid boolean, length double")
+    got = agents.agent_features(df, ["k"], "f", 4, ["x"]).orderBy("f").collect()
+    ok = [f for f in range(7) if f not in (2, 5)]
+    assert [r.k for r in got] == [1] * 7 and [r.x for r in got] == pytest.approx(np.interp(range(7), ok, [f * f for f in ok]).tolist())
+    assert [r.heading for r in got] == pytest.approx(np.interp(range(7), ok, np.unwrap([states[f][3] for f in ok])).tolist())
+    shapes = rows(agents.causal_shapes(df, ["k"], "f", "valid", ["length"], 3), "k", "length")
+    assert shapes == [(1, 4.0), (2, 1.0)]  # frame 3 has no length: the mean of the valid positive ones before
+
+
+def test_endpoint_dynamics_match_numpy(spark):
+    rng = np.random.default_rng(12)
+    x, y, h = rng.normal(0, 0.02, (3, 6)).cumsum(axis=1)
+    g = lambda v: np.gradient(v, 0.1, edge_order=2)
+    ax, ay, turn = g(g(x))[-1], g(g(y))[-1], g(np.unwrap(h))[-1]
+    want = np.clip([ax * np.cos(h[5]) + ay * np.sin(h[5]), turn, ay * np.cos(h[5]) - ax * np.sin(h[5])], [-15, -3, -15], [15, 3, 15])
+    got = spark.createDataFrame([(x.tolist(), y.tolist(), h.tolist())], "x array<double>, y array<double>, h array<double>").select(agents.endpoint_dynamics(F.col("x"), F.col("y"), F.col("h")).alias("d")).first().d
+    assert list(got) == pytest.approx(want.tolist())
+
+
+def test_lookup_and_samples(spark):
+    table_ = spark.createDataFrame([(1, 2.0), (2, 3.0)], "t int, v double")
+    assert rows(agents.looked_up(spark.createDataFrame([(1,), (1,), (2,)], "t int"), table_, ["t"], ["v"]), "t", "v") == [(1, 2.0), (1, 2.0), (2, 3.0)]
+    with pytest.raises(Exception, match="no entry for 7"):
+        agents.looked_up(spark.createDataFrame([(7,)], "t int"), table_, ["t"], ["v"]).collect()
+    logits = spark.createDataFrame([(k, t, [0.0, 2.0, 1.0][t]) for k in range(400) for t in range(3)], "k int, t int, l double")
+    assert {r.t for r in agents.sampled_tokens(logits, ["k"], "t", "l", 1).collect()} == {1}
+    drawn = [r.t for r in agents.sampled_tokens(logits, ["k"], "t", "l", 2).collect()]
+    assert set(drawn) == {1, 2} and abs(drawn.count(1) / 400 - math.e / (1 + math.e)) < 0.1
+    assert rows(agents.sampled_tokens(logits, ["k"], "t", "l", 2), "k", "t") == rows(agents.sampled_tokens(logits, ["k"], "t", "l", 2), "k", "t")
+
+
+def test_heading_flips_and_residuals(spark):
+    h = [0.0, 0.1, 3.1, 3.0, 0.2, 0.1, 3.1, 0.1, 0.0, 0.1, 0.0]
+    df = spark.createDataFrame([(1, i, x, True) for i, x in enumerate(h)], "k int, f int, h double, v boolean")
+    assert rows(filters.heading_flips(df, ["k"], "f", "h", "v", math.radians(120), math.radians(45), 3), "f") == [(2,), (3,), (4,), (5,), (6,)]
+    x = [0.0, 1.0, 2.0, 50.0, *[float(i) for i in range(4, 24)]]
+    line = spark.createDataFrame([(1, i, v, True) for i, v in enumerate(x)], "k int, f int, x double, v boolean")
+    got = filters.residual_outliers(line, ["k"], "f", "f", "x", "v", 1.0)
+    assert rows(got.where("rejected"), "f") == [(3,)]

@@ -58,3 +58,12 @@ def parallel(heading_a: Column, heading_b: Column, limit_rad: float = math.radia
 def turn_direction(total: Column) -> Column:
     """straight, left or right by the summed turning angle (30 degrees)."""
     return F.when(total > math.pi / 6, "left").when(total < -math.pi / 6, "right").otherwise("straight")
+
+
+def point_distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
+
+
+def side_of_line(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """left or right: where the point lies, seen along the line from a to b; on it counts as right."""
+    return F.when((bx - ax) * (py - ay) - (by - ay) * (px - ax) > 0, "left").otherwise("right")

@@ -33,3 +33,14 @@ def join_phrases(phrases: Column) -> Column:
     """'a', 'a and b', 'a, b, and c'."""
     n = F.size(phrases)
     return F.when(n == 1, phrases[0]).when(n == 2, F.array_join(phrases, " and ")).when(n > 2, F.concat(F.array_join(F.slice(phrases, 1, n - 1), ", "), F.lit(", and "), F.element_at(phrases, -1)))
+
+
+def count_key(*parts: Column) -> Column:
+    """The parts of a counter's key joined by tabs."""
+    return F.concat_ws("\t", *[p.cast("string") for p in parts])
+
+
+def code_points(s: Column, most: int | None = None) -> Column:
+    """Array of the code points of a string, of at most so many characters."""
+    points = F.transform(F.split(s, ""), lambda c: F.ascii(c))
+    return points if most is None else F.slice(points, 1, most)

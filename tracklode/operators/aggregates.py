@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,31 @@ def unpivot_metrics(df: DataFrame, scope: str, metrics: list[str]) -> DataFrame:
     return df.select(F.col(scope).alias("scope"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m")).select("scope", "m.*")
 
 
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], buckets: int = 64) -> DataFrame:
+    """keys and, for each name in shares, the linearly interpolated percentile of value. Null keys are keys like any other.
+
+    Equal values are counted first. Approximate quantiles of a key only deal its values to `buckets` ranges, in which
+    running counts give exact ranks; so neither a key nor a hot value is a task of its own.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    bounds = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10 * buckets)).alias("_bounds"))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    dealt = counted.alias("x").join(bounds.alias("y"), same("x", "y")).select(*[F.col(f"x.{k}").alias(k) for k in keys], "_v", "_c", F.size(F.filter("_bounds", lambda b: b < F.col("_v"))).alias("_bucket"))
+    totals = dealt.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_t"))
+    order = Window.partitionBy(*keys).orderBy("_bucket")
+    totals = totals.withColumns({"_before": F.sum("_t").over(order) - F.col("_t"), "_n": F.sum("_t").over(Window.partitionBy(*keys))})
+    ranked = dealt.alias("x").join(totals.alias("y"), [*same("x", "y"), F.col("x._bucket") == F.col("y._bucket")]).select(*[F.col(f"x.{k}").alias(k) for k in keys], F.col("x._bucket").alias("_bucket"), "_v", "_c", "_before", "_n")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v")
+    ranked = ranked.withColumn("_first", F.col("_before") + F.sum("_c").over(inside) - F.col("_c"))
+    parts = []
+    for name, p in shares.items():
+        at = (F.col("_n") - 1) * F.lit(p)
+        low = F.max(F.when(F.col("_first") <= F.floor(at), F.col("_v")))
+        high = F.max(F.when(F.col("_first") <= F.ceil(at), F.col("_v")))
+        parts.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return ranked.groupBy(*keys).agg(*parts)
+
+
 def scoped_moments(samples: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Per metric, and scope or 'all': count, mean, population deviation, min, max, range, exact percentiles, their spread.
 
@@ -22,10 +47,11 @@ def scoped_moments(samples: DataFrame, low: float = 0.01, high: float = 0.99) ->
     """
     rows = samples.where(finite(F.col("value")))
     v = F.col("value")
-    grouped = rows.groupingSets([["metric", "scope"], ["metric"]], "metric", "scope").agg(
-        F.grouping("scope").alias("_all"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.array(F.lit(low), F.lit(high))).alias("p")
-    )
-    return grouped.select(F.when(F.col("_all") == 1, "all").otherwise(F.col("scope")).alias("scope"), "metric", "n", "mean", "std", "min", "max", (F.col("max") - F.col("min")).alias("range"), F.col("p")[0].alias("p_low"), F.col("p")[1].alias("p_high"), (F.col("p")[1] - F.col("p")[0]).alias("spread"))
+    both = rows.select(F.explode(F.array("scope", F.lit("all"))).alias("scope"), "metric", "value")
+    moments = both.groupBy("scope", "metric").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    p = exact_percentiles(both, ["scope", "metric"], "value", {"p_low": low, "p_high": high})
+    out = moments.alias("x").join(p.alias("y"), [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in ("scope", "metric")])
+    return out.select("x.scope", "x.metric", "n", "mean", "std", "min", "max", (F.col("max") - F.col("min")).alias("range"), "p_low", "p_high", (F.col("p_high") - F.col("p_low")).alias("spread"))
 
 
 def completed_counts(df: DataFrame, outer: str, inner: str, outer_values: list[str], inner_values: list[str]) -> DataFrame:
@@ -62,8 +88,8 @@ def masked_mean(value: Column, valid: Column) -> Column:
 
 
 def min_over_replicas(df: DataFrame, keys: list[str], replica: str, value: str, valid: str) -> DataFrame:
-    """Ratio of sums: over keys, the replica with the smallest sum of valid values, by its count of valid rows."""
+    """(value, keys): over keys with a valid row, the mean of the smallest sum of valid values of a replica by the number of valid rows."""
     v = F.when(F.col(valid), F.col(value))
     per = df.groupBy(*keys, replica).agg(F.sum(v).alias("s"), F.count(v).alias("n"))
     best = per.where("n > 0").groupBy(*keys).agg(F.min("s").alias("s"), F.max("n").alias("n"))
-    return best.agg((F.sum("s") / F.sum("n")).alias("value"), F.count(F.lit(1)).alias("keys"))
+    return best.agg(F.avg(F.col("s") / (F.col("n") + 1e-6)).alias("value"), F.count(F.lit(1)).alias("keys"))

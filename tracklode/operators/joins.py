@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A table of at most so many rows is broadcast.
 BROADCAST_ROWS = 200_000
+#: Tokens of a vocabulary that are sent to tasks at once.
+BLOCK_TOKENS = 16_384
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -32,18 +38,50 @@ def with_default(left: DataFrame, right: DataFrame, key: str, defaults: dict[str
     return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
 
 
+def prompts_for(agents: DataFrame, mapping: DataFrame, prompts: DataFrame) -> DataFrame:
+    """agents (scenario, agent) with prompt, empty if there is none, and has_prompt.
+
+    mapping: scenario, scene. prompts: scene, agent, prompt. A scenario without a scene has no prompts.
+    """
+    found = agents.join(mapping, "scenario", "left").join(prompts, ["scene", "agent"], "left")
+    return found.select(*agents.columns, F.coalesce("prompt", F.lit("")).alias("prompt"), (F.coalesce("prompt", F.lit("")) != "").alias("has_prompt"))
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest_token(rows: DataFrame, tokens: DataFrame, row_id: str, vector: str, token_id: str, token_vector: str) -> DataFrame:
+def nearest_token(rows: DataFrame, tokens: DataFrame, row_id: str, vector: str, token_id: str, token_vector: str, block: int = BLOCK_TOKENS) -> DataFrame:
     """Per row: the token with the smallest squared distance, the smallest id among equals: row_id, token, d2.
 
-    The vocabulary is a model's, of bounded size, and is broadcast as one array, so no row of the product is shuffled.
+    Rows meet the vocabulary in Arrow batches, block by block of at most `block` tokens, so a block is all that is ever
+    sent to the tasks at once; the best of the blocks is taken at the end. Rows without a vector have no token.
     """
-    words = tokens.agg(F.collect_list(F.struct(F.col(token_id).alias("id"), F.col(token_vector).alias("v"))).alias("_tokens"))
-    best = F.array_min(F.transform("_tokens", lambda t: F.struct(squared_distance(F.col(vector), t["v"]).alias("d2"), t["id"].alias("id"))))
-    return rows.join(F.broadcast(words)).select(F.col(row_id), best.alias("_b")).select(row_id, F.col("_b.id").alias("token"), F.col("_b.d2").alias("d2"))
+    n = tokens.count()
+    blocks = max(1, -(-n // block))
+    kinds = [rows.schema[row_id].dataType.simpleString(), tokens.schema[token_id].dataType.simpleString()]
+    parts = []
+    for i in range(blocks):
+        own = tokens.where(F.pmod(F.xxhash64(token_id), F.lit(blocks)) == i).orderBy(token_id).select(token_id, token_vector).toPandas()
+        if not len(own):
+            continue
+        ids, words = own[token_id].to_numpy(), np.stack(own[token_vector].to_numpy()).astype(np.float64)
+
+        def nearest(batches: Iterator[pa.RecordBatch], ids=ids, words=words) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, words.shape[1])
+                step = max(1, 4_000_000 // words.size)
+                d2 = np.concatenate([((flat[k : k + step, None, :] - words[None]) ** 2).sum(axis=2) for k in range(0, len(flat), step)]) if len(flat) else np.zeros((0, len(words)))
+                at = d2.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[at]), pa.array(d2[np.arange(len(at)), at])], [row_id, "token", "d2"])
+
+        parts.append(rows.where(F.col(vector).isNotNull()).select(row_id, vector).mapInArrow(nearest, f"`{row_id}` {kinds[0]}, token {kinds[1]}, d2 double"))
+    if len(parts) == 1:
+        return parts[0]
+    every = parts[0] if parts else rows.select(row_id, F.lit(None).cast(kinds[1]).alias("token"), F.lit(None).cast("double").alias("d2")).where("false")
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy(row_id).agg(F.min(F.struct("d2", "token")).alias("b")).select(row_id, "b.token", "b.d2")
 
 
 def radius_pairs(a: DataFrame, b: DataFrame, keys: list[str], radius: float, most: int | None = None, same_id: bool = True) -> DataFrame:
@@ -77,11 +115,11 @@ def crossings(positions: DataFrame, gates: DataFrame, keys: list[str], gate: str
     return out.where((F.col("_gap") == 1) & (F.col("_before") < 0) & (F.col("_rel") >= 0) & F.col("state").isin(stops)).select(*keys, gate, frame)
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str) -> DataFrame:
+def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, cell: float = 10.0) -> DataFrame:
     """(point, polygon) pairs: even-odd rule, the border counts as inside.
 
-    points: id, x, y. polygons: id, ring array<struct<x,y>> (not closed); a bounding box filters first, and the polygons
-    of a map are few, so they are broadcast if their number allows.
+    points: id, x, y. polygons: id, ring array<struct<x,y>> (not closed). Points and the polygons' bounding boxes meet in
+    grid cells of `cell`, so the join is an equality; the box filters before the exact test.
     """
     n = F.size("ring")
     edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("ring", i).alias("a"), F.get("ring", (i + 1) % n).alias("b")))
@@ -92,7 +130,10 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, po
     crossing = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"])
     inside = F.size(F.filter("_e", crossing)) % 2 == 1
     hit = (x >= F.col("_x0")) & (x <= F.col("_x1")) & (y >= F.col("_y0")) & (y <= F.col("_y1"))
-    return points.join(small(boxes), hit).where(on | inside).select(point_id, polygon_id)
+    at = lambda c: F.floor(F.col(c) / cell).cast("long")
+    boxes = boxes.withColumn("_cx", F.explode(F.sequence(at("_x0"), at("_x1")))).withColumn("_cy", F.explode(F.sequence(at("_y0"), at("_y1"))))
+    placed = points.withColumns({"_cx": at("x"), "_cy": at("y")})
+    return placed.join(boxes, ["_cx", "_cy"]).where(hit & (on | inside)).select(point_id, polygon_id)
 
 
 def global_range(df: DataFrame, source: str, record: str, start: int, count: int) -> DataFrame:
@@ -119,6 +160,6 @@ def bounded_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     frontier = reached
     for h in range(1, hops + 1):
         step = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(reached, "node", "left_anti").withColumn("hop", F.lit(h))
+        frontier = step.join(reached, "node", "left_anti").withColumn("hop", F.lit(h)).persist()  # read by every later hop
         reached = reached.unionByName(frontier)
     return reached

@@ -13,20 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def repaired_headings(states: Column, jump: float = 1.5) -> Column:
-    """Headings of an ordered array of (heading, valid), a valid one that jumps by more than `jump` replaced by the last kept.
+def repair_headings(df: DataFrame, key: str, frame: str, heading: str, valid: str, jump: float = 1.5) -> DataFrame:
+    """(key, frame, heading): a heading that is off the frame before by more than `jump` becomes that frame's, if both are valid.
 
-    A fold: what a frame becomes depends on what the frame before it became.
+    What a frame becomes depends on what the frame before it became.
     """
-    empty = F.struct(F.array().cast("array<double>").alias("out"), F.lit(None).cast("double").alias("last"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
-    def step(acc: Column, s: Column) -> Column:
-        off = s["heading"] - acc["last"]
-        wrapped = off - 2 * math.pi * F.floor((off + math.pi) / (2 * math.pi))
-        kept = F.when(s["valid"] & acc["last"].isNotNull() & (F.abs(wrapped) > jump), acc["last"]).otherwise(s["heading"])
-        return F.struct(F.concat(acc["out"], F.array(kept)).alias("out"), F.when(s["valid"], kept).otherwise(acc["last"]).alias("last"))
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(frame)
+        out, ok = part[heading].to_numpy(float).copy(), part[valid].to_numpy(bool)
+        for i in range(len(out) - 1):
+            off = (out[i] - out[i + 1] + math.pi) % (2 * math.pi) - math.pi
+            if ok[i] and ok[i + 1] and abs(off) > jump:
+                out[i + 1] = out[i]
+        return pd.DataFrame({key: part[key], frame: part[frame], heading: out})
 
-    return F.aggregate(states, empty, step, lambda acc: acc["out"])
+    return df.select(key, frame, heading, valid).groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{frame}` {kinds[frame]}, `{heading}` double")
 
 
 def polynomial_smooth(values: np.ndarray, window: int = 7, order: int = 2) -> np.ndarray:
@@ -63,45 +66,76 @@ def smooth_tracks(df: DataFrame, key: str, frame: str, value: str, valid: str, w
     return df.select(key, frame, value, valid).groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{frame}` {kinds[frame]}, smoothed double")
 
 
-def match_tokens(steps: DataFrame, vocabulary: np.ndarray, key: str, step: str) -> DataFrame:
-    """(key, step, token, x, y, heading): each step takes the token whose endpoint, from the pose reached so far, is nearest.
+def token_contours(ends: np.ndarray, width: float, length: float) -> np.ndarray:
+    """Corners (left front, right front, right back, left back) of boxes at the poses (x, y, heading): tokens x 4 x 2."""
+    lon, lat = length * np.array([0.5, 0.5, -0.5, -0.5]), width * np.array([0.5, -0.5, -0.5, 0.5])
+    c, s = np.cos(ends[:, 2:3]), np.sin(ends[:, 2:3])
+    return np.stack([ends[:, 0:1] + lon * c - lat * s, ends[:, 1:2] + lon * s + lat * c], axis=2)
+
 
-    steps: key, step, x, y, heading. vocabulary: endpoints (dx, dy, dheading) in the local frame, a bounded table. The pose
-    of a step depends on the token chosen before it, so the choice is sequential in a track. Ties take the lowest token.
+def match_tokens(steps: DataFrame, contours: np.ndarray, width: float, length: float, key: str, step: str) -> DataFrame:
+    """(key, step, token, x, y, heading, matched): each step takes the token whose corners, from the pose reached so far, are nearest to its own.
+
+    steps: key, step, x, y, heading, valid. contours: corners in the local frame (tokens x 4 x 2), a bounded table. Where
+    the step and the one before are valid, the pose goes on from the token's corners, else from the step's own pose; the
+    choice is sequential in a track. Ties take the lowest token.
     """
     kinds = {f.name: f.dataType.simpleString() for f in steps.schema}
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(step)
-        x, y, h = (float(part[c].iloc[0]) for c in ("x", "y", "heading"))
-        out = []
-        for row in part.iloc[1:].itertuples(index=False):
-            c, s = math.cos(h), math.sin(h)
-            ends = np.stack([x + vocabulary[:, 0] * c - vocabulary[:, 1] * s, y + vocabulary[:, 0] * s + vocabulary[:, 1] * c], axis=1)
-            token = int(((ends - [row.x, row.y]) ** 2).sum(axis=1).argmin())
-            x, y, h = float(ends[token, 0]), float(ends[token, 1]), h + float(vocabulary[token, 2])
-            out.append((getattr(row, key), getattr(row, step), token, x, y, h))
-        return pd.DataFrame(out, columns=[key, step, "token", "x", "y", "heading"])
+        true, ok = part[["x", "y", "heading"]].to_numpy(float), part["valid"].to_numpy(bool)
+        own = token_contours(true, width, length)
+        matched = ok[1:] & ok[:-1]
+        tokens, poses = np.zeros(len(part) - 1, np.int32), np.zeros((len(part) - 1, 3))
+        pose = true[0]
+        for i in range(1, len(part)):
+            c, s = math.cos(pose[2]), math.sin(pose[2])
+            world = contours @ np.array([[c, s], [-s, c]]) + pose[:2]
+            tokens[i - 1] = np.linalg.norm(world - own[i], axis=2).sum(axis=1).argmin()
+            corners = world[tokens[i - 1]]
+            ahead = corners[0] - corners[3]
+            pose = np.array([*corners.mean(axis=0), math.atan2(ahead[1], ahead[0])]) if matched[i - 1] else true[i]
+            poses[i - 1] = pose
+        out = {key: part[key].to_numpy()[1:], step: part[step].to_numpy()[1:], "token": tokens, "x": poses[:, 0], "y": poses[:, 1], "heading": poses[:, 2], "matched": matched}
+        return pd.DataFrame(out)
+
+    return steps.select(key, step, "x", "y", "heading", "valid").groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{step}` {kinds[step]}, token int, x double, y double, heading double, matched boolean")
+
+
+def road_class(valid: Column, region: Column, distance: Column, driveway: Column, approach: float = 30.0, leaving: float = 15.0) -> Column:
+    """Category of a frame: UNKNOWN if invalid, then the driveway proxy, then the zone of a junction, else the road.
+
+    region: INTERSECTION, IN_INTERSECTION, NEAR_INTERSECTION_APPROACH, NEAR_INTERSECTION_EXIT, ROAD_SEGMENT or another;
+    distance: along the lane to the junction's gate, or from its border.
+    """
+    near = (region == "NEAR_INTERSECTION_APPROACH") & (distance <= approach) | (region == "NEAR_INTERSECTION_EXIT") & (distance <= leaving)
+    zone = region.isin("INTERSECTION", "IN_INTERSECTION") | F.coalesce(near, F.lit(False))
+    road = region.isin("ROAD_SEGMENT", "NEAR_INTERSECTION_APPROACH", "NEAR_INTERSECTION_EXIT")
+    return F.when(~valid, "UNKNOWN").when(driveway, "PARKING_LOT_PROXY").when(zone, "INTERSECTION").when(road, "ROAD_SEGMENT").otherwise("UNKNOWN")
 
-    return steps.select(key, step, "x", "y", "heading").groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{step}` {kinds[step]}, token int, x double, y double, heading double")
 
+def road_subtype(category: Column, arms: Column, lanes: Column) -> Column:
+    """Subtype of a frame's category by the junction's arms or the number of lanes."""
+    junction = F.when(arms == 3, "THREE_ARM_INTERSECTION").when(arms == 4, "FOUR_ARM_INTERSECTION").otherwise("OTHER_INTERSECTION")
+    road = F.when(lanes > 0, F.concat(F.lit("LANE_COUNT_"), lanes.cast("string"))).otherwise("UNKNOWN_LANE_COUNT")
+    return F.when(category == "PARKING_LOT_PROXY", "DRIVEWAY_POLYGON_PROXY").when(category == "INTERSECTION", junction).when(category == "ROAD_SEGMENT", road).otherwise("UNKNOWN")
 
-def road_class(junction: Column, distance_in: Column, distance_out: Column, driveway: Column, approach: float = 30.0, leaving: float = 15.0) -> Column:
-    """Three classes of a frame: DRIVEWAY first, INTERSECTION inside or near a junction, else ROAD_SEGMENT; UNKNOWN without a match."""
-    near = junction | (F.coalesce(distance_in, F.lit(math.inf)) <= approach) | (F.coalesce(distance_out, F.lit(math.inf)) <= leaving)
-    return F.when(driveway, "DRIVEWAY").when(near, "INTERSECTION").when(junction.isNull(), "UNKNOWN").otherwise("ROAD_SEGMENT")
 
+def soft_targets(distances: DataFrame, keys: list[str], token: str, distance: str, smoothing: float = 0.1, legacy: bool = False) -> DataFrame:
+    """keys, token, weight: 1 - smoothing on the nearest token, the rest over the others by inverse squared distance; sums to 1.
 
-def soft_targets(distances: DataFrame, keys: list[str], token: str, d2: str, smoothing: float = 0.1) -> DataFrame:
-    """keys, token, weight: 1 - smoothing on the nearest token, the rest over the others by inverse squared distance; sums to 1."""
+    legacy: the rest is divided by the sum of the inverse squares twice, so the weights do not sum to 1.
+    """
     from pyspark.sql import Window
 
     way = Window.partitionBy(*keys)
-    ranked = distances.withColumn("_first", F.row_number().over(way.orderBy(d2, token)) == 1)
-    inverse = F.when(~F.col("_first"), 1.0 / (F.col(d2) + 1e-6)).otherwise(0.0)
+    ranked = distances.withColumn("_first", F.row_number().over(way.orderBy(distance, token)) == 1)
+    inverse = F.when(~F.col("_first"), 1.0 / ((F.col(distance) + 1e-4) * (F.col(distance) + 1e-4))).otherwise(0.0)
     ranked = ranked.withColumns({"_i": inverse, "_n": F.count(F.lit(1)).over(way)}).withColumn("_s", F.sum("_i").over(way))
     rest = F.when(F.col("_n") > 1, F.lit(smoothing)).otherwise(0.0)
-    return ranked.select(*keys, token, F.when(F.col("_first"), 1.0 - rest).otherwise(rest * F.col("_i") / F.col("_s")).alias("weight"))
+    share = F.col("_i") / F.col("_s") / F.col("_s") if legacy else F.col("_i") / F.col("_s")
+    return ranked.select(*keys, token, F.when(F.col("_first"), 1.0 - rest).otherwise(rest * share).alias("weight"))
 
 
 def first_per_key(df: DataFrame, key: str, order: list[str], shard_rows: int) -> DataFrame:

@@ -52,14 +52,14 @@ def fill_short_gaps(df: DataFrame, keys: list[str], frame: str, valid: str, most
 
 
 def interpolate(df: DataFrame, keys: list[str], at: str, value: str, valid: str, name: str = "interpolated") -> DataFrame:
-    """df with value, linear in `at` between the nearest valid rows; null before the first and after the last."""
+    """df with value, linear in `at` between the nearest valid rows; the first and the last of them hold beyond the ends."""
     way = Window.partitionBy(*keys).orderBy(at)
     point = F.when(F.col(valid), F.struct(F.col(at).alias("t"), F.col(value).alias("v")))
     before = F.last(point, ignorenulls=True).over(way.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(point, ignorenulls=True).over(way.rowsBetween(0, Window.unboundedFollowing))
     df = df.withColumns({"_b": before, "_a": after})
     inner = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * (F.col(at) - F.col("_b.t")) / (F.col("_a.t") - F.col("_b.t"))
-    return df.withColumn(name, F.when(F.col("_b").isNull() | F.col("_a").isNull(), F.lit(None).cast("double")).when(F.col("_a.t") == F.col("_b.t"), F.col("_b.v")).otherwise(inner)).drop("_b", "_a")
+    return df.withColumn(name, F.when(F.col("_b").isNull(), F.col("_a.v")).when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_a.t") == F.col("_b.t"), F.col("_b.v")).otherwise(inner)).drop("_b", "_a")
 
 
 def gradient(df: DataFrame, keys: list[str], at: str, value: str, name: str = "gradient") -> DataFrame:

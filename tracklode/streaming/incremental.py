@@ -16,7 +16,7 @@ def drain(spark: SparkSession, source: str, schema: StructType, checkpoint: str,
 
     def fold(batch: DataFrame, number: int) -> None:
         v = F.col(value).cast("double")
-        rows = batch.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+        rows = batch.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"), F.min(v).alias("lo"), F.max(v).alias("hi"))
         rows.write.mode("overwrite").parquet(f"{partials}/batch={number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
@@ -24,10 +24,15 @@ def drain(spark: SparkSession, source: str, schema: StructType, checkpoint: str,
 
 
 def moments(spark: SparkSession, partials: str, keys: list[str]) -> DataFrame:
-    """keys, n, mean, std, min, max from the partial rows."""
-    total = spark.read.parquet(partials).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("lo").alias("min"), F.max("hi").alias("max"))
-    mean = F.col("s") / F.col("n")
-    return total.select(*keys, "n", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)).alias("std"), "min", "max")
+    """keys, n, mean, std, min, max from the partial rows, whose squared deviations are merged about the common mean."""
+    rows = spark.read.parquet(partials)
+    weighted = (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean")
+    total = rows.groupBy(*keys).agg(F.sum("n").alias("n"), weighted, F.min("lo").alias("min"), F.max("hi").alias("max"))
+    common = total.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("mean").alias("_mean"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    spread = rows.join(common, same).groupBy(*keys).agg(F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("_mean"), F.lit(2))).alias("_m2"))
+    both = total.alias("t").join(spread.alias("s"), [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
+    return both.select(*[F.col(f"t.{k}").alias(k) for k in keys], "n", "mean", F.sqrt(F.col("_m2") / F.col("n")).alias("std"), "min", "max")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
