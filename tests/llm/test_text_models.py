@@ -220,11 +220,80 @@ def test_lm_without_training_and_empty(spark):
     assert lm.score(documents(spark, []), F.lit(True)).count() == 0
 
 
-def test_lm_table_is_normalised():
-    rng = np.random.default_rng(0)
-    cells = np.unique(rng.integers(0, lm.CLASSES**3, 500))
-    table = lm.fit(cells, np.ones(len(cells))).table()
-    assert np.allclose(np.exp(table).sum(axis=1), 1, atol=1e-4)
+def plain_lm_score(v, model, text):
+    """The score of a text word by word, with every probability normalised over all entries and checked to sum to 1."""
+    words_, out, out_bias, classes, class_bias, weights = (x.astype(float) for x in model.parts(v))
+    tokens = [*words(text), None]
+    data = np.frombuffer((" ".join(w.decode() for w in words(text)) or " ").encode(), np.uint8)
+    starts, ends, _ = lm_spans(data)
+    hashes = textkit_hashes(data, starts, ends)
+    ending = lm.endings(data, starts, ends) if len(starts) else np.zeros(0, np.uint8)
+    entries = [*v.entries(hashes, ending).tolist(), v.end]
+    counts = dict(zip(v.known.tolist(), v.known_count.tolist(), strict=True))
+    total = 0.0
+    for i, e in enumerate(entries):
+        context = [entries[i - k] if i >= k else v.end for k in range(1, lm.CONTEXT + 1)]
+        q = sum(words_[c] * weights[k] for k, c in enumerate(context))
+        p_class = np.exp(q @ classes.T + class_bias)
+        p_class /= p_class.sum()
+        p = np.zeros(len(v.counts))
+        for c in range(lm.CLASSES):
+            own = np.flatnonzero(v.members == c)
+            inside = np.exp(out[own] @ q + out_bias[own])
+            p[own] = p_class[c] * inside / inside.sum()
+        assert abs(p.sum() - 1) < 1e-6
+        total += math.log10(p[e])
+        if e >= v.own:
+            total += math.log10(counts.get(int(hashes[i]), 0) + 0.5) - v.rest_log[ending[i]]
+    assert len(tokens) == len(entries)
+    return total
+
+
+def textkit_hashes(data, starts, ends):
+    from tracklode.llm import textkit
+
+    return textkit.word_hashes(data, starts, ends).view(np.int64)
+
+
+def lm_spans(data):
+    from tracklode.llm import textkit
+
+    return textkit.word_spans(data, np.array([0, len(data)]), textkit.space_table())
+
+
+def test_lm_scores_match_a_plain_model(spark):
+    from pyspark.sql import functions as F
+
+    data = [(i, prose(i % 9, 40 + i % 30)) for i in range(80)] + [(500, None), (501, ""), (502, "Never SEEN words aw1"), (503, "aw1 AW1 bw2")]
+    docs = documents(spark, data)
+    texts = docs.where("doc_id <> 502").select("text")
+    counted = texts.mapInArrow(lm.count_batches, "word long, ending int, n long").groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("c"))
+    v = lm.vocabulary(counted)
+    assert v.own > 50 and np.allclose(v.counts.sum(), v.tokens)
+    model = lm.train(spark, texts, v)
+    got = {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") != 502).collect()}
+    for i, t in data[::11] + data[-4:]:
+        assert got[i] == pytest.approx(plain_lm_score(v, model, t), rel=2e-3)
+
+
+def test_lm_learns_more_than_counts(spark):
+    from pyspark.sql import functions as F
+
+    import random
+
+    rng = random.Random(2)
+    follow = [[rng.randrange(150) for _ in range(3)] for _ in range(150)]
+    data = []
+    for i in range(300):
+        chain = [rng.randrange(150)]
+        while len(chain) < 200:
+            chain.append(rng.choice(follow[chain[-1]]))
+        data.append((i, " ".join(f"w{k}" for k in chain)))
+    got = lm.score(documents(spark, data), F.crc32(F.col("doc_id").cast("string")) % 5 != 1).collect()
+    held = [r for r in got if crc(r.doc_id) % 5 == 1]
+    n = sum(r.n_tokens for r in held)
+    # A word has three followers of 150.
+    assert (sum(r.score for r in held) - sum(r.base_score for r in held)) / n > 0.5
 
 
 def test_edited_counts(spark):

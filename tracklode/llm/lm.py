@@ -1,14 +1,20 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-Tokens are ASCII-lower-cased words (64-bit hashes of them) and one end for each text. The neural model predicts the class of
-the next token from the classes of the two before it: the most frequent words and the end are classes of their own, all
-other words fall into classes by their endings. Within such a class a word has its add-half share of the training count,
-so the model is a distribution over all words and one unknown word. Everything learned is counted over all training
-texts: word counts by a distributed aggregation, and class trigrams, whose table has at most CLASSES**3 cells and is the
-sufficient statistic that the driver fits the small model to.
-
-A text's words need their counts. Tasks replace words by their place in a dictionary of the task's block of texts, only the
-distinct words of a block are joined with the counts, and each block then meets its own dictionary again.
+Tokens are ASCII-lower-cased words (64-bit hashes of them) and one end for each text. The most frequent words (and the
+end) have vectors of their own, and all other words share the vectors of their ending class; the number of words with
+vectors grows with the vocabulary, up to MAX_OWN. A context is the weighted sum of the vectors of the CONTEXT tokens
+before; the model first gives the class of the next token, then the word within the class, both as a normalised
+exponential of the product of context and output vectors. A word without a vector of its own is its class's rest entry
+times its add-half share of the training count of the class's rest, so the model is a distribution over all words and one
+unknown word.
+
+Training goes over all training texts: every task runs noise-contrastive steps over its own tokens, and the parameters
+are averaged by tokens, which Spark sums by parameter row; a small corpus is gone over several times. The driver holds
+parameters only, whose number is bounded by MAX_OWN.
+
+A text's words need their counts. The counts of the KNOWN_WORDS most frequent words go to the tasks; for the others,
+tasks replace words by their place in a dictionary of the task's block of texts, only the distinct words of a block are
+joined with the counts, and each block then meets its own dictionary again.
 
 Defined cases: null text is empty, so its only token is the end; rows that repeat are scored one by one; without training
 texts every token is unknown; a null id is scored and is not held out; other columns are not read.
@@ -23,38 +29,41 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
-from .textkit import U64, mix, runs, space_table, text_chunks, word_hashes, word_spans
-
-FREQUENT, ENDINGS = 72, 24  # classes: frequent words with the end, and endings of the others
-CLASSES = FREQUENT + ENDINGS
-END_CLASS = 0
+from .common import cut, small_batches
+from .textkit import U64, chunk_words, mix, runs
+
+CLASSES = 64
+#: Words with vectors of their own: those with at least MIN_COUNT occurrences, at most so many.
+MAX_OWN, MIN_COUNT = 4096, 8
+#: Words whose counts are sent to the tasks.
+KNOWN_WORDS = 1 << 18
+CONTEXT, DIMENSIONS, NOISE, CLASS_NOISE, BATCH = 3, 32, 32, 16, 768
+#: Training steps see so many tokens at least: in up to MAX_PASSES passes over the texts, each up to MAX_ROUNDS times over a block.
+MIN_SEEN, MAX_PASSES, MAX_ROUNDS = 1_500_000, 5, 4
+RATE, DECAY, SQUARES = 0.1, 0.5, 0.1  # step size, its fall over the passes, first sum of squares
 END_HASH = np.int64(-(1 << 62) + 12345)  # the end's key beside the words' hashes
-BLOCK_WORDS = 1_200_000
-DIMENSIONS, NOISE, STEPS, BATCH = 32, 32, 600, 4096
+BLOCK_WORDS = 600_000
 
 
 def endings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Class by ending: the last two bytes (A-Z as a-z), whether the word is longer than four bytes."""
-    low = data.astype(U64)
-    low[(data >= 65) & (data <= 90)] += U64(32)
-    last = low[ends - 1]
-    second = np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], U64(0))
-    return (mix(last + second * U64(256) + (ends - starts > 4).astype(U64) * U64(65536)) % U64(ENDINGS)).astype(np.int64)
+    lower = lambda b: b + U64(32) * ((b >= 65) & (b <= 90)).astype(U64)
+    last = lower(data[ends - 1].astype(U64))
+    second = np.where(ends - starts > 1, lower(data[np.maximum(ends - 2, 0)].astype(U64)), U64(0))
+    return (mix(last + second * U64(256) + (ends - starts > 4).astype(U64) * U64(65536)) % U64(CLASSES)).astype(np.uint8)
 
 
 def block_words(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray]]:
     """(batches of the block, hashes, ending classes, words of each row) of blocks of about BLOCK_WORDS words."""
     held, hashes, classes, counts, size = [], [], [], [], 0
     for batch in batches:
-        for lo, hi, data, offs in text_chunks(batch.column(text)):
-            starts, ends, rows = word_spans(data, offs, space_table())
+        for lo, hi, data, starts, ends, rows, own in chunk_words(batch.column(text)):
             held.append(batch.slice(lo, hi - lo))
-            hashes.append(word_hashes(data, starts, ends).view(np.int64))
-            classes.append(endings(data, starts, ends).astype(np.uint8) if len(data) else np.zeros(0, np.uint8))
+            hashes.append(own.view(np.int64))
+            classes.append(endings(data, starts, ends) if len(starts) else np.zeros(0, np.uint8))
             counts.append(np.diff(runs(rows, hi - lo)))
             size += len(starts)
             if size >= BLOCK_WORDS:
@@ -74,165 +83,302 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 @dataclass
 class Vocabulary:
+    """Entries: the words with vectors, by falling count, then a rest entry for each class."""
+
     tokens: int  # N
     distinct: int  # V
-    frequent: np.ndarray  # sorted hashes of the frequent words
-    frequent_class: np.ndarray
-    frequent_log: np.ndarray  # log10(c + 0.5) by class
     end_count: int
-    ending_log: np.ndarray  # log10 of the denominator of each ending class
-
-
-def token_classes(v: Vocabulary, hashes: np.ndarray, ending: np.ndarray) -> np.ndarray:
-    out = ending.astype(np.int64) + FREQUENT
-    if len(v.frequent):
-        at = np.minimum(np.searchsorted(v.frequent, hashes), len(v.frequent) - 1)
-        known = v.frequent[at] == hashes
-        out[known] = v.frequent_class[at[known]]
-    return out
-
-
-def trigram_cells(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cell of each token in its context, row of each token), the end of each row included; texts begin after ends."""
+    known: np.ndarray  # sorted hashes of the most frequent words
+    known_count: np.ndarray
+    known_entry: np.ndarray  # their entries; -1 for the rest of their class
+    counts: np.ndarray  # tokens of each entry
+    members: np.ndarray  # class of each entry
+    rest_log: np.ndarray  # log10 of the add-half total of each class's rest, the unknown word included
+    end: int  # the end's entry
+
+    @property
+    def own(self) -> int:
+        return len(self.counts) - CLASSES
+
+    def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the known words, whether it is known)."""
+        if not len(self.known):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return at, self.known[at] == hashes
+
+    def entries(self, hashes: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        at, there = self.look(hashes)
+        out = np.where(there, self.known_entry[at] if len(self.known) else -1, -1)
+        return np.where(out < 0, self.own + ending.astype(np.int64), out)
+
+
+def sequences(v: Vocabulary, hashes: np.ndarray, ending: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry of each token, the ends included, contexts tokens x CONTEXT nearest first, row of each token); texts begin after ends."""
     row = np.repeat(np.arange(len(counts)), counts)
-    seq = np.full(len(classes) + len(counts), END_CLASS, np.int64)
-    seq[np.arange(len(classes)) + row] = classes
-    begin = np.concatenate([[0], np.cumsum(counts + 1)])[:-1]
-    one = np.concatenate([[END_CLASS], seq[:-1]])
-    two = np.concatenate([[END_CLASS, END_CLASS], seq[:-2]])[: len(seq)]
-    two[begin] = END_CLASS
-    return (two * CLASSES + one) * CLASSES + seq, np.repeat(np.arange(len(counts)), counts + 1)
-
-
-def trigram_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CLASSES**3, np.int64)
-    for _, hashes, ending, counts in block_words(batches, 0):
-        total += np.bincount(trigram_cells(token_classes(v, hashes, ending), counts)[0], minlength=len(total))
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "n"])
+    seq = np.full(len(hashes) + len(counts), v.end, np.int32)
+    seq[np.arange(len(hashes)) + row] = v.entries(hashes, ending)
+    rows = np.repeat(np.arange(len(counts)), counts + 1)
+    begin = np.concatenate([[0], np.cumsum(counts + 1)])[:-1][rows]
+    at = np.arange(len(seq))
+    contexts = np.stack([np.where(at - k >= begin, seq[np.maximum(at - k, 0)], v.end) for k in range(1, CONTEXT + 1)], axis=1)
+    return seq, contexts, rows
 
 
 @dataclass
 class LogBilinear:
-    context: np.ndarray  # 2 x classes x dimensions
-    mixing: np.ndarray  # 2 x dimensions x dimensions
-    output: np.ndarray  # classes x dimensions
-    bias: np.ndarray
-
-    def table(self) -> np.ndarray:
-        """Normalised log probabilities, contexts x classes, by batched matrix products."""
-        two, one = self.context[0] @ self.mixing[0], self.context[1] @ self.mixing[1]
-        out = np.empty((CLASSES * CLASSES, CLASSES), np.float32)
-        for c in range(CLASSES):
-            logits = (two[c] + one) @ self.output.T + self.bias
-            top = logits.max(axis=1, keepdims=True)
-            out[c * CLASSES : (c + 1) * CLASSES] = logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True))
-        return out
-
-
-def fit(cells: np.ndarray, n: np.ndarray, seed: int = 3) -> LogBilinear:
-    """Noise-contrastive estimation with Adam on class trigrams drawn by their counts; the noise is the class unigram."""
-    rng = np.random.default_rng(seed)
-    cells, n = (cells, n) if len(cells) else (np.zeros(1, np.int64), np.ones(1))
-    share = np.cumsum(n) / n.sum()
-    noise = np.bincount(cells % CLASSES, weights=n, minlength=CLASSES) + 0.5
-    noise /= noise.sum()
-    log_noise = np.log(NOISE * noise)
-    params = [rng.normal(0, 0.1, (2, CLASSES, DIMENSIONS)), np.stack([np.eye(DIMENSIONS)] * 2), rng.normal(0, 0.1, (CLASSES, DIMENSIONS)), np.log(noise)]
-    m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    spread = lambda idx, grad: np.eye(CLASSES)[idx].T @ grad
-    for step in range(1, STEPS + 1):
-        context, mixing, output, bias = params
-        cell = cells[np.minimum(np.searchsorted(share, rng.random(BATCH)), len(cells) - 1)]
-        two, one, word = cell // CLASSES**2, cell // CLASSES % CLASSES, cell % CLASSES
-        fake = rng.choice(CLASSES, NOISE, p=noise)
-        predicted = context[0][two] @ mixing[0] + context[1][one] @ mixing[1]
-        # Gradients of -log s(real) - sum log(1 - s(fake)), s the odds against the noise.
-        real = sigmoid((predicted * output[word]).sum(1) + bias[word] - log_noise[word]) - 1
-        false = sigmoid(predicted @ output[fake].T + bias[fake] - log_noise[fake])
-        g_pred = real[:, None] * output[word] + false @ output[fake]
-        g_out = spread(word, real[:, None] * predicted) + spread(fake, false.T @ predicted)
-        g_bias = np.bincount(word, weights=real, minlength=CLASSES) + np.bincount(fake, weights=false.sum(0), minlength=CLASSES)
-        g_mix = np.stack([context[0][two].T @ g_pred, context[1][one].T @ g_pred])
-        g_ctx = np.stack([spread(two, g_pred @ mixing[0].T), spread(one, g_pred @ mixing[1].T)])
-        rate = 0.02 * (1 - step / (STEPS + 1)) ** 0.5
-        for i, g in enumerate((g_ctx, g_mix, g_out, g_bias)):
-            g = g / BATCH
-            m[i] = 0.9 * m[i] + 0.1 * g
-            s[i] = 0.99 * s[i] + 0.01 * g * g
-            params[i] = params[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.99**step)) + 1e-8)
-    return LogBilinear(*params)
-
-
-SCORE_COLUMNS = "kind int, block long, id {id}, n_tokens long, class_log double, frequent_log double, ending_log double, places binary, word long, place int"
-
-
-def score_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0: a text with its class scores and its words as (place, count) in the block's dictionary; of kind 1: the dictionary."""
-    table = table.reshape(-1)
+    """All parameters as one table, a row for each vector; the biases are the last column."""
+
+    table: np.ndarray  # (entries context, entries output, CLASSES class output, CONTEXT weights) x (DIMENSIONS + 1)
+
+    @staticmethod
+    def start(v: Vocabulary, seed: int = 3) -> LogBilinear:
+        rng = np.random.default_rng(seed)
+        e = len(v.counts)
+        table = rng.normal(0, 0.1, (2 * e + CLASSES + CONTEXT, DIMENSIONS + 1)).astype(np.float32)
+        share = (v.counts + 0.5) / (v.counts + 0.5).sum()
+        table[:e, -1] = 0
+        table[e : 2 * e, -1] = np.log(share)
+        table[2 * e : 2 * e + CLASSES, -1] = np.log(np.bincount(v.members, weights=share, minlength=CLASSES) + 1e-9)
+        table[-CONTEXT:] = 0.5
+        return LogBilinear(table)
+
+    def parts(self, v: Vocabulary) -> tuple[np.ndarray, ...]:
+        """Views: context vectors, output vectors, their biases, class vectors, their biases, weights."""
+        e, d = len(v.counts), DIMENSIONS
+        t = self.table
+        return t[:e, :d], t[e : 2 * e, :d], t[e : 2 * e, d], t[2 * e : 2 * e + CLASSES, :d], t[2 * e : 2 * e + CLASSES, d], t[-CONTEXT:, :d]
+
+    def predicted(self, v: Vocabulary, contexts: np.ndarray) -> np.ndarray:
+        words, *_, weights = self.parts(v)
+        return sum(words[contexts[:, k]] * weights[k] for k in range(CONTEXT))
+
+
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, sums of the values of each)."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return rows[first], np.add.reduceat(values[order], first, axis=0)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return np.float32(1) / (np.float32(1) + np.exp(-np.clip(x, np.float32(-30), np.float32(30))))
+
+
+class Trainer:
+    """Noise-contrastive steps with per-element step sizes (AdaGrad)."""
+
+    def __init__(self, v: Vocabulary, model: LogBilinear, seed: int):
+        self.v, self.model = v, model
+        self.rate = np.float32(RATE / (1 + seed) ** DECAY)
+        self.squares = np.full_like(model.table, SQUARES)
+        self.rng = np.random.default_rng(seed)
+        share = (v.counts + 0.5) ** 0.75
+        by_class = np.bincount(v.members, weights=v.counts + 0.5, minlength=CLASSES)
+        self.heads = []
+        for p, k in ((share / share.sum(), NOISE), (by_class / by_class.sum(), CLASS_NOISE)):
+            self.heads.append((np.cumsum(p), k, np.log(k * p).astype(np.float32)))
+
+    def step(self, entries: np.ndarray, contexts: np.ndarray) -> None:
+        v, m, n = self.v, self.model, len(entries)
+        words, out, out_bias, classes, class_bias, weights = m.parts(v)
+        e = len(v.counts)
+        looked = [words[contexts[:, k]] for k in range(CONTEXT)]
+        q = sum(x * w for x, w in zip(looked, weights, strict=True))
+        g_q = np.zeros_like(q)
+        updates = []
+        for (share, k, odds), vectors, bias, real, first in ((self.heads[0], out, out_bias, entries, e), (self.heads[1], classes, class_bias, v.members[entries], 2 * e)):
+            fake = np.minimum(np.searchsorted(share, self.rng.random(k)), len(share) - 1)
+            # Gradients of -log s(real) - sum log(1 - s(fake)), s the odds against the noise.
+            own = vectors[real]
+            up = sigmoid(np.einsum("ij,ij->i", q, own) + bias[real] - odds[real]) - np.float32(1)
+            down = sigmoid(q @ vectors[fake].T + (bias[fake] - odds[fake]))
+            g_q += up[:, None] * own + down @ vectors[fake]
+            updates.append((first + np.concatenate([real, fake]), np.concatenate([np.column_stack([up[:, None] * q, up]), np.column_stack([down.T @ q, down.sum(axis=0)])])))
+        g_words = np.concatenate([g_q * w for w in weights])
+        updates.append((contexts.T.reshape(-1), np.column_stack([g_words, np.zeros(len(g_words), np.float32)])))
+        g_weights = np.stack([(g_q * x).sum(axis=0) for x in looked])
+        updates.append((np.arange(len(m.table) - CONTEXT, len(m.table)), np.column_stack([g_weights, np.zeros(CONTEXT, np.float32)])))
+        for rows, grads in updates:
+            at, g = summed(rows, grads)
+            g *= np.float32(32 / n)
+            squares = self.squares[at] + g * g
+            self.squares[at] = squares
+            m.table[at] -= self.rate * g / np.sqrt(squares)
+
+
+def train_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, table: np.ndarray, seed: int, rounds: int = 1) -> Iterator[pa.RecordBatch]:
+    """(row, values, tokens): the parameters after one pass over the partition's tokens, weighted by them."""
+    trainer, seen = Trainer(v, LogBilinear(table.copy()), seed), 0
+    for _, hashes, ending, counts in block_words(batches, 0):
+        entries, contexts, _ = sequences(v, hashes, ending, counts)
+        for _ in range(rounds):
+            order = trainer.rng.permutation(len(entries))
+            for i in range(0, len(order), BATCH):
+                trainer.step(entries[order[i : i + BATCH]], contexts[order[i : i + BATCH]])
+        seen += len(entries)
+    if seen:
+        t = trainer.model.table
+        for i in range(0, len(t), 2048):
+            part = t[i : i + 2048]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]), pa.array(part.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part), dtype=np.int32)), lists, pa.array(np.full(len(part), float(seen)))], ["row", "values", "tokens"])
+
+
+def sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, values, tokens): the weighted sums of a partition's rows, a few kilobytes a row of the parameters at most."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        values = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
+        weight = batch.column(2).to_numpy()
+        rows, sums = summed(batch.column(0).to_numpy(), np.column_stack([values * weight[:, None], weight])) if batch.num_rows else ([], [])
+        for r, s in zip(rows, sums, strict=True):
+            total[int(r)] = total[int(r)] + s if int(r) in total else s
+    if total:
+        rows = sorted(total)
+        sums = np.stack([total[r] for r in rows])
+        flat = sums[:, :-1].astype(np.float32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), lists, pa.array(sums[:, -1])], ["row", "values", "tokens"])
+
+
+PARAMETERS = "row int, values array<float>, tokens double"
+
+
+def train(spark: SparkSession, texts: DataFrame, v: Vocabulary) -> LogBilinear:
+    """Passes over all training texts, the tasks' parameters averaged by tokens after each."""
+    model = LogBilinear.start(v)
+    wanted = max(1, -(-MIN_SEEN // max(1, v.tokens)))
+    passes = min(MAX_PASSES, wanted)
+    rounds = min(MAX_ROUNDS, -(-wanted // passes))
+    for k in range(passes):
+        shared = spark.sparkContext.broadcast((v, model.table))
+        learned = texts.mapInArrow(lambda it, shared=shared, k=k: train_batches(it, *shared.value, k, rounds), PARAMETERS)
+        summed_rows = learned.repartition(spark.sparkContext.defaultParallelism, "row").mapInArrow(sum_batches, PARAMETERS)
+        got = summed_rows.toPandas()  # a row for each row of the parameters
+        if len(got):
+            table = model.table.copy()
+            table[got["row"].to_numpy()] = np.stack(got["values"].to_numpy()) / got["tokens"].to_numpy()[:, None]
+            model = LogBilinear(table)
+        shared.unpersist()
+    return model
+
+
+def log_probabilities(v: Vocabulary, model: LogBilinear, entries: np.ndarray, contexts: np.ndarray, step: int = 16_384) -> np.ndarray:
+    """Normalised natural log probability of each token's entry in its context, by batched matrix products over classes, then within each."""
+    _, out, out_bias, classes, class_bias, _ = model.parts(v)
+    groups = [np.flatnonzero(v.members == c) for c in range(CLASSES)]
+    inside = np.zeros(len(v.counts), np.int64)
+    for g in groups:
+        inside[g] = np.arange(len(g))
+    logs = np.zeros(len(entries))
+
+    def log_softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        top = x.max(axis=1, keepdims=True)
+        return x[np.arange(len(x)), at] - top[:, 0] - np.log(np.exp(x - top).sum(axis=1))
+
+    for i in range(0, len(entries), step):
+        own = entries[i : i + step]
+        q, kind = model.predicted(v, contexts[i : i + step]), v.members[own]
+        logs[i : i + step] = log_softmax(q @ classes.T + class_bias, kind)
+        order = np.argsort(kind, kind="stable")
+        ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        for c, g in enumerate(groups):
+            at = order[ends[c] : ends[c + 1]]
+            if len(at):
+                logs[i + at] += log_softmax(q[at] @ out[g].T + out_bias[g], inside[own[at]])
+    return logs
+
+
+SCORE_COLUMNS = "kind int, block long, id {id}, n_tokens long, n_known long, neural double, base double, rest double, places binary, word long, place int"
+
+
+def score_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, model: LogBilinear) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 0: a text with its scores so far and its rarer words as (place, count) in the block's dictionary; of kind 1: the dictionary.
+
+    base sums log10(c + 0.5) of the known words and the end; rest what words without vectors add to the neural score:
+    their log10(c + 0.5) as far as they are known, less the total of their class's rest.
+    """
+    names = [x.split()[0] for x in SCORE_COLUMNS.split(", ")]
+    logs = np.log10(v.known_count + 0.5)
     for held, hashes, ending, counts in block_words(batches, 1):
         block = np.int64(uuid.uuid4().int >> 65)
-        words, place = np.unique(hashes, return_inverse=True)
-        classes = token_classes(v, hashes, ending)
-        cells, row = trigram_cells(classes, counts)
         n_rows = len(counts)
-        class_log = np.bincount(row, weights=table[cells], minlength=n_rows) / np.log(10)
+        entries, contexts, row = sequences(v, hashes, ending, counts)
+        neural = np.bincount(row, weights=log_probabilities(v, model, entries, contexts), minlength=n_rows) / np.log(10)
         own = np.repeat(np.arange(n_rows), counts)
-        single = classes < FREQUENT
-        frequent_log = np.bincount(own[single], weights=v.frequent_log[classes[single]], minlength=n_rows).astype(float)
-        ending_log = np.bincount(own[~single], weights=v.ending_log[classes[~single] - FREQUENT], minlength=n_rows).astype(float)
-        pairs, n = np.unique(own * (len(words) + 1) + place, return_counts=True)
+        at, there = v.look(hashes)
+        vector = v.entries(hashes, ending) < v.own
+        add = lambda rows, values: np.bincount(rows, weights=values, minlength=n_rows).astype(float)
+        base = add(own[there], logs[at[there]]) + np.log10(v.end_count + 0.5)
+        rest = add(own[there & ~vector], logs[at[there & ~vector]]) - add(own[~vector], v.rest_log[ending[~vector]])
+        known = np.bincount(own[there], minlength=n_rows) + (v.end_count > 0)
+        words, place = np.unique(hashes[~there], return_inverse=True)
+        pairs, n = np.unique(own[~there] * (len(words) + 1) + place, return_counts=True)
         packed = np.stack([pairs % (len(words) + 1), n], axis=1).astype("<u4")
-        at = np.searchsorted(pairs, np.arange(n_rows + 1) * (len(words) + 1))
+        cuts = np.searchsorted(pairs, np.arange(n_rows + 1) * (len(words) + 1))
         ids = pa.concat_arrays([b.column(0) for b in held])
-        binary = pa.array([packed[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+        binary = pa.array([packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
         none = lambda kind, size: pa.nulls(size, kind)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n_rows, np.int32)), pa.array(np.full(n_rows, block)), ids, pa.array(counts + 1), pa.array(class_log), pa.array(frequent_log), pa.array(ending_log), binary, none(pa.int64(), n_rows), none(pa.int32(), n_rows)], [x.split()[0] for x in SCORE_COLUMNS.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n_rows, np.int32)), pa.array(np.full(n_rows, block)), ids, pa.array(counts + 1), pa.array(known.astype(np.int64)), pa.array(neural), pa.array(base), pa.array(rest), binary, none(pa.int64(), n_rows), none(pa.int32(), n_rows)], names)
         size = len(words)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int32)), pa.array(np.full(size, block)), none(ids.type, size), none(pa.int64(), size), *(none(pa.float64(), size) for _ in range(3)), none(pa.binary(), size), pa.array(words), pa.array(np.arange(size, dtype=np.int32))], [x.split()[0] for x in SCORE_COLUMNS.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int32)), pa.array(np.full(size, block)), none(ids.type, size), none(pa.int64(), size), none(pa.int64(), size), *(none(pa.float64(), size) for _ in range(3)), none(pa.binary(), size), pa.array(words), pa.array(np.arange(size, dtype=np.int32))], names)
 
 
-def sum_counts(texts: pd.DataFrame, dictionary: pd.DataFrame, v: Vocabulary) -> pd.DataFrame:
-    """Base and model scores of a block's texts from the counts of its dictionary."""
-    count = np.zeros(int(dictionary["place"].max() + 1) if len(dictionary) else 0, np.int64)
+def sum_counts(texts: pd.DataFrame, dictionary: pd.DataFrame, tokens: int, distinct: int) -> pd.DataFrame:
+    """Base and model scores of a block's texts once the counts of its dictionary are there."""
+    parts = [np.frombuffer(packed, "<u4").reshape(-1, 2) for packed in texts["places"]]
+    count = np.zeros(1 + max((int(p[-1, 0]) for p in parts if len(p)), default=0), np.int64)  # places ascend in a text
     count[dictionary["place"]] = dictionary["c"]
     logs = np.log10(count + 0.5)
-    total, known = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    for i, packed in enumerate(texts["places"]):
-        part = np.frombuffer(packed, "<u4").reshape(-1, 2)
+    total, known = np.zeros(len(texts)), texts["n_known"].to_numpy().copy()
+    for i, part in enumerate(parts):
         total[i] = (logs[part[:, 0]] * part[:, 1]).sum()
-        known[i] = part[count[part[:, 0]] > 0, 1].sum()
+        known[i] += part[count[part[:, 0]] > 0, 1].sum()
     n = texts["n_tokens"].to_numpy()
-    base = total + np.log10(v.end_count + 0.5) - n * np.log10(v.tokens + 0.5 * (v.distinct + 1))
-    score = texts["class_log"].to_numpy() + (total - texts["frequent_log"].to_numpy()) - texts["ending_log"].to_numpy()
-    return pd.DataFrame({"id": texts["id"], "n_tokens": n, "n_known": known + (v.end_count > 0), "base_score": base, "score": score})
+    base = texts["base"].to_numpy() + total - n * np.log10(tokens + 0.5 * (distinct + 1))
+    return pd.DataFrame({"id": texts["id"], "n_tokens": n, "n_known": known, "base_score": base, "score": texts["neural"].to_numpy() + texts["rest"].to_numpy() + total})
+
+
+def vocabulary(counted: DataFrame) -> Vocabulary:
+    """From the table of counts (word, ending, c)."""
+    end = int(END_HASH)
+    size = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    end_count = (counted.where(F.col("word") == end).select("c").first() or [0])[0]
+    words = counted.where(F.col("word") != end)
+    top = words.orderBy(F.desc("c"), "word").limit(KNOWN_WORDS).toPandas()  # bounded by the parameter
+    own = top[top["c"] >= MIN_COUNT].head(MAX_OWN - 1)
+    every = words.groupBy("ending").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()  # a row a class
+    own_class = own["ending"].to_numpy(np.int64)
+    tokens, types = np.zeros(CLASSES), np.zeros(CLASSES)
+    tokens[every["ending"]], types[every["ending"]] = every["n"], every["v"]
+    tokens -= np.bincount(own_class, weights=own["c"], minlength=CLASSES)
+    types -= np.bincount(own_class, minlength=CLASSES)
+    counts = np.concatenate([[end_count], own["c"].to_numpy(float), tokens])
+    members = np.concatenate([[0], own_class, np.arange(CLASSES)]).astype(np.int64)
+    order = np.argsort(top["word"].to_numpy(np.int64))
+    entry = np.full(len(top), -1, np.int64)
+    entry[: len(own)] = 1 + np.arange(len(own))
+    return Vocabulary(int(size[0]), int(size[1]), int(end_count), top["word"].to_numpy(np.int64)[order], top["c"].to_numpy(np.int64)[order], entry[order], counts, members, np.log10(tokens + 0.5 * types + 0.5), 0)
 
 
 def score(documents: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, n_known, train_tokens, base_score, score for every row; `training` marks the rows to learn from."""
+    spark = documents.sparkSession
+    small_batches(spark)
     texts = documents.where(training).select(F.col(text_col).alias("text"))
     counted = texts.mapInArrow(count_batches, "word long, ending int, n long").groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("c"))
     counted = cut(counted, "counts")
-    size = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    end = counted.where(F.col("word") == int(END_HASH)).select("c").first()
-    common = counted.where(F.col("word") != int(END_HASH)).orderBy(F.desc("c"), "word").limit(FREQUENT - 1).toPandas()
-    rest = counted.where(~F.col("word").isin([int(END_HASH), *map(int, common["word"])])).groupBy("ending").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
-    order = np.argsort(common["word"].to_numpy(np.int64))
-    below = np.full(ENDINGS, 0.5)
-    below[rest["ending"].to_numpy(np.int64)] += rest["n"].to_numpy(float) + 0.5 * rest["v"].to_numpy(float)
-    frequent_log = np.zeros(FREQUENT)
-    frequent_log[1 : 1 + len(common)] = np.log10(common["c"].to_numpy(float) + 0.5)
-    v = Vocabulary(int(size[0]), int(size[1]), common["word"].to_numpy(np.int64)[order], (np.arange(len(common)) + 1)[order], frequent_log, int(end[0]) if end else 0, np.log10(below))
-    # The class trigrams are at most CLASSES**3 rows however large the corpus is.
-    grams = texts.mapInArrow(lambda it: trigram_batches(it, v), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas().sort_values("cell")
-    model = fit(grams["cell"].to_numpy(np.int64), grams["n"].to_numpy(float)).table()
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    v = vocabulary(counted)
+    shared = spark.sparkContext.broadcast((v, train(spark, texts, v)))
 
     kind = documents.schema[id_col].dataType.simpleString()
-    parts = cut(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: score_batches(it, v, shared.value), SCORE_COLUMNS.format(id=kind)), "blocks")
+    parts = cut(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: score_batches(it, *shared.value), SCORE_COLUMNS.format(id=kind)), "blocks")
     words = parts.where("kind = 1").select("block", "word", "place")
-    dictionary = words.join(counted.select("word", "c"), "word", "left").select("block", "place", F.coalesce("c", F.lit(0)).alias("c"))
-    rows = parts.where("kind = 0").select(F.col("block").alias("of"), "id", "n_tokens", "class_log", "frequent_log", "ending_log", "places")
-    got = rows.groupBy("of").cogroup(dictionary.groupBy("block")).applyInPandas(lambda a, b: sum_counts(a, b, v), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    dictionary = words.join(counted.select("word", "c"), "word").select("block", "place", "c")  # words without a count stay at 0
+    places = F.coalesce(F.col("places"), F.lit(b""))
+    rows = parts.where("kind = 0").select(F.col("block").alias("of"), "id", "n_tokens", "n_known", "neural", "base", "rest", places.alias("places"))
+    tokens, distinct = v.tokens, v.distinct
+    got = rows.groupBy("of").cogroup(dictionary.groupBy("block")).applyInPandas(lambda a, b: sum_counts(a, b, tokens, distinct), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     return got.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), "base_score", "score")
