@@ -38,7 +38,7 @@ from .textkit import U64, chunk_words, mix, runs
 CLASSES = 64
 #: Words with vectors of their own: those with at least MIN_COUNT occurrences, at most so many.
 MAX_OWN, MIN_COUNT = 4096, 8
-#: Words whose counts are sent to the tasks.
+#: Most words whose counts are sent to the tasks.
 KNOWN_WORDS = 1 << 18
 CONTEXT, DIMENSIONS, NOISE, CLASS_NOISE, BATCH = 3, 32, 32, 16, 768
 #: Training steps see so many tokens at least: in up to MAX_PASSES passes over the texts, each up to MAX_ROUNDS times over a block.
@@ -347,7 +347,11 @@ def vocabulary(counted: DataFrame) -> Vocabulary:
     size = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     end_count = (counted.where(F.col("word") == end).select("c").first() or [0])[0]
     words = counted.where(F.col("word") != end)
-    top = words.orderBy(F.desc("c"), "word").limit(KNOWN_WORDS).toPandas()  # bounded by the parameter
+    # The most frequent words by a count from which on there are at most KNOWN_WORDS; only they are collected.
+    level = F.floor(F.log2("c") * 16).cast("int")
+    levels = words.groupBy(level.alias("level")).count().toPandas().sort_values("level", ascending=False)  # under 1024 rows
+    kept = levels["level"][levels["count"].cumsum() <= KNOWN_WORDS]
+    top = words.where(level >= int(kept.min()) if len(kept) else F.lit(False)).toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
     own = top[top["c"] >= MIN_COUNT].head(MAX_OWN - 1)
     every = words.groupBy("ending").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()  # a row a class
     own_class = own["ending"].to_numpy(np.int64)
