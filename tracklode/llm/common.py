@@ -30,9 +30,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or a new temporary one where the session has none."""
+    """The folder for intermediate tables: spark.checkpoint.dir, or a new temporary one where a local session has none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         base = "file://" + tempfile.mkdtemp(prefix="tracklode-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
