@@ -107,17 +107,17 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return at, self.known[at] == hashes
 
-    def entries(self, hashes: np.ndarray, ending: np.ndarray) -> np.ndarray:
-        at, there = self.look(hashes)
+    def entries(self, hashes: np.ndarray, ending: np.ndarray, found: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        at, there = self.look(hashes) if found is None else found
         out = np.where(there, self.known_entry[at] if len(self.known) else -1, -1)
         return np.where(out < 0, self.own + ending.astype(np.int64), out)
 
 
-def sequences(v: Vocabulary, hashes: np.ndarray, ending: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sequences(v: Vocabulary, hashes: np.ndarray, ending: np.ndarray, counts: np.ndarray, found: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(entry of each token, the ends included, contexts tokens x CONTEXT nearest first, row of each token); texts begin after ends."""
     row = np.repeat(np.arange(len(counts)), counts)
     seq = np.full(len(hashes) + len(counts), v.end, np.int32)
-    seq[np.arange(len(hashes)) + row] = v.entries(hashes, ending)
+    seq[np.arange(len(hashes)) + row] = v.entries(hashes, ending, found)
     rows = np.repeat(np.arange(len(counts)), counts + 1)
     begin = np.concatenate([[0], np.cumsum(counts + 1)])[:-1][rows]
     at = np.arange(len(seq))
@@ -305,11 +305,11 @@ def score_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, model: LogBi
     for held, hashes, ending, counts in block_words(batches, 1):
         block = np.int64(uuid.uuid4().int >> 65)
         n_rows = len(counts)
-        entries, contexts, row = sequences(v, hashes, ending, counts)
+        at, there = found = v.look(hashes)
+        entries, contexts, row = sequences(v, hashes, ending, counts, found)
         neural = np.bincount(row, weights=log_probabilities(v, model, entries, contexts), minlength=n_rows) / np.log(10)
         own = np.repeat(np.arange(n_rows), counts)
-        at, there = v.look(hashes)
-        vector = v.entries(hashes, ending) < v.own
+        vector = v.entries(hashes, ending, found) < v.own
         add = lambda rows, values: np.bincount(rows, weights=values, minlength=n_rows).astype(float)
         base = add(own[there], logs[at[there]]) + np.log10(v.end_count + 0.5)
         rest = add(own[there & ~vector], logs[at[there & ~vector]]) - add(own[~vector], v.rest_log[ending[~vector]])
