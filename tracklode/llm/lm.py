@@ -150,8 +150,20 @@ class LogBilinear:
         return t[:e, :d], t[e : 2 * e, :d], t[e : 2 * e, d], t[2 * e : 2 * e + CLASSES, :d], t[2 * e : 2 * e + CLASSES, d], t[-CONTEXT:, :d]
 
     def predicted(self, v: Vocabulary, contexts: np.ndarray) -> np.ndarray:
+        return gathered(self.weighted(v), contexts)
+
+    def weighted(self, v: Vocabulary) -> list[np.ndarray]:
+        """The context vectors times the weights of each place: a few thousand rows, so weighed once and not for each token."""
         words, *_, weights = self.parts(v)
-        return sum(words[contexts[:, k]] * weights[k] for k in range(CONTEXT))
+        return [words * w for w in weights]
+
+
+def gathered(weighted: list[np.ndarray], contexts: np.ndarray) -> np.ndarray:
+    """Sum over the places of a context of their weighted vectors."""
+    q = weighted[0][contexts[:, 0]]
+    for k in range(1, CONTEXT):
+        q += weighted[k][contexts[:, k]]
+    return q
 
 
 def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,9 +197,14 @@ class Trainer:
         words, out, out_bias, classes, class_bias, weights = m.parts(v)
         e = len(v.counts)
         looked = [words[contexts[:, k]] for k in range(CONTEXT)]
-        q = sum(x * w for x, w in zip(looked, weights, strict=True))
+        q = looked[0] * weights[0]
+        for x, w in zip(looked[1:], weights[1:], strict=True):
+            q += x * w
         g_q = np.zeros_like(q)
-        updates = []
+        # Gradients of all parameters in one array, its rows named by those of the table; narrow names sort by radix.
+        rows = np.empty((2 + CONTEXT) * n + NOISE + CLASS_NOISE + CONTEXT, np.min_scalar_type(len(m.table)))
+        grads = np.zeros((len(rows), DIMENSIONS + 1), np.float32)
+        at = 0
         for (share, k, odds), vectors, bias, real, first in ((self.heads[0], out, out_bias, entries, e), (self.heads[1], classes, class_bias, v.members[entries], 2 * e)):
             fake = np.minimum(np.searchsorted(share, self.rng.random(k)), len(share) - 1)
             # Gradients of -log s(real) - sum log(1 - s(fake)), s the odds against the noise.
@@ -195,17 +212,20 @@ class Trainer:
             up = sigmoid(np.einsum("ij,ij->i", q, own) + bias[real] - odds[real]) - np.float32(1)
             down = sigmoid(q @ vectors[fake].T + (bias[fake] - odds[fake]))
             g_q += up[:, None] * own + down @ vectors[fake]
-            updates.append((first + np.concatenate([real, fake]), np.concatenate([np.column_stack([up[:, None] * q, up]), np.column_stack([down.T @ q, down.sum(axis=0)])])))
-        g_words = np.concatenate([g_q * w for w in weights])
-        updates.append((contexts.T.reshape(-1), np.column_stack([g_words, np.zeros(len(g_words), np.float32)])))
-        g_weights = np.stack([(g_q * x).sum(axis=0) for x in looked])
-        updates.append((np.arange(len(m.table) - CONTEXT, len(m.table)), np.column_stack([g_weights, np.zeros(CONTEXT, np.float32)])))
-        for rows, grads in updates:
-            at, g = summed(rows, grads)
-            g *= np.float32(32 / n)
-            squares = self.squares[at] + g * g
-            self.squares[at] = squares
-            m.table[at] -= self.rate * g / np.sqrt(squares)
+            for names, by, total in ((real, up[:, None] * q, up), (fake, down.T @ q, down.sum(axis=0))):
+                part = slice(at, at + len(names))
+                rows[part], grads[part, :-1], grads[part, -1] = first + names, by, total
+                at = part.stop
+        for k, w in enumerate(weights):
+            part = slice(at, at + n)
+            rows[part], grads[part, :-1] = contexts[:, k], g_q * w
+            at = part.stop
+        rows[at:], grads[at:, :-1] = np.arange(len(m.table) - CONTEXT, len(m.table)), [(g_q * x).sum(axis=0) for x in looked]
+        changed, g = summed(rows, grads)
+        g *= np.float32(32 / n)
+        squares = self.squares[changed] + g * g
+        self.squares[changed] = squares
+        m.table[changed] -= self.rate * g / np.sqrt(squares)
 
 
 def train_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, table: np.ndarray, seed: int, rounds: int = 1) -> Iterator[pa.RecordBatch]:
@@ -272,15 +292,16 @@ def log_probabilities(v: Vocabulary, model: LogBilinear, entries: np.ndarray, co
     inside = np.zeros(len(v.counts), np.int64)
     for g in groups:
         inside[g] = np.arange(len(g))
-    logs = np.zeros(len(entries))
+    logs, weighted = np.zeros(len(entries)), model.weighted(v)
 
     def log_softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        top = x.max(axis=1, keepdims=True)
-        return x[np.arange(len(x)), at] - top[:, 0] - np.log(np.exp(x - top).sum(axis=1))
+        x -= x.max(axis=1, keepdims=True)
+        own = x[np.arange(len(x)), at]
+        return own - np.log(np.exp(x, out=x).sum(axis=1))
 
     for i in range(0, len(entries), step):
         own = entries[i : i + step]
-        q, kind = model.predicted(v, contexts[i : i + step]), v.members[own]
+        q, kind = gathered(weighted, contexts[i : i + step]), v.members[own]
         logs[i : i + step] = log_softmax(q @ classes.T + class_bias, kind)
         order = np.argsort(kind, kind="stable")
         ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
