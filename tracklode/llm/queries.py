@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed, langid, linededup, lm, minhash, packing, suffixdedup, tokencounts, warc
+from . import decontaminate, embed, langid, linededup, lm, maxsketch, minhash, packing, segments, suffixdedup, tokencounts, warc
 from .common import table
 
 
@@ -67,7 +67,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.edited_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op10_line_dedup": op10_line_dedup, "op3_language_id": op3_language_id, "op1_packing": op1_packing, "op5_warc": op5_warc, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op8_lm_scoring": op8_lm_scoring, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op9_token_counts": op9_token_counts}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxsketch.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.top_products(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op10_line_dedup": op10_line_dedup, "op3_language_id": op3_language_id, "op1_packing": op1_packing, "op5_warc": op5_warc, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op8_lm_scoring": op8_lm_scoring, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op9_token_counts": op9_token_counts, "op11_lexical_search": op11_lexical_search, "op12_exact_topk": op12_exact_topk}
 
 SQL = {
     "op2_benchmark_decontamination": r"""
@@ -134,5 +142,30 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) A
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM f
+""",
+    "op11_lexical_search": r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id, row_number() OVER () AS j, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+c AS (SELECT count(*) AS n, CAST(sum(len(w)) AS HUGEINT) AS l FROM d WHERE len(w) > 0),
+m AS (SELECT k, doc_id, CAST(75 + (25 * CAST(len(w) AS HUGEINT) * n) // l AS BIGINT) AS m FROM d, c WHERE len(w) > 0),
+q AS (SELECT j, item_id, t, count(*) AS r FROM (SELECT j, item_id, unnest(w) AS t FROM i) GROUP BY ALL),
+p AS (SELECT k, t, count(*) AS tf FROM (SELECT k, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY k, t),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT t, count(*) AS df FROM p GROUP BY t), c),
+s AS (
+  SELECT j, item_id, doc_id, k, CAST(sum(r * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN f USING (t) JOIN m USING (k) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 20
+""",
+    "op12_exact_topk": r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.x) = len(c.x)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """,
 }
