@@ -10,8 +10,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Field numbers of the scenario messages, with their kinds (i: integer, d: double, f: float, b: bool, s: text;
@@ -176,6 +177,22 @@ def scenario_row(payload: bytes) -> dict:
     return s
 
 
+def scenario_name(payload: Column) -> Column:
+    """The scenario's id alone; null where the payload cannot be decoded."""
+
+    def name(data: bytes) -> str | None:
+        try:
+            return decode(data, {5: SCENARIO[5]}).get("scenario_id")
+        except (ValueError, IndexError, struct.error):
+            return None
+
+    @F.pandas_udf("string")
+    def names(payloads: pd.Series) -> pd.Series:
+        return payloads.map(name)
+
+    return names(payload)
+
+
 def scenarios(raw: DataFrame) -> DataFrame:
     """One row per record; a payload that cannot be decoded gives a row with its error instead of failing the job."""
     from pyspark.sql.pandas.types import to_arrow_schema
