@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import junctions as crossings
 from ..operators import mapmatch
-from .queries import EVENT_TYPES, query, r6
+from .queries import query, r6
 from .tables import tracks
 
 FRAMES = 91
-SCENARIOS_SQL = "k AS (SELECT *, track_id // 8 AS scene, frame // 91 AS part, list_position(['" + "', '".join(EVENT_TYPES) + "'], type) - 1 AS lane FROM t)"
+SCENARIOS_SQL = "k AS MATERIALIZED (SELECT *, track_id // 8 AS scene, frame // 91 AS part, event_id % 10 AS lane FROM t)"
 
 
 def scenarios(spark: SparkSession, sf: str) -> DataFrame:
-    """tracks() with scene and part, and lane: the number of the event type."""
-    lane = F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("type")) - 1
-    return tracks(spark, sf).withColumns({"scene": F.floor(F.col("track_id") / 8), "part": F.floor(F.col("frame") / FRAMES), "lane": lane})
+    """tracks() with scene and part, and one of ten lanes."""
+    return tracks(spark, sf).withColumns({"scene": F.floor(F.col("track_id") / 8), "part": F.floor(F.col("frame") / FRAMES), "lane": F.col("event_id") % 10})
 
 
 KEYS = ["scene", "part"]
-#: The lane map of a scenario: the states of an event type, in order of event, are the lane's points.
+#: The lane map of a scenario: the states of every tenth event, in their order, are a lane's points.
 LANE_SQL = """lp AS (SELECT scene, part, lane, row_number() OVER (PARTITION BY scene, part, lane ORDER BY event_id) - 1 AS segment, x AS x0, y AS y0, lead(x) OVER (PARTITION BY scene, part, lane ORDER BY event_id) - x AS ux, lead(y) OVER (PARTITION BY scene, part, lane ORDER BY event_id) - y AS uy FROM k),
 ls AS (SELECT *, sqrt(ux * ux + uy * uy) AS length, coalesce(sum(sqrt(ux * ux + uy * uy)) OVER (PARTITION BY scene, part, lane ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS s0 FROM lp WHERE ux IS NOT NULL)"""
 
@@ -47,7 +47,7 @@ h AS (SELECT *, sqrt((dx - f * ux) * (dx - f * ux) + (dy - f * uy) * (dy - f * u
 b AS (SELECT * FROM h WHERE gap <= 32.0 QUALIFY row_number() OVER (PARTITION BY scene, part, track_id, frame, lane ORDER BY gap, segment) = 1),
 c AS (SELECT scene, part, track_id, frame, i, lane, gap, abs(w - 2 * pi() * floor((w + pi()) / (2 * pi()))) AS turn, s0 + f * length AS s, segment + CASE WHEN f >= 0.5 THEN 1 ELSE 0 END AS point FROM b),
 d AS (SELECT *, gap <= 8.0 AND turn <= radians(60.0) AS fits, gap + 2.0 * turn AS cost FROM c),
-e AS (SELECT * FROM d QUALIFY fits OR NOT bool_or(fits) OVER (PARTITION BY scene, part, track_id, frame)),
+e AS MATERIALIZED (SELECT * FROM d QUALIFY fits OR NOT bool_or(fits) OVER (PARTITION BY scene, part, track_id, frame)),
 j AS (SELECT *, dense_rank() OVER (PARTITION BY scene, part, track_id ORDER BY i) AS step FROM e),
 r AS (
   SELECT scene, part, track_id, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS frame, CAST(NULL AS BIGINT) AS lane, CAST(NULL AS DOUBLE) AS s, CAST(NULL AS BIGINT) AS point, CAST(NULL AS DOUBLE) AS gap, CAST(NULL AS DOUBLE) AS turn, false AS fits, false AS related FROM (SELECT DISTINCT scene, part, track_id FROM j)
@@ -66,3 +66,92 @@ def map_matching(spark, sf):
     # A lane counts in links only where it has states; links to other lanes change nothing.
     got = mapmatch.matched_lanes(k.where("valid"), lane_map(k), lane_links(k), KEYS, "track_id", "frame")
     return got.select(*KEYS, "track_id", "frame", "lane", F.round("s", 5).alias("s"), F.col("point").cast("long").alias("point"), *r6("gap", "turn"), "confident", *r6("confidence"))
+
+
+#: The ring map of a scenario: two rings of five lanes, each an arc, a lane that leads to each arc's start
+#: and one that leads away from its end. The numbers of events choose radii and which lanes are linked.
+RING_SQL = """rn AS MATERIALIZED (SELECT scene, part, lane, count(*) AS n FROM k GROUP BY 1, 2, 3),
+ra AS MATERIALIZED (SELECT *, lane // 5 AS ring, lane % 5 AS arc, 10.0 + 3 * (lane // 5) + (n % 3) * 0.2 AS r, 10.0 * scene AS ox, 10.0 * part AS oy FROM rn),
+rp AS MATERIALIZED (
+  SELECT scene, part, lane, i, ox + r * cos(radians(72.0 * arc + 9 * i)) AS x, oy + r * sin(radians(72.0 * arc + 9 * i)) AS y FROM (SELECT *, unnest(range(0, 9)) AS i FROM ra)
+  UNION ALL SELECT scene, part, 100 + lane, i, ox + (r + 20 * (1 - i)) * cos(radians(72.0 * arc)), oy + (r + 20 * (1 - i)) * sin(radians(72.0 * arc)) FROM (SELECT *, unnest(range(0, 2)) AS i FROM ra)
+  UNION ALL SELECT scene, part, 200 + lane, i, ox + (r + 20 * i) * cos(radians(72.0 * (arc + 1))), oy + (r + 20 * i) * sin(radians(72.0 * (arc + 1))) FROM (SELECT *, unnest(range(0, 2)) AS i FROM ra)),
+rl AS (
+  SELECT scene, part, lane AS src, ring * 5 + (arc + 1) % 5 AS dst FROM ra WHERE n % 11 <> 0
+  UNION ALL SELECT scene, part, 100 + lane, lane FROM ra WHERE n % 2 = 0 UNION ALL SELECT scene, part, lane, 200 + lane FROM ra WHERE n % 2 = 1),
+e AS MATERIALIZED (SELECT l.* FROM rl l JOIN (SELECT DISTINCT scene, part, lane FROM rp) a ON a.scene = l.scene AND a.part = l.part AND a.lane = src JOIN (SELECT DISTINCT scene, part, lane FROM rp) b ON b.scene = l.scene AND b.part = l.part AND b.lane = dst),
+reach AS (SELECT scene, part, src AS a, dst AS b FROM e UNION SELECT reach.scene, reach.part, a, e.dst FROM reach JOIN e ON reach.scene = e.scene AND reach.part = e.part AND reach.b = e.src),
+sc AS MATERIALIZED (SELECT x.scene, x.part, x.a AS lane, min(x.b) AS component FROM reach x JOIN reach y ON x.scene = y.scene AND x.part = y.part AND x.a = y.b AND x.b = y.a GROUP BY 1, 2, 3)"""
+
+
+def ring_lanes(k: DataFrame) -> DataFrame:
+    n = k.groupBy(*KEYS, "lane").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumns({"ring": F.floor(F.col("lane") / 5), "arc": F.col("lane") % 5, "r": 10.0 + 3 * F.floor(F.col("lane") / 5) + (F.col("n") % 3) * 0.2, "ox": 10.0 * F.col("scene"), "oy": 10.0 * F.col("part")})
+
+
+def ring_map(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(KEYS, lane, points), (KEYS, src, dst)."""
+
+    def line(first: int, steps: int, radius, degrees) -> DataFrame:
+        at = lambda i: F.struct((F.col("ox") + radius(i) * F.cos(F.radians(degrees(i)))).alias("x"), (F.col("oy") + radius(i) * F.sin(F.radians(degrees(i)))).alias("y"))
+        return arcs.select(*KEYS, (F.col("lane") + first).alias("lane"), F.array(*map(at, range(steps))).alias("points"))
+
+    r, arc = F.col("r"), F.col("arc")
+    lanes = line(0, 9, lambda i: r, lambda i: 72.0 * arc + 9 * i).unionByName(line(100, 2, lambda i: r + 20 * (1 - i), lambda i: 72.0 * arc)).unionByName(line(200, 2, lambda i: r + 20 * i, lambda i: 72.0 * (arc + 1)))
+    lane, n = F.col("lane"), F.col("n")
+    link = lambda which, src, dst: arcs.where(which).select(*KEYS, src.alias("src"), dst.alias("dst"))
+    links = link(n % 11 != 0, lane, F.col("ring") * 5 + (arc + 1) % 5).unionByName(link(n % 2 == 0, lane + 100, lane)).unionByName(link(n % 2 == 1, lane, lane + 200))
+    known = lanes.select(*KEYS, "lane")
+    return lanes, links.join(known.withColumnRenamed("lane", "src"), [*KEYS, "src"], "left_semi").join(known.withColumnRenamed("lane", "dst"), [*KEYS, "dst"], "left_semi")
+
+
+@query(f"""
+WITH RECURSIVE $TRACKS, {SCENARIOS_SQL}, {RING_SQL}
+SELECT scene, part, component, lane AS node FROM sc
+""")
+def strong_components(spark, sf):
+    """Directed components of the lanes of a scenario."""
+    return crossings.strong_components(ring_map(ring_lanes(scenarios(spark, sf)))[1], KEYS)
+
+
+ROUNDABOUT_SQL = """bx AS MATERIALIZED (SELECT scene, part, component, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, max(x) - min(x) AS w, max(y) - min(y) AS h, count(DISTINCT lane) AS lanes FROM sc JOIN rp USING (scene, part, lane) GROUP BY 1, 2, 3),
+sp AS MATERIALIZED (SELECT bx.*, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS r, atan2(y - cy, x - cx) - 2 * pi() * floor(atan2(y - cy, x - cx) / (2 * pi())) AS a FROM bx JOIN sc USING (scene, part, component) JOIN rp USING (scene, part, lane)),
+sg AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY scene, part, component ORDER BY a), min(a) OVER (PARTITION BY scene, part, component) + 2 * pi()) - a AS gap FROM sp),
+sh AS MATERIALIZED (SELECT scene, part, component, cx, cy, max(w) AS w, max(h) AS h, max(lanes) AS lanes, quantile_cont(r, 0.1) AS r1, quantile_cont(r, 0.5) AS r5, quantile_cont(r, 0.9) AS r9, max(gap) AS gap FROM sg GROUP BY 1, 2, 3, 4, 5),
+tg AS (SELECT scene, part, component, lane, x, y, lead(x) OVER o - x AS ux, lead(y) OVER o - y AS uy FROM sc JOIN rp USING (scene, part, lane) WINDOW o AS (PARTITION BY scene, part, lane ORDER BY i)),
+al AS (SELECT tg.scene, tg.part, tg.component, abs((ux * (x + ux / 2 - cx) + uy * (y + uy / 2 - cy)) / (sqrt(ux * ux + uy * uy) * sqrt((x + ux / 2 - cx) ** 2 + (y + uy / 2 - cy) ** 2))) AS v FROM tg JOIN bx USING (scene, part, component) WHERE ux IS NOT NULL),
+rg AS MATERIALIZED (SELECT scene, part, component, cx, cy, r5 FROM sh JOIN (SELECT scene, part, component, quantile_cont(v, 0.5) AS a5, quantile_cont(v, 0.9) AS a9 FROM al GROUP BY 1, 2, 3) USING (scene, part, component)
+  WHERE lanes <= 64 AND least(w, h) >= 8 AND least(w, h) >= 0.65 * greatest(w, h) AND r1 >= 3 AND r9 <= 1.5 * r1 AND gap <= radians(45.0) AND a5 <= 0.25 AND a9 <= 0.6),
+cc AS MATERIALIZED (SELECT a.scene, a.part, a.component, min(b.component) AS core FROM rg a JOIN rg b ON a.scene = b.scene AND a.part = b.part AND sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) <= greatest(8.0, 0.25 * least(a.r5, b.r5)) GROUP BY 1, 2, 3),
+cl AS MATERIALIZED (SELECT scene, part, core, lane FROM cc JOIN sc USING (scene, part, component)),
+ct AS MATERIALIZED (SELECT scene, part, core, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, string_agg(DISTINCT lane, ',' ORDER BY lane) AS lanes FROM cl JOIN rp USING (scene, part, lane) GROUP BY 1, 2, 3),
+gl AS MATERIALIZED (
+  SELECT DISTINCT e.scene, e.part, core, src AS lane, true AS incoming FROM e JOIN cl ON e.scene = cl.scene AND e.part = cl.part AND e.dst = cl.lane WHERE NOT EXISTS (SELECT 1 FROM cl z WHERE z.scene = e.scene AND z.part = e.part AND z.core = cl.core AND z.lane = e.src)
+  UNION ALL SELECT DISTINCT e.scene, e.part, core, dst, false FROM e JOIN cl ON e.scene = cl.scene AND e.part = cl.part AND e.src = cl.lane WHERE NOT EXISTS (SELECT 1 FROM cl z WHERE z.scene = e.scene AND z.part = e.part AND z.core = cl.core AND z.lane = e.dst)),
+ga AS MATERIALIZED (SELECT gl.*, atan2(y - cy, x - cx) - 2 * pi() * floor(atan2(y - cy, x - cx) / (2 * pi())) AS a FROM gl JOIN ct USING (scene, part, core) JOIN rp ON rp.scene = gl.scene AND rp.part = gl.part AND rp.lane = gl.lane AND i = CASE WHEN incoming THEN 1 ELSE 0 END),
+gg AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY scene, part, core ORDER BY a), min(a) OVER (PARTITION BY scene, part, core) + 2 * pi()) - a AS gap FROM ga),
+gc AS (SELECT scene, part, core, greatest(1, count(*) FILTER (WHERE gap > radians(30.0))) AS arms, count(*) AS gates, bool_or(incoming) AND bool_or(NOT incoming) AS two_way FROM gg GROUP BY 1, 2, 3),
+rb AS (SELECT scene, part, core, lanes, (SELECT count(*) FROM cc WHERE cc.scene = ct.scene AND cc.part = ct.part AND cc.core = ct.core) AS rings, cx, cy, arms, gates FROM ct JOIN gc USING (scene, part, core) WHERE two_way AND arms BETWEEN 3 AND 8)"""
+
+
+@query(f"""
+WITH RECURSIVE $TRACKS, {SCENARIOS_SQL}, {RING_SQL}, {ROUNDABOUT_SQL}
+SELECT scene, part, core, lanes, rings, round(cx, 6) AS cx, round(cy, 6) AS cy, CAST(arms AS INTEGER) AS arms FROM rb
+""")
+def roundabouts(spark, sf):
+    """Rings of lanes with ways in and out; here all ways lead straight from the centre, so directions are arms."""
+    got = crossings.roundabouts(*ring_map(ring_lanes(scenarios(spark, sf))), KEYS)
+    return got.select(*KEYS, "core", F.array_join(F.col("lanes").cast("array<string>"), ",").alias("lanes"), "rings", *r6("cx", "cy"), "arms")
+
+
+@query(f"""
+WITH RECURSIVE $TRACKS, {SCENARIOS_SQL}, {RING_SQL}, {ROUNDABOUT_SQL}
+SELECT scene, part, 'roundabout' AS kind, lanes, arms, gates, round(0.88 + CASE WHEN arms IN (3, 4) THEN 0.05 ELSE 0.0 END, 6) AS confidence FROM rb
+""")
+def junctions(spark, sf):
+    """Assembled junctions of the roundabouts of a scenario: cores, gates, arms; a scenario's rings share a centre, so no two cores overlap."""
+    lanes, links = ring_map(ring_lanes(scenarios(spark, sf)))
+    groups = crossings.roundabouts(lanes, links, KEYS).select(*KEYS, F.lit("roundabout").alias("kind"), "lanes")
+    got = crossings.junctions(crossings.junction_cores(groups, lanes, KEYS), lanes, links, KEYS)
+    total = F.aggregate("arms", F.lit(0).cast("long"), lambda n, a: n + a["gates"])
+    return got.select(*KEYS, "kind", F.array_join(F.col("lanes").cast("array<string>"), ",").alias("lanes"), F.size("arms").cast("long").alias("arms"), total.alias("gates"), *r6("confidence"))

@@ -11,7 +11,9 @@ Files are opened with pyarrow's file systems (local, HDFS, S3, GCS) and listed b
 
 from __future__ import annotations
 
+import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,21 +50,25 @@ def require_same(path: str, size: int, modified: int) -> None:
 
 
 def shards(spark: SparkSession, *paths: str, pattern: str = "*") -> DataFrame:
-    """(path, size, modified in ms) of the files under folders, patterns and files; none, two of one name, or a gap in numbered shards is an error."""
+    """(path, size, modified in ms) of the files under folders, patterns and files.
+
+    No file, two of one name, or a gap in numbered shards is an error. Files of no bytes hold no record; Spark does not list
+    them as rows, but they count as shards.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(list(paths))
-    files = files.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified"))
-    name = F.element_at(F.split("path", "/"), -1)
-    twice = files.groupBy(name.alias("name")).count().where("count > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"files with the same name: {twice[0].name}")
-    part = lambda k: F.regexp_extract(name, NUMBERED, k)
-    sets = files.where(part(2) != "").groupBy(part(1).alias("stem"), part(3).cast("int").alias("of"), part(4).alias("tail")).agg(F.count_distinct(part(2)).alias("n"), F.max(part(2).cast("int")).alias("last"))
-    gap = sets.where("n <> of or last >= of").limit(1).collect()
-    if gap:
-        raise ValueError(f"{gap[0].stem}: {gap[0].n} of {gap[0].of} numbered files")
-    if files.isEmpty():
+    names = [f.rpartition("/")[2] for f in files.inputFiles()]
+    if not names:
         raise ValueError(f"no files: {', '.join(paths)}")
-    return files
+    twice = sorted(n for n, k in Counter(names).items() if k > 1)
+    if twice:
+        raise ValueError(f"files with the same name: {twice[0]}")
+    sets: dict[tuple[str, ...], set[int]] = {}
+    for m in filter(None, map(re.compile(NUMBERED).match, names)):
+        sets.setdefault((m[1], m[3], m[4]), set()).add(int(m[2]))
+    for (stem, of, _), found in sets.items():
+        if found != set(range(int(of))):
+            raise ValueError(f"{stem}: {len(found)} of {int(of)} numbered files")
+    return files.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified"))
 
 
 def walk(path: str, size: int, split: int) -> Iterator[tuple[int, int, int, int]]:
@@ -91,8 +97,7 @@ def walk_batches(batches: Iterator[pa.RecordBatch], split: int) -> Iterator[pa.R
     for batch in batches:
         for path, size, modified in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             require_same(path, size, modified)
-            # A file without records has a row too, so that counts name it.
-            found = list(walk(path, size, split)) or [(0, 0, 0, 0)]
+            found = list(walk(path, size, split))
             require_same(path, size, modified)
             same = [pa.array([x] * len(found), t) for x, t in ((path, pa.string()), (size, pa.int64()), (modified, pa.int64()))]
             yield pa.RecordBatch.from_arrays([*same, *(pa.array(z, pa.int64()) for z in zip(*found, strict=True))], [x.split()[0] for x in INDEX.split(", ")])
@@ -133,8 +138,7 @@ def range_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def read_index(index: DataFrame) -> DataFrame:
     """(path, record_index, payload) of all records, a task for each range."""
-    ranges = index.where("records > 0")
-    return ranges.repartition(max(1, ranges.count())).select([x.split()[0] for x in INDEX.split(", ")]).mapInArrow(range_batches, RAW)
+    return index.repartition(max(1, index.count())).select([x.split()[0] for x in INDEX.split(", ")]).mapInArrow(range_batches, RAW)
 
 
 def read_selected(index: DataFrame, start: int = 0, limit: int | None = None) -> DataFrame:
