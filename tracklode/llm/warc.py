@@ -6,7 +6,8 @@ page id, and the others become revisit records without a body.
 
 Reading: every place where the magic string stands is only a candidate, since a payload may hold it too. Tasks emit each
 candidate with the offset of its successor; pointer jumping from the start of every file then finds the candidates that
-lie on the chain of true records, in a number of rounds that is the logarithm of the records in a file.
+lie on the chain of true records, in a number of rounds that is the logarithm of the records in a file. A file whose chain
+does not end at its size (cut off, or with a length that is not the record's) is an error; it is never read in part.
 
 Defined cases: a null html is an empty payload; a null url is written as an empty target; line breaks in a url are
 dropped; rows with a null page id are not written; rows that repeat a page id are records of their own; an empty table
@@ -95,7 +96,7 @@ def candidate_batches(batches: Iterator[pa.RecordBatch], with_payload: bool) ->
     for batch in batches:
         for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             content = content.as_py()
-            out: list[dict] = []
+            out: list[dict] = [{"file": file, "size": len(content)}]  # a row for the file itself, without an offset
             for m in MAGIC.finditer(content):
                 if not (got := parse(content, m.start())):
                     continue
@@ -117,14 +118,20 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     """The true records of the archives under path: file, offset, page_id, record_type, url, payload_bytes, payload_digest, refers_to, payload."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     schema = "file string, offset long, next long, size long, page_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    found = cut(files.mapInArrow(lambda it: candidate_batches(it, with_payload), schema), "candidates")
+    rows = cut(files.mapInArrow(lambda it: candidate_batches(it, with_payload), schema), "candidates")
+    found = rows.where("offset is not null")
     jumps = found.select("file", "offset", F.when(F.col("next") < F.col("size"), F.col("next")).alias("jump"), (F.col("offset") == 0).alias("reached"))
     while not jumps.where("reached and jump is not null").isEmpty():
         ahead = jumps.select("file", F.col("offset").alias("jump"), F.col("jump").alias("further"))
         doubled = jumps.join(ahead, ["file", "jump"], "left").select("file", "offset", F.col("further").alias("jump"), "reached")
         marked = jumps.where("reached and jump is not null").select("file", F.col("jump").alias("offset"), F.lit(None).cast("long").alias("jump"), F.lit(True).alias("reached"))
         jumps = cut(doubled.unionByName(marked).groupBy("file", "offset").agg(F.max("jump").alias("jump"), F.max("reached").alias("reached")), "jumps")
-    return found.join(jumps.where("reached").select("file", "offset"), ["file", "offset"], "left_semi").drop("next", "size")
+    reached = jumps.where("reached").select("file", "offset")
+    ends = found.where(F.col("next") == F.col("size")).select("file", "offset").join(reached, ["file", "offset"], "left_semi")
+    broken = rows.where("offset is null").select("file").join(ends, "file", "left_anti").select("file").limit(3).collect()
+    if broken:
+        raise ValueError(f"archives whose records do not lead to their end: {', '.join(r.file for r in broken)}")
+    return found.join(reached, ["file", "offset"], "left_semi").drop("next", "size")
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None, **kw) -> DataFrame:
