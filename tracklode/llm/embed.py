@@ -48,6 +48,8 @@ class Settings:
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1; each is scaled by its largest component first, whose square could leave the range of doubles."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True, initial=0.0)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
