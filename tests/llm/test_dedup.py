@@ -271,3 +271,21 @@ def test_neighbours_of_few_suffixes(n):
     batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([5] * n, pa.int64()), pa.array([0] * n, pa.int32()), pa.array([9] * n, pa.int64()), pa.array([side] * n, pa.binary()), pa.array([side] * n, pa.binary())], ["id", "tk", "pos", "gram", "after", "before"])
     out = pa.Table.from_batches(list(suffixdedup.neighbour_batches(iter([batch]), 40, 50))).to_pylist()
     assert sorted(r["id"] for r in out if not r["edge"]) == list(range(1, n))
+
+
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    long = "\n".join(f"line {i % 15_000}" if i % 3 else "" for i in range(60_000))
+    text = {1: long, 2: "x\n" + long + "\nx", 3: "line 1\nonly here"}
+    got = {r.doc_id: r for r in linededup.dedup_lines(documents(spark, text.items()), with_runs=True).collect()}
+    # By a loop over pairs of neighbouring lines, blank ones left out.
+    seen = set()
+    for i in sorted(text):
+        lines = text[i].split("\n")
+        own = [k for k, line in enumerate(lines) if line.strip()]
+        gone = set()
+        for a, b in zip(own, own[1:]):
+            pair = lines[a], lines[b]
+            gone |= {a, b} if pair in seen else set()
+            seen.add(pair)
+        rest = "\n".join(line for k, line in enumerate(lines) if k not in gone)
+        assert got[i]._tl_deleted == len(gone) and got[i].text == (rest if rest.replace("\n", " ").strip() or not gone else "")

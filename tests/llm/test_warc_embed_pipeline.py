@@ -39,6 +39,22 @@ def test_warc_payloads_and_several_archives(spark, tmp_path):
     assert got.select("file").distinct().count() > 3
 
 
+@pytest.mark.parametrize("harm", ["length", "cut", "head"])
+def test_warc_broken_archives_are_errors(spark, tmp_path, harm):
+    path = tmp_path / "w"
+    warc.write_archives(warc.records(pages(spark, [(i, f"u{i}", prose(i, 30)) for i in range(20)])), f"file://{path}")
+    (file,) = path.glob("part-*")
+    data = file.read_bytes()
+    assert warc.read_archives(spark, f"file://{path}").count() == 20
+    (path / f".{file.name}.crc").unlink(missing_ok=True)
+    if harm == "length":
+        at = data.index(b"Content-Length: ", len(data) // 2) + 16
+        data = data[:at] + b"9" + data[at + 1 :]
+    file.write_bytes({"length": data, "cut": data[:-9], "head": b"x" + data}[harm])
+    with pytest.raises(ValueError, match="do not lead to their end"):
+        warc.read_archives(spark, f"file://{path}")
+
+
 def test_warc_empty(spark):
     assert warc.archive_round_trip(pages(spark, [])).count() == 0
 
@@ -105,6 +121,14 @@ def test_embeddings_repeated_ids_and_lengths(spark):
     assert rows(got, "vec_id", "n_links", "component_id") == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
 
 
+def test_embeddings_of_any_magnitude(spark):
+    data = [(1, [1e200, 1e200]), (2, [1e200, 1.0001e200]), (3, [1.0, 1.0]), (4, [1e-200, 1e-200]), (5, [5e-324, 5e-324]), (6, [1.7e308, -1.7e308])]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got, recall = embed.near_duplicates(table)
+    assert recall == 1.0
+    assert rows(got, "vec_id", "n_links", "component_id") == [(1, 4, 1), (2, 4, 1), (3, 4, 1), (4, 4, 1), (5, 4, 1), (6, 0, 6)]
+
+
 def test_embeddings_empty_and_single(spark):
     assert embed.near_duplicates(vectors(spark, []))[0].count() == 0
     got, _ = embed.near_duplicates(vectors(spark, [(4, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0])]))

@@ -139,9 +139,11 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     few = not with_runs and (per.agg(F.sum(F.size("gone") + 1)).first()[0] or 0) <= BROADCAST_LINES
     per = per.select(F.col("id").alias("_tl_id"), F.col("tk").alias("_tl_tk"), F.col("gone").alias("_tl_gone"), F.col("longest").alias("_tl_longest"))
     out = documents.join(F.broadcast(per) if few else per, (F.col(id_col) == F.col("_tl_id")) & (F.xxhash64(F.col(text_col)) == F.col("_tl_tk")), "left")
-    # A line's place is its index in the split text; what remains is joined as it was split.
-    keep = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.when(~F.array_contains("_tl_gone", i), x)), lambda x: x.isNotNull())
-    left = F.array_join(keep, "\n")
+    # A line's place is its index in the split text; what remains, the slices between deleted places, is joined as it was split.
+    ends = F.concat(F.array(F.lit(-1)), F.sort_array("_tl_gone"), F.array(F.size(F.split(F.col(text_col), "\n"))))
+    between = lambda z: F.flatten(F.transform(F.sequence(F.lit(1), F.size(z["ends"]) - 1), lambda j: F.slice(z["lines"], F.element_at(z["ends"], j) + 2, F.element_at(z["ends"], j + 1) - F.element_at(z["ends"], j) - 1)))
+    # The text is split once: the outer lambda's variable holds its lines.
+    left = F.array_join(F.transform(F.array(F.struct(F.split(F.col(text_col), "\n").alias("lines"), ends.alias("ends"))), between)[0], "\n")
     n = F.coalesce(F.size("_tl_gone"), F.lit(0))
     text = F.when(n == 0, F.col(text_col)).when(F.trim(F.translate(left, "\n", " ")) == "", F.lit("")).otherwise(left)
     out = out.withColumns({"_tl_deleted": n, "_tl_longest": F.coalesce("_tl_longest", F.lit(0)), text_col: text})
