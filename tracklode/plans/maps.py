@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import junctions as crossings
-from ..operators import mapmatch
+from ..operators import mapmatch, paths, roadedge
 from .queries import query, r6
 from .tables import tracks
 
@@ -155,3 +155,59 @@ def junctions(spark, sf):
     got = crossings.junctions(crossings.junction_cores(groups, lanes, KEYS), lanes, links, KEYS)
     total = F.aggregate("arms", F.lit(0).cast("long"), lambda n, a: n + a["gates"])
     return got.select(*KEYS, "kind", F.array_join(F.col("lanes").cast("array<string>"), ",").alias("lanes"), F.size("arms").cast("long").alias("arms"), total.alias("gates"), *r6("confidence"))
+
+
+@query(f"""
+WITH $TRACKS, {SCENARIOS_SQL},
+lp AS (SELECT scene, part, lane, row_number() OVER w - 1 AS segment, x AS x0, y AS y0, (event_id % 7) * 0.1 AS z0, lead(x) OVER w - x AS ux, lead(y) OVER w - y AS uy, lead((event_id % 7) * 0.1) OVER w - (event_id % 7) * 0.1 AS uz FROM k WINDOW w AS (PARTITION BY scene, part, lane ORDER BY event_id)),
+ch AS MATERIALIZED (SELECT *, lag(ux) OVER w AS px, lag(uy) OVER w AS py, lead(ux) OVER w AS nx, lead(uy) OVER w AS ny FROM lp WHERE ux IS NOT NULL WINDOW w AS (PARTITION BY scene, part, lane ORDER BY segment)),
+bc AS MATERIALIZED (SELECT scene, part, track_id, frame, x + i * 2.4 * cos(heading) - j * 1.0 * sin(heading) AS x, y + i * 2.4 * sin(heading) + j * 1.0 * cos(heading) AS y, i, j FROM k, (VALUES (1, 1), (-1, 1), (-1, -1), (1, -1)) c(i, j) WHERE valid),
+pr AS (SELECT bc.*, ch.* EXCLUDE (scene, part), x - x0 AS dx, y - y0 AS dy, 0.0 - z0 AS dz, ((x - x0) * ux + (y - y0) * uy) / greatest(ux * ux + uy * uy, 1e-10) AS t FROM bc JOIN ch ON bc.scene = ch.scene AND bc.part = ch.part),
+pf AS (SELECT *, greatest(0.0, least(1.0, t)) AS f FROM pr),
+pd AS (SELECT *, sqrt((dx - f * ux) ** 2 + (dy - f * uy) ** 2) AS flat, 3.0 * (dz - f * uz) AS up FROM pf),
+ne AS (SELECT * FROM pd QUALIFY row_number() OVER (PARTITION BY scene, part, track_id, frame, i, j ORDER BY sqrt(flat * flat + up * up), lane, segment) = 1),
+si AS (SELECT *, sign(dx * uy - dy * ux) AS n, sign((dx + px) * py - (dy + py) * px) AS nb, sign((dx - ux) * ny - (dy - uy) * nx) AS na FROM ne),
+sg AS (SELECT *, flat * CASE WHEN t < 0 AND px IS NOT NULL THEN CASE WHEN px * uy - py * ux > 0 THEN greatest(n, nb) ELSE least(n, nb) END WHEN t > 1 AND nx IS NOT NULL THEN CASE WHEN ux * ny - uy * nx > 0 THEN greatest(n, na) ELSE least(n, na) END ELSE n END AS d FROM si)
+SELECT scene, part, track_id, frame, round(max(d), 5) AS distance FROM sg GROUP BY ALL
+""")
+def road_edge_sides(spark, sf):
+    """Signed distance to the road edges of the corner of each valid box that is farthest off the road."""
+    k = scenarios(spark, sf)
+    lines = k.groupBy(*KEYS, "lane").agg(F.array_sort(F.collect_list(F.struct("event_id", "x", "y", ((F.col("event_id") % 7) * 0.1).alias("z")))).alias("points"))
+    boxes = k.where("valid").select(*KEYS, "track_id", "frame", "x", "y", F.lit(0.75).alias("z"), F.lit(4.8).alias("length"), F.lit(2.0).alias("width"), F.lit(1.5).alias("height"), "heading")
+    got = roadedge.road_edge_distances(boxes, roadedge.edge_chain(lines, KEYS, "lane", "points"), KEYS, ["track_id", "frame"], "lane")
+    return got.select(*KEYS, "track_id", "frame", F.round("distance", 5).alias("distance"))
+
+
+@query(f"""
+WITH RECURSIVE $TRACKS, {SCENARIOS_SQL},
+o AS (SELECT scene, part, track_id, frame, x, y, frame % 91 * 0.1 AS t, row_number() OVER (PARTITION BY scene, part, track_id ORDER BY frame) AS i FROM k WHERE valid),
+kd AS (SELECT scene, part, track_id, arg_min(kind, frame) AS kind FROM k GROUP BY 1, 2, 3),
+st AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS step, t - lag(t) OVER w AS gap FROM o WINDOW w AS (PARTITION BY scene, part, track_id ORDER BY i)),
+lm AS MATERIALIZED (SELECT scene, part, track_id, count(*) AS n, CASE kind WHEN 2 THEN 15.0 WHEN 3 THEN 35.0 ELSE 70.0 END AS top, greatest(CASE kind WHEN 2 THEN 5.0 WHEN 3 THEN 10.0 ELSE 15.0 END, 4 * quantile_cont(step / gap, 0.5)) AS lim FROM st JOIN kd USING (scene, part, track_id) GROUP BY scene, part, track_id, kind),
+js AS (SELECT scene, part, track_id FROM st JOIN lm USING (scene, part, track_id) GROUP BY 1, 2, 3 HAVING max(n) >= 3 AND bool_or(NOT (step <= 1 + top * gap AND (step <= 1 OR step / gap <= lim)))),
+ls AS MATERIALIZED (SELECT scene, part, track_id, list(x ORDER BY i) AS xs, list(y ORDER BY i) AS ys, list(t ORDER BY i) AS ts, any_value(n) AS n, any_value(top) AS top, any_value(lim) AS lim FROM o JOIN lm USING (scene, part, track_id) WHERE (scene, part, track_id) IN (SELECT (scene, part, track_id) FROM js) GROUP BY 1, 2, 3),
+r AS (
+  SELECT scene, part, track_id, CAST(1 AS BIGINT) AS i, [CAST(1 AS BIGINT)] AS len, [CAST(0 AS DOUBLE)] AS dur, [CAST(0 AS BIGINT)] AS prev FROM ls
+  UNION ALL
+  SELECT scene, part, track_id, i, list_append(len, coalesce(b.len, 1)), list_append(dur, coalesce(b.dur, 0.0)), list_append(prev, coalesce(-b.j, 0)) FROM (
+    SELECT r.scene, r.part, r.track_id, r.i + 1 AS i, len, dur, prev, list_max(list_transform(list_filter(range(greatest(1, r.i - 8), r.i + 1), lambda j:
+      sqrt((xs[r.i + 1] - xs[j]) ** 2 + (ys[r.i + 1] - ys[j]) ** 2) <= 1 + top * (ts[r.i + 1] - ts[j]) AND (sqrt((xs[r.i + 1] - xs[j]) ** 2 + (ys[r.i + 1] - ys[j]) ** 2) <= 1 OR sqrt((xs[r.i + 1] - xs[j]) ** 2 + (ys[r.i + 1] - ys[j]) ** 2) / (ts[r.i + 1] - ts[j]) <= lim)),
+      lambda j: {{'len': len[j] + 1, 'dur': round(dur[j] + (ts[r.i + 1] - ts[j]), 9), 'j': -j}})) AS b
+    FROM r JOIN ls ON r.scene = ls.scene AND r.part = ls.part AND r.track_id = ls.track_id AND r.i < ls.n)),
+e AS (SELECT r.*, list_max(list_transform(range(1, n + 1), lambda j: {{'len': len[j], 'dur': dur[j], 'j': j}})).j AS last FROM r JOIN ls ON r.scene = ls.scene AND r.part = ls.part AND r.track_id = ls.track_id AND r.i = ls.n),
+b AS (SELECT scene, part, track_id, last AS pos, prev FROM e UNION ALL SELECT scene, part, track_id, prev[pos], prev FROM b WHERE prev[pos] > 0)
+SELECT k.scene, k.part, k.track_id, k.frame, k.valid AND ((k.scene, k.part, k.track_id) NOT IN (SELECT (scene, part, track_id) FROM js) OR b.pos IS NOT NULL) AS kept
+FROM k LEFT JOIN o ON k.scene = o.scene AND k.part = o.part AND k.track_id = o.track_id AND k.frame = o.frame LEFT JOIN b ON o.scene = b.scene AND o.part = b.part AND o.track_id = b.track_id AND o.i = b.pos
+""")
+def consistent_paths(spark, sf):
+    """Which states lie on the longest path of their track without a jump."""
+    k = scenarios(spark, sf).withColumn("t", (F.col("frame") % FRAMES) * 0.1)
+    return paths.path_members(k, KEYS, "track_id", "frame")
+
+
+@query()
+def body_headings(spark, sf):
+    """Body headings along or against the motion, a least-cost path of two states; tests compare it with exhaustive search."""
+    k = scenarios(spark, sf).withColumns({"t": (F.col("frame") % FRAMES) * 0.1, "one": F.lit(1)})
+    return paths.body_headings(k, KEYS, "track_id", "frame", kind="one").select(*KEYS, "track_id", "frame", *r6("body"))
