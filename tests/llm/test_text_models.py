@@ -266,8 +266,8 @@ def test_lm_scores_match_a_plain_model(spark):
 
     data = [(i, prose(i % 9, 40 + i % 30)) for i in range(80)] + [(500, None), (501, ""), (502, "Never SEEN words aw1"), (503, "aw1 AW1 bw2")]
     docs = documents(spark, data)
-    texts = docs.where("doc_id <> 502").select("text")
-    counted = texts.mapInArrow(lm.count_batches, "word long, ending int, n long").groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("c"))
+    texts = docs.where("doc_id <> 502").select(F.col("doc_id").alias("id"), "text")
+    counted = texts.select("text").mapInArrow(lm.count_batches, "word long, ending int, n long").groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("c"))
     v = lm.vocabulary(counted)
     assert v.own > 50 and np.allclose(v.counts.sum(), v.tokens)
     model = lm.train(spark, texts, v)
@@ -276,7 +276,7 @@ def test_lm_scores_match_a_plain_model(spark):
         assert got[i] == pytest.approx(plain_lm_score(v, model, t), rel=2e-3)
 
 
-def test_lm_learns_more_than_counts(spark):
+def test_lm_learns_more_than_counts_whatever_the_partitions(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     import random
@@ -289,11 +289,17 @@ def test_lm_learns_more_than_counts(spark):
         while len(chain) < 200:
             chain.append(rng.choice(follow[chain[-1]]))
         data.append((i, " ".join(f"w{k}" for k in chain)))
-    got = lm.score(documents(spark, data), F.crc32(F.col("doc_id").cast("string")) % 5 != 1).collect()
-    held = [r for r in got if crc(r.doc_id) % 5 == 1]
-    n = sum(r.n_tokens for r in held)
-    # A word has three followers of 150.
-    assert (sum(r.score for r in held) - sum(r.base_score for r in held)) / n > 0.5
+    # Scores follow from the rows, not from their partitions; with several shards too. A word has three followers of 150.
+    for shard_tokens, least in ((lm.SHARD_TOKENS, 0.5), (15_000, 0.3)):
+        monkeypatch.setattr(lm.train, "__defaults__", (shard_tokens,))
+        found = []
+        for parts in (1, 4, 32):
+            rows_ = documents(spark, rng.sample(data, len(data))).repartition(parts)
+            found.append({r.doc_id: r for r in lm.score(rows_, F.crc32(F.col("doc_id").cast("string")) % 5 != 1).collect()})
+            held = [r for r in found[-1].values() if crc(r.doc_id) % 5 == 1]
+            assert (sum(r.score for r in held) - sum(r.base_score for r in held)) / sum(r.n_tokens for r in held) > least
+        for other in found[1:]:
+            assert all(other[i].score == pytest.approx(r.score, rel=1e-6) for i, r in found[0].items())
 
 
 def test_edited_counts(spark):

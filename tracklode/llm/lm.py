@@ -8,9 +8,10 @@ exponential of the product of context and output vectors. A word without a vecto
 times its add-half share of the training count of the class's rest, so the model is a distribution over all words and one
 unknown word.
 
-Training goes over all training texts: every task runs noise-contrastive steps over its own tokens, and the parameters
-are averaged by tokens, which Spark sums by parameter row; a small corpus is gone over several times. The driver holds
-parameters only, whose number is bounded by MAX_OWN.
+Training goes over all training texts. A hash of id and text deals them to shards of about SHARD_TOKENS tokens, in an order
+by hash, so that what is learned follows from the rows alone and not from how the input is partitioned. Every shard runs
+noise-contrastive steps over its own tokens, and the parameters are averaged by tokens, which Spark sums by parameter
+row; a small corpus is gone over several times. The driver holds parameters only, whose number is bounded by MAX_OWN.
 
 A text's words need their counts. The counts of the KNOWN_WORDS most frequent words go to the tasks; for the others,
 tasks replace words by their place in a dictionary of the task's block of texts, only the distinct words of a block are
@@ -25,6 +26,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -46,6 +48,7 @@ MIN_SEEN, MAX_PASSES, MAX_ROUNDS = 1_500_000, 5, 4
 RATE, DECAY, SQUARES = 0.1, 0.5, 0.1  # step size, its fall over the passes, first sum of squares
 END_HASH = np.int64(-(1 << 62) + 12345)  # the end's key beside the words' hashes
 BLOCK_WORDS = 600_000
+SHARD_TOKENS = 2_000_000
 
 
 def endings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -181,11 +184,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Trainer:
     """Noise-contrastive steps with per-element step sizes (AdaGrad)."""
 
-    def __init__(self, v: Vocabulary, model: LogBilinear, seed: int):
+    def __init__(self, v: Vocabulary, model: LogBilinear, number: int, shard: int = 0):
         self.v, self.model = v, model
-        self.rate = np.float32(RATE / (1 + seed) ** DECAY)
+        self.rate = np.float32(RATE / (1 + number) ** DECAY)
         self.squares = np.full_like(model.table, SQUARES)
-        self.rng = np.random.default_rng(seed)
+        self.rng = np.random.default_rng((number, shard))
         share = (v.counts + 0.5) ** 0.75
         by_class = np.bincount(v.members, weights=v.counts + 0.5, minlength=CLASSES)
         self.heads = []
@@ -228,19 +231,29 @@ class Trainer:
         m.table[changed] -= self.rate * g / np.sqrt(squares)
 
 
-def train_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, table: np.ndarray, seed: int, rounds: int = 1) -> Iterator[pa.RecordBatch]:
-    """(row, values, tokens): the parameters after one pass over the partition's tokens, weighted by them."""
-    trainer, seen = Trainer(v, LogBilinear(table.copy()), seed), 0
-    for _, hashes, ending, counts in block_words(batches, 0):
-        entries, contexts, _ = sequences(v, hashes, ending, counts)
-        for _ in range(rounds):
-            order = trainer.rng.permutation(len(entries))
-            for i in range(0, len(order), BATCH):
-                trainer.step(entries[order[i : i + BATCH]], contexts[order[i : i + BATCH]])
-        seen += len(entries)
-    if seen:
+def of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(shard, rows) of batches (shard, text) in order of shard, cut where the shard changes."""
+    for batch in batches:
+        shard = batch.column(0).to_numpy()
+        ends = [*(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+            if hi > lo:
+                yield int(shard[lo]), batch.slice(lo, hi - lo)
+
+
+def train_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, table: np.ndarray, number: int, rounds: int = 1) -> Iterator[pa.RecordBatch]:
+    """(row, values, tokens): the parameters after the pass of that number over the tokens of each shard, weighted by them."""
+    for shard, own in groupby(of_shards(batches), lambda x: x[0]):
+        trainer, seen = Trainer(v, LogBilinear(table.copy()), number, shard), 0
+        for _, hashes, ending, counts in block_words((b for _, b in own), 1):
+            entries, contexts, _ = sequences(v, hashes, ending, counts)
+            for _ in range(rounds):
+                order = trainer.rng.permutation(len(entries))
+                for i in range(0, len(order), BATCH):
+                    trainer.step(entries[order[i : i + BATCH]], contexts[order[i : i + BATCH]])
+            seen += len(entries)
         t = trainer.model.table
-        for i in range(0, len(t), 2048):
+        for i in range(0, len(t) if seen else 0, 2048):
             part = t[i : i + 2048]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]), pa.array(part.reshape(-1)))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part), dtype=np.int32)), lists, pa.array(np.full(len(part), float(seen)))], ["row", "values", "tokens"])
@@ -266,15 +279,18 @@ def sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PARAMETERS = "row int, values array<float>, tokens double"
 
 
-def train(spark: SparkSession, texts: DataFrame, v: Vocabulary) -> LogBilinear:
-    """Passes over all training texts, the tasks' parameters averaged by tokens after each."""
+def train(spark: SparkSession, texts: DataFrame, v: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> LogBilinear:
+    """Passes over all training texts (id, text), the shards' parameters averaged by tokens after each."""
     model = LogBilinear.start(v)
+    shards = max(1, v.tokens // shard_tokens)
+    dealt = texts.select(F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64(F.lit("order"), "id", "text").alias("h"), "text")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h").select("shard", "text")
     wanted = max(1, -(-MIN_SEEN // max(1, v.tokens)))
     passes = min(MAX_PASSES, wanted)
     rounds = min(MAX_ROUNDS, -(-wanted // passes))
     for k in range(passes):
         shared = spark.sparkContext.broadcast((v, model.table))
-        learned = texts.mapInArrow(lambda it, shared=shared, k=k: train_batches(it, *shared.value, k, rounds), PARAMETERS)
+        learned = dealt.mapInArrow(lambda it, shared=shared, k=k: train_batches(it, *shared.value, k, rounds), PARAMETERS)
         summed_rows = learned.repartition(spark.sparkContext.defaultParallelism, "row").mapInArrow(sum_batches, PARAMETERS)
         got = summed_rows.toPandas()  # a row for each row of the parameters
         if len(got):
@@ -392,8 +408,8 @@ def score(documents: DataFrame, training: Column, id_col: str = "doc_id", text_c
     """id_col, n_tokens, n_known, train_tokens, base_score, score for every row; `training` marks the rows to learn from."""
     spark = documents.sparkSession
     small_batches(spark)
-    texts = documents.where(training).select(F.col(text_col).alias("text"))
-    counted = texts.mapInArrow(count_batches, "word long, ending int, n long").groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("c"))
+    texts = documents.where(training).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counted = texts.select("text").mapInArrow(count_batches, "word long, ending int, n long").groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("c"))
     counted = cut(counted, "counts")
     v = vocabulary(counted)
     shared = spark.sparkContext.broadcast((v, train(spark, texts, v)))
