@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import junctions as crossings
-from ..operators import mapmatch, paths, roadedge
+from ..operators import mapmatch, paths, polylines, roadedge
 from .queries import query, r6
 from .tables import tracks
 
@@ -211,3 +211,34 @@ def body_headings(spark, sf):
     """Body headings along or against the motion, a least-cost path of two states; tests compare it with exhaustive search."""
     k = scenarios(spark, sf).withColumns({"t": (F.col("frame") % FRAMES) * 0.1, "one": F.lit(1)})
     return paths.body_headings(k, KEYS, "track_id", "frame", kind="one").select(*KEYS, "track_id", "frame", *r6("body"))
+
+
+@query(f"""
+WITH RECURSIVE $TRACKS, {SCENARIOS_SQL}, {RING_SQL},
+ln AS (SELECT rp.scene, rp.part, rp.lane, i, x, y, rn.n FROM rp JOIN rn ON rp.scene = rn.scene AND rp.part = rn.part AND rn.lane = rp.lane % 100 UNION ALL SELECT scene, part, 300 + lane, row_number() OVER (PARTITION BY scene, part, lane ORDER BY event_id) - 1, x / 20, y / 5, 3 FROM k),
+mn AS (SELECT * FROM ln QUALIFY count(*) OVER (PARTITION BY scene, part, lane) > 2),
+ds AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0.0) AS d FROM mn WINDOW w AS (PARTITION BY scene, part, lane ORDER BY i)),
+rr AS (SELECT *, sum(CASE WHEN d > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY scene, part, lane ORDER BY i) AS run FROM ds),
+ws AS (SELECT *, sum(CASE WHEN first THEN 0.0 ELSE d END) OVER (PARTITION BY scene, part, lane, run ORDER BY i) AS s FROM (SELECT *, row_number() OVER (PARTITION BY scene, part, lane, run ORDER BY i) = 1 AS first FROM rr)),
+nx AS MATERIALIZED (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(s) OVER w AS s1, CAST(ceil(max(s) OVER (PARTITION BY scene, part, lane, run) / 0.5) AS BIGINT) + 1 AS m FROM ws WINDOW w AS (PARTITION BY scene, part, lane, run ORDER BY i)),
+sa AS MATERIALIZED (
+  SELECT scene, part, lane, run, m, j, x + (j * 0.5 - s) / (s1 - s) * (x1 - x) AS x, y + (j * 0.5 - s) / (s1 - s) * (y1 - y) AS y FROM (SELECT *, unnest(range(CAST(ceil(s / 0.5) AS BIGINT), least(CAST(ceil(s1 / 0.5) AS BIGINT), m - 1))) AS j FROM nx WHERE s1 IS NOT NULL)
+  UNION ALL SELECT scene, part, lane, run, m, m - 1, x, y FROM nx WHERE s1 IS NULL AND m > 1),
+pc AS (SELECT DISTINCT scene, part, lane, run, m, CASE WHEN m >= 11 THEN (m - 11) // 10 + 1 ELSE 0 END AS w, CASE WHEN m >= 11 THEN (m - 11) % 10 ELSE m END AS rest FROM sa),
+tk AS (SELECT scene, part, lane, run, q AS piece, 10 * q AS a, 10 * q + 5 AS b, 10 * q + 10 AS c FROM (SELECT *, unnest(range(0, w)) AS q FROM pc) UNION ALL SELECT scene, part, lane, run, w, 10 * w, 10 * w + (m - 10 * w - 1) // 2, m - 1 FROM pc WHERE rest >= 3),
+tt AS (SELECT tk.scene, tk.part, tk.lane, row_number() OVER (PARTITION BY tk.scene, tk.part, tk.lane ORDER BY tk.run, piece) - 1 AS token, sa.x AS xa, sa.y AS ya, sb.x AS xb, sb.y AS yb, sc.x AS xc, sc.y AS yc, atan2(sh.y - sa.y, sh.x - sa.x) AS heading FROM tk
+  JOIN sa ON (sa.scene, sa.part, sa.lane, sa.run, sa.j) = (tk.scene, tk.part, tk.lane, tk.run, tk.a) JOIN sa sb ON (sb.scene, sb.part, sb.lane, sb.run, sb.j) = (tk.scene, tk.part, tk.lane, tk.run, tk.b)
+  JOIN sa sc ON (sc.scene, sc.part, sc.lane, sc.run, sc.j) = (tk.scene, tk.part, tk.lane, tk.run, tk.c) JOIN sa sh ON (sh.scene, sh.part, sh.lane, sh.run, sh.j) = (tk.scene, tk.part, tk.lane, tk.run, tk.a + 1)),
+lt AS (SELECT scene, part, lane, any_value(n % 4) AS light FROM mn GROUP BY 1, 2, 3)
+SELECT scene, part, lane, CAST(token AS INTEGER) AS token, round(xa, 5) AS xa, round(ya, 5) AS ya, round(xb, 5) AS xb, round(yb, 5) AS yb, round(xc, 5) AS xc, round(yc, 5) AS yc, round(cos(heading), 4) AS c, round(sin(heading), 4) AS s, light FROM tt JOIN lt USING (scene, part, lane)
+""")
+def map_tokens(spark, sf):
+    """Three-point tokens of the ring map and of lines through the states, with the light of their lane."""
+    k = scenarios(spark, sf)
+    arcs = ring_lanes(k)
+    lanes = ring_map(arcs)[0].select(*KEYS, "lane", F.posexplode("points").alias("i", "p")).withColumn("of", F.col("lane") % 100)
+    lit = lanes.join(arcs.select(*KEYS, F.col("lane").alias("of"), "n"), [*KEYS, "of"]).select(*KEYS, "lane", F.col("i").cast("long").alias("i"), "p.x", "p.y", (F.col("n") % 4).alias("light"))
+    through = k.select(*KEYS, (F.col("lane") + 300).alias("lane"), (F.row_number().over(Window.partitionBy(*KEYS, "lane").orderBy("event_id")) - 1).cast("long").alias("i"), (F.col("x") / 20).alias("x"), (F.col("y") / 5).alias("y"), F.lit(3).cast("long").alias("light"))
+    got = polylines.map_tokens(lit.unionByName(through), k, KEYS, "lane", "i", ["light"])
+    p = lambda i, c: F.round(F.col("points")[i][c], 5).alias(f"{c}{'abc'[i]}")
+    return got.select(*KEYS, "lane", "token", *[p(i, c) for i in range(3) for c in "xy"], F.round(F.cos("heading"), 4).alias("c"), F.round(F.sin("heading"), 4).alias("s"), "light")
