@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import framed, records
@@ -22,12 +22,19 @@ def scenes(spark: SparkSession, sf: str) -> DataFrame:
     return per.groupBy("scene", "part").agg(F.array_sort(F.collect_list(F.struct("track_id", "states"))).alias("tracks"))
 
 
+def shard(scene: Column) -> Column:
+    return (F.floor(scene / (1 << 28)) + scene % (1 << 28)) % SHARDS
+
+
+SHARD_SQL = f"(scene // 268435456 + scene % 268435456) % {SHARDS}"
+
+
 def encode(batches):
     for batch in batches:
         out = []
         for scene, part, group in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             message = {"scenario_id": f"{scene}_{part}", "timestamps_seconds": [k / 10 for k in range(FRAMES)], "current_time_index": 10, "sdc_track_index": 0}
-            message["tracks"] = [{"id": t["track_id"], "object_type": t["states"][0]["kind"], "states": [{"center_x": s["x"], "center_y": s["y"], "heading": s["heading"], "velocity_x": s["vx"], "velocity_y": s["vy"], "valid": s["valid"]} for s in t["states"]]} for t in group]
+            message["tracks"] = [{"id": t["track_id"] % 8, "object_type": t["states"][0]["kind"], "states": [{"center_x": s["x"], "center_y": s["y"], "heading": s["heading"], "velocity_x": s["vx"], "velocity_y": s["vy"], "valid": s["valid"]} for s in t["states"]]} for t in group]
             out.append(records.encode(message, records.SCENARIO))
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["scene", "part", "payload"])
 
@@ -35,7 +42,7 @@ def encode(batches):
 def record_index(spark: SparkSession, sf: str) -> DataFrame:
     """The offset index of the scenes, written to numbered files; ranges are small, so that a file has several."""
     payloads = scenes(spark, sf).mapInArrow(encode, "scene long, part long, payload binary")
-    file = F.format_string(f"events-%05d-of-{SHARDS:05d}", F.col("scene") % SHARDS)
+    file = F.format_string(f"events-%05d-of-{SHARDS:05d}", shard(F.col("scene")))
     folder = new_path(spark, "records")
     framed.write_records(payloads.select(file.alias("file"), F.struct("scene", "part").alias("order"), "payload"), folder, files=SHARDS)
     return framed.index_files(framed.shards(spark, folder), split_bytes=1 << 18)
@@ -43,18 +50,18 @@ def record_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH $TRACKS, k AS (SELECT t.*, t.track_id // 8 AS scene, frame // 91 AS part FROM t)
-SELECT scene || '_' || part AS scenario_id, track_id, first_value(kind) OVER (PARTITION BY scene, part, track_id ORDER BY frame) AS object_type, CAST(frame % 91 AS INTEGER) AS frame_index,
+SELECT scene || '_' || part AS scenario_id, track_id % 8 AS track, first_value(kind) OVER (PARTITION BY scene, part, track_id ORDER BY frame) AS object_type, CAST(frame % 91 AS INTEGER) AS frame_index,
   round((frame % 91) / 10.0, 6) AS t, round(x, 6) AS x, round(y, 6) AS y, round(CAST(CAST(heading AS FLOAT) AS DOUBLE), 4) AS heading, round(vx, 6) AS vx, round(vy, 6) AS vy, valid FROM k
 """)
 def record_states(spark, sf):
     """Files of scenario messages, read in byte ranges, decoded, and exploded into states."""
     states = records.track_states(records.scenarios(framed.read_index(record_index(spark, sf))))
-    return states.select("scenario_id", F.col("track_id").cast("long").alias("track_id"), F.col("object_type").cast("long").alias("object_type"), "frame_index", *r6("t", "x", "y"), F.round(F.col("heading").cast("double"), 4).alias("heading"), *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("vx", "vy")], "valid")
+    return states.select("scenario_id", F.col("track_id").cast("long").alias("track"), F.col("object_type").cast("long").alias("object_type"), "frame_index", *r6("t", "x", "y"), F.round(F.col("heading").cast("double"), 4).alias("heading"), *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("vx", "vy")], "valid")
 
 
 @query(f"""
 WITH $TRACKS, s AS (SELECT DISTINCT track_id // 8 AS scene, frame // 91 AS part FROM t)
-SELECT CAST(k AS INTEGER) AS shard, count(scene) AS records FROM range({SHARDS}) r(k) JOIN s ON scene % {SHARDS} = k GROUP BY k
+SELECT CAST(k AS INTEGER) AS shard, count(scene) AS records FROM range({SHARDS}) r(k) JOIN s ON {SHARD_SQL} = k GROUP BY k
 """)
 def record_counts(spark, sf):
     """Records of each file, from the lengths alone."""
@@ -64,7 +71,7 @@ def record_counts(spark, sf):
 
 @query(f"""
 WITH $TRACKS, s AS (SELECT DISTINCT track_id // 8 AS scene, frame // 91 AS part FROM t),
-g AS (SELECT *, row_number() OVER (ORDER BY scene % {SHARDS}, scene, part) - 1 AS global_index FROM s)
+g AS (SELECT *, row_number() OVER (ORDER BY {SHARD_SQL}, scene, part) - 1 AS global_index FROM s)
 SELECT global_index, scene || '_' || part AS scenario_id FROM g WHERE global_index >= 5
 """)
 def selected_records(spark, sf):

@@ -1,4 +1,4 @@
-"""Registered queries over maps: the trajectories are cut into scenarios of eight tracks and 91 frames, each with a map of its own."""
+"""Registered queries over maps: a scene of eight tracks is a scenario with a map of its own."""
 
 from __future__ import annotations
 
@@ -71,7 +71,7 @@ def map_matching(spark, sf):
 #: The ring map of a scenario: two rings of five lanes, each an arc, a lane that leads to each arc's start
 #: and one that leads away from its end. The numbers of events choose radii and which lanes are linked.
 RING_SQL = """rn AS MATERIALIZED (SELECT scene, part, lane, count(*) AS n FROM k GROUP BY 1, 2, 3),
-ra AS MATERIALIZED (SELECT *, lane // 5 AS ring, lane % 5 AS arc, 10.0 + 3 * (lane // 5) + (n % 3) * 0.2 AS r, 10.0 * scene AS ox, 10.0 * part AS oy FROM rn),
+ra AS MATERIALIZED (SELECT *, lane // 5 AS ring, lane % 5 AS arc, 10.0 + 3 * (lane // 5) + (n % 3) * 0.2 AS r, 10.0 * (scene // 268435456 % 100) AS ox, 10.0 * (scene % 268435456 % 100) AS oy FROM rn),
 rp AS MATERIALIZED (
   SELECT scene, part, lane, i, ox + r * cos(radians(72.0 * arc + 9 * i)) AS x, oy + r * sin(radians(72.0 * arc + 9 * i)) AS y FROM (SELECT *, unnest(range(0, 9)) AS i FROM ra)
   UNION ALL SELECT scene, part, 100 + lane, i, ox + (r + 20 * (1 - i)) * cos(radians(72.0 * arc)), oy + (r + 20 * (1 - i)) * sin(radians(72.0 * arc)) FROM (SELECT *, unnest(range(0, 2)) AS i FROM ra)
@@ -86,7 +86,7 @@ sc AS MATERIALIZED (SELECT x.scene, x.part, x.a AS lane, min(x.b) AS component F
 
 def ring_lanes(k: DataFrame) -> DataFrame:
     n = k.groupBy(*KEYS, "lane").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumns({"ring": F.floor(F.col("lane") / 5), "arc": F.col("lane") % 5, "r": 10.0 + 3 * F.floor(F.col("lane") / 5) + (F.col("n") % 3) * 0.2, "ox": 10.0 * F.col("scene"), "oy": 10.0 * F.col("part")})
+    return n.withColumns({"ring": F.floor(F.col("lane") / 5), "arc": F.col("lane") % 5, "r": 10.0 + 3 * F.floor(F.col("lane") / 5) + (F.col("n") % 3) * 0.2, "ox": 10.0 * (F.floor(F.col("scene") / (1 << 28)) % 100), "oy": 10.0 * (F.col("scene") % (1 << 28) % 100)})
 
 
 def ring_map(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -250,13 +250,13 @@ def quantization_error(spark, sf):
 
 
 @query("""
-WITH $TRACKS, p AS (SELECT a.kind, a.frame, a.track_id AS id, b.track_id AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM t a JOIN t b ON a.frame = b.frame AND a.kind = b.kind AND a.track_id <> b.track_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9.0 WHERE a.valid AND b.valid),
-n AS (SELECT *, row_number() OVER (PARTITION BY kind, frame, id ORDER BY d2, other) AS k FROM p)
-SELECT kind, frame, id, other, round(d2, 6) AS d2 FROM n WHERE k <= 3
+WITH $TRACKS, p AS (SELECT a.track_id // 8 AS scene, a.frame, a.track_id AS id, b.track_id AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM t a JOIN t b ON a.frame = b.frame AND a.track_id // 8 = b.track_id // 8 AND a.track_id <> b.track_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400.0 WHERE a.valid AND b.valid),
+n AS (SELECT *, row_number() OVER (PARTITION BY scene, frame, id ORDER BY d2, other) AS k FROM p)
+SELECT scene, frame, id, other, round(d2, 6) AS d2 FROM n WHERE k <= 3
 """)
 def radius_neighbours(spark, sf):
-    p = tracks(spark, sf).where("valid").select("kind", "frame", F.col("track_id").alias("id"), "x", "y")
-    return joins.radius_pairs(p, p, ["kind", "frame"], 3.0, 3).select("kind", "frame", "id", "other", *r6("d2"))
+    p = tracks(spark, sf).where("valid").select(F.floor(F.col("track_id") / 8).alias("scene"), "frame", F.col("track_id").alias("id"), "x", "y")
+    return joins.radius_pairs(p, p, ["scene", "frame"], 20.0, 3).select("scene", "frame", "id", "other", *r6("d2"))
 
 
 @query()
