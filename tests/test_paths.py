@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracklode.operators import paths, roadedge
+from tracklode.operators import paths, polylines, roadedge
 
 
 def rows(df, *columns):
@@ -102,3 +102,43 @@ def test_body_headings_of_ways_forward_back_and_unknown(spark):
     jumps = df.withColumn("x", F.when((F.col("track") == 1) & F.col("frame").between(10, 12), 500.0).otherwise(F.col("x"))).withColumn("valid", F.when(F.col("frame") == 20, None).otherwise(F.col("valid")))
     lost = paths.path_members(jumps, ["scene"], "track", "frame").where(~F.col("kept"))
     assert rows(lost.where("track = 1"), "frame") == [(10,), (11,), (12,), (20,)] and rows(lost.where("track = 2"), "frame") == [(20,)]
+
+
+def sampled_by_loop(line):
+    """Runs without a gap above 3 m, samples each half metre and at the end, pieces of 10 steps, a rest of three further samples."""
+    out, runs = [], [[line[0]]]
+    for a, b in itertools.pairwise(line):
+        if math.dist(a, b) > 3:
+            runs.append([])
+        runs[-1].append(b)
+    for run in runs:
+        s = np.concatenate([[0.0], np.cumsum([math.dist(a, b) for a, b in itertools.pairwise(run)])])
+        at = np.append(np.arange(0, s[-1], 0.5), s[-1])
+        if len(run) < 2:
+            continue
+        p = np.stack([np.interp(at, s, [q[i] for q in run]) for i in (0, 1)], axis=1)
+        whole = max(0, (len(p) - 11) // 10 + 1)
+        places = [(10 * k, 10 * k + 5, 10 * k + 10) for k in range(whole)]
+        rest = len(p) - 10 * whole
+        if (rest - 1 if whole else rest) >= 3:
+            places.append((10 * whole, 10 * whole + (rest - 1) // 2, len(p) - 1))
+        out += [[round(float(c), 6) for i in ijk for c in p[i]] + [round(math.atan2(*(p[ijk[0] + 1] - p[ijk[0]])[::-1]), 6)] for ijk in places]
+    return out
+
+
+def test_map_tokens_against_a_loop(spark):
+    rng = np.random.default_rng(3)
+    lines = {1: [(0.0, 0.0), (2.6, 0.0), (2.6, 0.0), (5.1, 0.7), (9.0, 9.0), (9.5, 9.0), (9.5, 10.5)], 2: [(0.0, 0.0), (1.0, 1.0)], 3: [(0.0, 0.0), (5.0, 0.0), (10.0, 0.0)], 4: [(k * 2.5, 0.0) for k in range(9)]}
+    lines |= {10 + k: [(float(x), float(y)) for x, y in np.cumsum(rng.uniform(-1, 2.5, (int(rng.integers(3, 40)), 2)), axis=0)] for k in range(12)}
+    table = spark.createDataFrame([(1, n, i, x, y, n % 3) for n, line in lines.items() for i, (x, y) in enumerate(line)], "scene long, line long, i long, x double, y double, light long")
+    scenes = spark.createDataFrame([(1,), (2,)], "scene long")
+    got = polylines.map_tokens(table, scenes, ["scene"], "line", "i", ["light"])
+    found = {}
+    for r in got.where("scene = 1").orderBy("line", "token").collect():
+        assert r.light == r.line % 3
+        found.setdefault(r.line, []).append([round(c, 6) for p in r.points for c in (p.x, p.y)] + [round(r.heading, 6)])
+    want = {n: made for n, line in lines.items() if len(line) > 2 and (made := sampled_by_loop(line))}
+    assert found.keys() == want.keys()
+    for n in want:
+        np.testing.assert_allclose(found[n], want[n], atol=2e-6)
+    assert [(r.line, r.light, r.points[0].x) for r in got.where("scene = 2").collect()] == [(None, 0, 6e4)]
