@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracklode.functions import geometry
 from tracklode.operators import junctions, mapmatch
-from tracklode.sources import framed
+from tracklode.sources import framed, metric_store
 
 
 def rows(df, *columns):
@@ -220,3 +220,33 @@ def test_kept_groups_against_a_loop():
     for _ in range(50):
         groups = [(rng.randrange(4), frozenset(rng.sample(range(8), rng.randrange(1, 8)))) for _ in range(9)]
         assert junctions.kept_groups(groups) == kept_by_loop(groups)
+
+
+def test_metric_store_survives_a_kill_between_values_and_commit(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/m"
+    data = lambda k: spark.createDataFrame([("a", "s", "m", float(k)), ("a", "s", "m", float("nan")), ("b", "s", "m", None), ("b", "t", "m", 2.0 * k), ("b", "t", "m", float("inf"))], "level string, scope string, metric string, value double")
+    store = metric_store.MetricStore(spark, path, {"x": 1})
+    assert store.values().count() == 0 and store.append(0, data(5)) and not store.append(0, data(9))
+    read = spark.read.__class__.schema
+
+    def killed(self, schema):  # after the values, before the commit
+        if schema == metric_store.VALUES:
+            raise KeyboardInterrupt
+        return read(self, schema)
+
+    monkeypatch.setattr(spark.read.__class__, "schema", killed)
+    with pytest.raises(KeyboardInterrupt):
+        store.append(1, data(7))
+    monkeypatch.undo()
+    assert spark.read.parquet(f"{path}/values/batch=1").count() == 2
+    again = metric_store.MetricStore(spark, path, {"x": 1})
+    assert rows(again.values(), "scope", "value", "batch") == [("s", 5.0, 0), ("t", 10.0, 0)]
+    again.append_batch(data(8), 1)
+    again.append_batch(data(8), 1)
+    assert rows(again.values(), "scope", "value", "batch") == [("s", 5.0, 0), ("s", 8.0, 1), ("t", 10.0, 0), ("t", 16.0, 1)]
+    assert rows(again.counts(), "level", "scope", "n") == [("a", "s", 2), ("b", "t", 2)]
+    with pytest.raises(ValueError, match="another run"):
+        metric_store.MetricStore(spark, path, {"x": 2})
+    spark.createDataFrame([("a", "s", "m", 1.0)], metric_store.VALUES).write.mode("append").parquet(f"{path}/values/batch=1")
+    with pytest.raises(ValueError, match="batch 1: 3 rows of 2"):
+        again.values()

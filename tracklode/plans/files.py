@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import framed, records
+from ..sources.metric_store import MetricStore
 from ..sources.store import new_path
 from .queries import query, r6
-from .tables import tracks
+from .tables import table, tracks
 
 SHARDS, FRAMES = 6, 91
 
@@ -78,3 +79,17 @@ def selected_records(spark, sf):
     """Scenario names of the records from the sixth on, by their place in all files."""
     got = framed.read_selected(record_index(spark, sf), start=5)
     return got.select("global_index", records.scenario_name(F.col("payload")).alias("scenario_id"))
+
+
+@query("""
+SELECT event_type AS scope, count(*) AS n, round(sum(value), 4) AS total, round(quantile_cont(value, 0.01), 6) AS p_low, round(quantile_cont(value, 0.99), 6) AS p_high FROM events WHERE isfinite(value) GROUP BY 1
+""")
+def stored_metrics(spark, sf):
+    """Values stored in three batches, with a batch offered twice and one that was cut off before its commit, and summed up."""
+    values = table(spark, sf, "events").select(F.lit("frame").alias("level"), F.col("event_type").alias("scope"), F.lit("value").alias("metric"), "value", (F.col("event_id") % 3).alias("k"))
+    path = new_path(spark, "metrics")
+    for k in (0, 1, 1, 2):
+        MetricStore(spark, path, {"source": "events"}).append(k, values.where(F.col("k") == k))
+    values.drop("k").write.parquet(f"{path}/values/batch=3")  # as a run leaves it that ends before its commit
+    got = MetricStore(spark, path, {"source": "events"}).values().groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
+    return got.select("scope", "n", "total", F.round(F.col("p")[0], 6).alias("p_low"), F.round(F.col("p")[1], 6).alias("p_high"))
