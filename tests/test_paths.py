@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracklode.operators import paths, polylines, roadedge
+from tracklode.operators import paths, polylines, roadedge, splines
 
 
 def rows(df, *columns):
@@ -142,3 +142,26 @@ def test_map_tokens_against_a_loop(spark):
     for n in want:
         np.testing.assert_allclose(found[n], want[n], atol=2e-6)
     assert [(r.line, r.light, r.points[0].x) for r in got.where("scene = 2").collect()] == [(None, 0, 6e4)]
+
+
+def test_splines_against_a_dense_solve(spark):
+    rng = np.random.default_rng(6)
+    for n in (2, 3, 4, 9, 40):
+        control = rng.normal(size=(n, 3)) * 10
+        want = np.zeros_like(control)
+        if n > 2:
+            a = 4 * np.eye(n - 2) + np.eye(n - 2, k=1) + np.eye(n - 2, k=-1)
+            want[1:-1] = np.linalg.solve(a, 6 * (control[2:] - 2 * control[1:-1] + control[:-2]))
+        np.testing.assert_allclose(splines.second_derivatives(control), want, atol=1e-9)
+        np.testing.assert_allclose(splines.cubic_frames(control)[4::5], control[1:])
+    line = np.stack([np.arange(6.0), 2 * np.arange(6.0)], axis=1)
+    place, ways = splines.frames_between(line, np.full(6, 9.0), "cubic")
+    np.testing.assert_allclose(place[:, 0], np.arange(1, 26) / 5, atol=1e-12)
+    np.testing.assert_allclose(ways, math.atan2(2, 1))
+    still, ways = splines.frames_between(np.zeros((3, 2)), np.array([0.4, 1.0, 2.0]), "cubic")
+    assert (ways == 0.4).all() and (still == 0).all()
+    _, ways = splines.frames_between(line[:2], np.array([3.0, -3.0]), "linear")
+    np.testing.assert_allclose(ways[[1, 4]], [3.0 + (2 * math.pi - 6) * 0.4 * 0.4 * 2.2, -3.0])
+    data = [(1, t, i, float(i), None if (t, i) == (1, 2) else 1.0, 0.0, m) for t, m in ((1, "cubic"), (2, "static"), (3, "linear")) for i in range(4)] + [(1, 4, 0, 0.0, 0.0, 0.0, "cubic")]
+    got = splines.interpolate(spark.createDataFrame(data, "scene long, track long, i long, x double, y double, heading double, method string"), ["scene"], "track", "i")
+    assert [got.where(F.col("track") == t).count() for t in (1, 2, 3, 4)] == [10, 15, 15, 0]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import junctions as crossings
-from ..operators import mapmatch, paths, polylines, roadedge
+from ..operators import mapmatch, paths, polylines, roadedge, splines
 from .queries import query, r6
 from .tables import tracks
 
@@ -242,3 +242,30 @@ def map_tokens(spark, sf):
     got = polylines.map_tokens(lit.unionByName(through), k, KEYS, "lane", "i", ["light"])
     p = lambda i, c: F.round(F.col("points")[i][c], 5).alias(f"{c}{'abc'[i]}")
     return got.select(*KEYS, "lane", "token", *[p(i, c) for i in range(3) for c in "xy"], F.round(F.cos("heading"), 4).alias("c"), F.round(F.sin("heading"), 4).alias("s"), "light")
+
+
+@query(f"""
+WITH RECURSIVE $TRACKS, {SCENARIOS_SQL},
+kd AS (SELECT scene, track_id, arg_min(kind, frame) AS kind FROM k GROUP BY 1, 2),
+c AS MATERIALIZED (SELECT k.scene, k.track_id, kd.kind, x, y, heading, frame // 5 AS i, max(frame // 5) OVER (PARTITION BY k.scene, k.track_id) AS n FROM k JOIN kd USING (scene, track_id) WHERE frame % 5 = 0),
+h AS MATERIALIZED (SELECT a.*, 6 * (z.x - 2 * a.x + b.x) AS rx, 6 * (z.y - 2 * a.y + b.y) AS ry FROM c a JOIN c b ON a.scene = b.scene AND a.track_id = b.track_id AND b.i = a.i - 1 JOIN c z ON a.scene = z.scene AND a.track_id = z.track_id AND z.i = a.i + 1),
+f AS (
+  SELECT scene, track_id, i, n, CAST(0.25 AS DOUBLE) AS w, rx * 0.25 AS dx, ry * 0.25 AS dy FROM h WHERE i = 1
+  UNION ALL SELECT f.scene, f.track_id, h.i, h.n, 1 / (4 - w), (rx - dx) / (4 - w), (ry - dy) / (4 - w) FROM f JOIN h ON f.scene = h.scene AND f.track_id = h.track_id AND h.i = f.i + 1),
+b AS (
+  SELECT scene, track_id, i, dx AS mx, dy AS my FROM f WHERE i = n - 1
+  UNION ALL SELECT f.scene, f.track_id, f.i, f.dx - f.w * mx, f.dy - f.w * my FROM b JOIN f ON f.scene = b.scene AND f.track_id = b.track_id AND f.i = b.i - 1),
+s AS (SELECT p.scene, p.track_id, p.kind, p.i, p.x AS x0, q.x AS x1, p.y AS y0, q.y AS y1, coalesce(u.mx, 0.0) AS u0, coalesce(v.mx, 0.0) AS u1, coalesce(u.my, 0.0) AS v0, coalesce(v.my, 0.0) AS v1, unnest([1, 2, 3, 4, 5]) AS j
+  FROM c p JOIN c q ON p.scene = q.scene AND p.track_id = q.track_id AND q.i = p.i + 1 LEFT JOIN b u ON u.scene = p.scene AND u.track_id = p.track_id AND u.i = p.i LEFT JOIN b v ON v.scene = p.scene AND v.track_id = p.track_id AND v.i = p.i + 1),
+o AS (SELECT scene, track_id, 5 * i + j AS frame, kind, j / 5.0 AS t, x0, x1, y0, y1, u0, u1, v0, v1 FROM s)
+SELECT o.scene, o.track_id, o.frame, round(CASE kind WHEN 1 THEN u0 * (1 - t) ** 3 / 6 + u1 * t ** 3 / 6 + (x0 - u0 / 6) * (1 - t) + (x1 - u1 / 6) * t WHEN 2 THEN x0 * (1 - t) + x1 * t ELSE z.x END, 5) AS x,
+  round(CASE kind WHEN 1 THEN v0 * (1 - t) ** 3 / 6 + v1 * t ** 3 / 6 + (y0 - v0 / 6) * (1 - t) + (y1 - v1 / 6) * t WHEN 2 THEN y0 * (1 - t) + y1 * t ELSE z.y END, 5) AS y
+FROM o JOIN (SELECT scene, track_id, x, y FROM c WHERE i = 0) z ON o.scene = z.scene AND o.track_id = z.track_id
+""")
+def interpolated_frames(spark, sf):
+    """Every frame between each fifth state of a track, by a method that its kind chooses."""
+    k = scenarios(spark, sf)
+    kind = F.min_by("kind", "frame").over(Window.partitionBy("scene", "track_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    method = F.when(F.col("first") == 1, "cubic").when(F.col("first") == 2, "linear").otherwise("static")
+    controls = k.withColumn("first", kind).where(F.col("frame") % 5 == 0).withColumn("method", method)
+    return splines.interpolate(controls, ["scene"], "track_id", "frame").select("scene", "track_id", "frame", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
