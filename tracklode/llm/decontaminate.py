@@ -6,8 +6,8 @@ rarest word. Documents are joined on that word alone; the positional bound (the
 document) and the length bound come next, and an exact comparison of the words at that place verifies the rest.
 
 Defined cases: null text has no words; an item without words or without an id is ignored; an empty benchmark hits
-nothing; a null document id is an id like any other; rows that repeat give a result row each; other columns of either
-table are not read.
+nothing; a null document id is an id like any other; rows that repeat give a result row each; an empty table of documents
+gives an empty result; other columns of either table are not read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ intervals of one common line.
 
 Defined cases: blank lines belong to no run and stay; a null or empty text has no lines; rows with a null id pass
 through and count for nothing; rows that repeat id and text share one decision; columns of documents are kept as they
-are, text apart; a document of which every non-blank line goes has an empty text.
+are, text apart; a document of which every non-blank line goes has an empty text; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ tasks replace words by their place in a dictionary of the task's block of texts,
 joined with the counts, and each block then meets its own dictionary again.
 
 Defined cases: null text is empty, so its only token is the end; rows that repeat are scored one by one; without training
-texts every token is unknown; a null id is scored and is not held out; other columns are not read.
+texts every token is unknown; a null id is scored and is not held out; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations

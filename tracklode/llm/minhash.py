@@ -11,7 +11,8 @@ is confirmed on the full sets of 64-bit shingle hashes.
 
 Defined cases: a text without words (or null) has an empty set and links with nothing; a row with a null id is never
 linked, and keep_first leaves it; a link belongs to the row's own set, so rows that repeat an id with different texts are
-told apart, and rows that repeat id and text are one document; other columns are not read.
+told apart, and rows that repeat id and text are one document; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations

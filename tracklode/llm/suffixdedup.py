@@ -16,7 +16,7 @@ hashes for each word of the extension.
 
 Defined cases: null texts and texts of fewer than min_words words have no passages; rows with a null id are dropped; rows
 that repeat id and text count once; different texts under one id are searched one by one, and matches between texts of one
-id are not reported; other columns are not read.
+id are not reported; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ are summed in a binary tree. An edit re-encodes the leaves it touches, with thos
 it, and updates the sums on the way to the root; the rest of the text is not read again.
 
 Defined cases: null text is empty and has 0 tokens; edits must lie in the text, be sorted and not overlap; an edit may be
-empty or replace by nothing; rows that repeat are counted one by one; a null id is kept; other columns are not read.
+empty or replace by nothing; rows that repeat are counted one by one; a null id is kept; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
