@@ -126,12 +126,13 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
         doubled = jumps.join(ahead, ["file", "jump"], "left").select("file", "offset", F.col("further").alias("jump"), "reached")
         marked = jumps.where("reached and jump is not null").select("file", F.col("jump").alias("offset"), F.lit(None).cast("long").alias("jump"), F.lit(True).alias("reached"))
         jumps = cut(doubled.unionByName(marked).groupBy("file", "offset").agg(F.max("jump").alias("jump"), F.max("reached").alias("reached")), "jumps")
-    met = cut(rows.join(jumps.where("reached").select("file", "offset", "reached"), ["file", "offset"], "left"), "records")
+    reached = jumps.where("reached").select("file", "offset", "reached")
     whole = F.max(F.coalesce(F.col("reached") & (F.col("next") == F.col("size")), F.lit(False)))
-    broken = met.groupBy("file").agg(whole.alias("whole")).where("not whole").limit(3).collect()
+    ends = rows.select("file", "offset", "next", "size").join(reached, ["file", "offset"], "left").groupBy("file").agg(whole.alias("whole"))
+    broken = ends.where("not whole").limit(3).collect()
     if broken:
         raise ValueError(f"archives whose records do not lead to their end: {', '.join(r.file for r in broken)}")
-    return met.where("reached").drop("next", "size", "reached")
+    return found.join(reached, ["file", "offset"], "left_semi").drop("next", "size")
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None, **kw) -> DataFrame:
