@@ -1,21 +1,24 @@
-"""Map matching: projections onto lane segments through a grid index, and a lane that is kept from frame to frame.
+"""Map matching: projections onto lane segments, and a lane that is kept from frame to frame.
 
-Segments are listed in the cells of a grid whose cell follows their own extent (a level for each power of two), so a
-segment of any length lies in at most four cells, and a point looks into one cell of each level that occurs.
+A scenario's states meet its segments in one grouped function, in blocks of bounded size: no pair of a state and a segment
+leaves it, only the state's lane. Blocks look only at segments whose box is near theirs.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.angles import wrap_angle
-
 # Reach in metres and degrees of a confident match, cost of a radian and of a break, weights of confidence.
 REACH, TURN, HEADING_COST, BREAK_COST = 8.0, 60.0, 2.0, 2.0
 CONFIDENCE = (0.55, 0.35, 0.10)
+BLOCK, PAIRS = 256, 1 << 20  # most points, and pairs of a point and a segment, that are looked at together
 
 
 def lane_segments(lanes: DataFrame, keys: list[str], lane: str, points: str) -> DataFrame:
@@ -27,39 +30,54 @@ def lane_segments(lanes: DataFrame, keys: list[str], lane: str, points: str) ->
     return got.withColumn("s0", F.coalesce(F.sum("length").over(before), F.lit(0.0)))
 
 
-def near_segments(points: DataFrame, segments: DataFrame, keys: list[str], reach: float) -> DataFrame:
-    """Each point (keys, x, y, other columns) with the segments (keys, x0, y0, ux, uy, other columns) whose box, widened by reach, may hold it.
+def in_blocks(x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray, reach: float) -> Iterator[tuple[slice, np.ndarray]]:
+    """Blocks of points in their order, each with the numbers of the segments whose box (low, high: segments x 2) is at most reach from theirs."""
+    at, step = 0, max(1, PAIRS // max(1, len(low)))
+    while at < len(x):
+        block = slice(at, at + min(step, BLOCK))
+        own = np.stack([x[block], y[block]], 1)
+        own = own[np.isfinite(own).all(1)]
+        near = ((low - reach <= own.max(0)) & (high + reach >= own.min(0))).all(1) if len(own) else np.zeros(len(low), bool)
+        yield block, np.flatnonzero(near)
+        at = block.stop
+
+
+def table_arrays(t: pa.Table, *columns: str) -> list[np.ndarray]:
+    """Columns as doubles, null as NaN."""
+    return [t.column(c).cast(pa.float64()).to_numpy() for c in columns]
 
-    Every segment within reach is among them, once. Columns other than keys must have different names.
+
+def lane_candidates(xy: np.ndarray, heading: np.ndarray, segments: dict[str, np.ndarray], lane_of: np.ndarray, lanes: int, search: float) -> dict[str, np.ndarray]:
+    """gap (infinite without a match), turn, s, point of each state and lane at the lane's nearest segment within `search`.
+
+    segments: x0, y0, ux, uy, length, s0, segment in the order of lane_of (numbers of lanes) and segment; the first of equals counts.
     """
-    low = {c: F.least(F.col(f"{c}0"), F.col(f"{c}0") + F.col(f"u{c}")) - reach for c in "xy"}
-    high = {c: F.greatest(F.col(f"{c}0"), F.col(f"{c}0") + F.col(f"u{c}")) + reach for c in "xy"}
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(high["x"] - low["x"], high["y"] - low["y"]) / (2.0 * reach)))).cast("int")
-    cell = 2.0 * reach * F.pow(F.lit(2.0), F.col("_level"))
-    spans = lambda c: F.sequence(F.floor(low[c] / cell), F.floor(high[c] / cell))
-    listed = segments.withColumn("_level", level).withColumn("_cx", F.explode(spans("x"))).withColumn("_cy", F.explode(spans("y")))
-    levels = sorted(r[0] for r in segments.select(level.alias("level")).distinct().collect())  # at most some two thousand powers of two
-    asked = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))) if levels else points.withColumn("_level", F.lit(0)).where("false")
-    asked = asked.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
-    return asked.join(listed, [*keys, "_level", "_cx", "_cy"]).drop("_level", "_cx", "_cy")
-
-
-def projected(x: Column, y: Column) -> dict[str, Column]:
-    """fraction and gap of a point and a segment (x0, y0, ux, uy) of the same row."""
-    dx, dy, ux, uy = x - F.col("x0"), y - F.col("y0"), F.col("ux"), F.col("uy")
-    length2 = ux * ux + uy * uy
-    f = F.when(length2 > 1e-12, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dx * ux + dy * uy) / length2))).otherwise(F.lit(0.0))
-    return {"fraction": f, "gap": F.sqrt((dx - f * ux) * (dx - f * ux) + (dy - f * uy) * (dy - f * uy))}
-
-
-def lane_candidates(states: DataFrame, segments: DataFrame, keys: list[str], rows: list[str], lane: str, search: float) -> DataFrame:
-    """keys, rows, lane, gap, turn, s, point: each lane within `search` of a state (keys, rows, x, y, heading), at its nearest segment."""
-    met = near_segments(states.select(*keys, *rows, "x", "y", "heading"), segments.select(*keys, lane, "segment", "x0", "y0", "ux", "uy", "length", "s0"), keys, search)
-    met = met.withColumns(projected(F.col("x"), F.col("y"))).where(F.col("gap") <= search)
-    turn = F.abs(wrap_angle(F.atan2("uy", "ux") - F.col("heading")))
-    point = F.col("segment") + (F.col("fraction") >= 0.5).cast("int")
-    best = met.groupBy(*keys, *rows, lane).agg(F.min(F.struct("gap", "segment", turn.alias("turn"), (F.col("s0") + F.col("fraction") * F.col("length")).alias("s"), point.alias("point"))).alias("b"))
-    return best.select(*keys, *rows, lane, "b.gap", "b.turn", "b.s", "b.point")
+    n = len(xy)
+    out = {"gap": np.full((n, lanes), np.inf), "turn": np.full((n, lanes), np.nan), "s": np.full((n, lanes), np.nan), "point": np.zeros((n, lanes), np.int64)}
+    ends = np.stack([segments["x0"] + segments["ux"], segments["y0"] + segments["uy"]], 1)
+    starts = np.stack([segments["x0"], segments["y0"]], 1)
+    for block, near in in_blocks(xy[:, 0], xy[:, 1], np.fmin(starts, ends), np.fmax(starts, ends), search + 1e-6):
+        if not len(near):
+            continue
+        x0, y0, ux, uy, length, s0, number = (segments[c][near] for c in ("x0", "y0", "ux", "uy", "length", "s0", "segment"))
+        dx, dy = xy[block, :1] - x0, xy[block, 1:] - y0
+        length2 = ux * ux + uy * uy
+        long = length2 > 1e-12
+        f = np.where(long, np.clip((dx * ux + dy * uy) / np.where(long, length2, 1.0), 0.0, 1.0), 0.0)
+        gap = np.sqrt((dx - f * ux) * (dx - f * ux) + (dy - f * uy) * (dy - f * uy))
+        gap = np.where(gap <= search, gap, np.inf)
+        own = lane_of[near]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        for a, b in zip(first, [*first[1:], len(own)], strict=True):
+            k = a + gap[:, a:b].argmin(1)
+            rows = np.arange(len(k))
+            share, place = f[rows, k], (block, own[a])
+            out["gap"][place] = gap[rows, k]
+            w = np.arctan2(uy[k], ux[k]) - heading[block]
+            out["turn"][place] = np.abs(w - 2 * math.pi * np.floor((w + math.pi) / (2 * math.pi)))
+            out["s"][place] = s0[k] + share * length[k]
+            out["point"][place] = number[k] + (share >= 0.5)
+    return out
 
 
 def followers(links: DataFrame, keys: list[str], lane: str = "lane") -> DataFrame:
@@ -80,36 +98,72 @@ def matched_lanes(
 
     A state takes the lane of least gap + heading_cost * turn, plus break_cost for lanes that do not follow the lane before,
     among those within reach and max_turn; ties go to the nearer lane, then to the smaller. Without such a lane it takes the
-    best within `search` (or null) and is not confident, and the next state starts afresh. Only tracks of bounded length may
-    be given (a scenario's): a track's frames are folded in one row.
+    best within `search` (or null) and is not confident, and the next state starts afresh. keys must name scenarios of bounded
+    size: one grouped function holds a scenario's states and segments.
     """
     search = search or 4 * reach
     limit = math.radians(max_turn)
-    found = lane_candidates(states, segments, keys, [track, frame], lane, search)
-    found = found.join(followers(links, keys, lane), [*keys, lane], "left")
-    fits = (F.col("gap") <= reach) & (F.col("turn") <= limit)
-    candidate = F.struct((F.col("gap") + heading_cost * F.col("turn")).alias("cost"), "gap", F.col(lane).alias("lane"), "turn", "s", "point", fits.alias("fits"), F.coalesce("kin", F.array().cast(f"array<{found.schema[lane].dataType.simpleString()}>")).alias("kin"))
-    per_frame = found.groupBy(*keys, track, frame).agg(F.collect_list(candidate).alias("c"))
-    # The others do not matter where one fits.
-    fit = F.filter("c", lambda c: c["fits"])
-    per_frame = per_frame.withColumn("c", F.when(F.size(fit) > 0, fit).otherwise(F.col("c")))
-    lane_type = found.schema[lane].dataType.simpleString()
-    none = F.lit(None)
-    out = f"array<struct<frame:{states.schema[frame].dataType.simpleString()},lane:{lane_type},s:double,point:int,gap:double,turn:double,fits:boolean,related:boolean>>"
-
-    def step(acc: Column, f: Column) -> Column:
-        related = lambda c: acc["lane"].isNull() | (acc["lane"] == c["lane"]) | F.array_contains(c["kin"], acc["lane"])
-        costs = F.transform(f["c"], lambda c: F.struct((c["cost"] + F.when(related(c), 0.0).otherwise(break_cost)).alias("cost"), c["gap"].alias("gap"), c["lane"].alias("lane"), c["turn"].alias("turn"), c["s"].alias("s"), c["point"].alias("point"), c["fits"].alias("fits"), related(c).alias("related")))
-        best = F.array_min(costs)
-        row = F.struct(f["frame"].alias("frame"), best["lane"].alias("lane"), best["s"].alias("s"), best["point"].cast("int").alias("point"), best["gap"].alias("gap"), best["turn"].alias("turn"), best["fits"].alias("fits"), best["related"].alias("related"))
-        return F.struct(F.when(best["fits"], best["lane"]).cast(lane_type).alias("lane"), F.concat(acc["rows"], F.array(row)).cast(out).alias("rows"))
-
-    tracks = per_frame.groupBy(*keys, track).agg(F.array_sort(F.collect_list(F.struct(F.col(frame).alias("frame"), "c"))).alias("frames"))
-    start = F.struct(none.cast(lane_type).alias("lane"), F.array().cast(out).alias("rows"))
-    folded = tracks.select(*keys, track, F.explode(F.aggregate("frames", start, step, lambda acc: acc["rows"])).alias("r"))
-    share = lambda v, most: F.greatest(F.lit(0.0), 1.0 - v / most)
-    sure = CONFIDENCE[0] * share(F.col("r.gap"), reach) + CONFIDENCE[1] * share(F.col("r.turn"), limit) + CONFIDENCE[2] * F.col("r.related").cast("double")
-    got = folded.select(*keys, track, F.col("r.frame").alias(frame), F.col("r.lane").alias(lane), "r.s", "r.point", "r.gap", "r.turn", F.col("r.fits").alias("confident"), F.when(F.col("r.fits"), sure).otherwise(F.lit(0.0)).alias("confidence"))
-    # States with no lane within search.
-    far = states.select(*keys, track, frame).join(got, [*keys, track, frame], "left")
-    return far.withColumns({"confident": F.coalesce("confident", F.lit(False)), "confidence": F.coalesce("confidence", F.lit(0.0))})
+    kin = segments.join(followers(links, keys, lane), [*keys, lane], "left").where(" and ".join(f"`{k}` is not null" for k in keys))
+    kin = kin.toDF(*kin.columns)  # states and segments may come from one table
+    own = states.select(*keys, track, frame, "x", "y", "heading")
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*keys, track, frame)), f"`{lane}` {segments.schema[lane].dataType.simpleString()}", "s double, point int, gap double, turn double, confident boolean, confidence double"])
+
+    def run(points: pa.Table, roads: pa.Table) -> pa.Table:
+        points = points.sort_by([(track, "ascending"), (frame, "ascending")])
+        roads = roads.sort_by([(lane, "ascending"), ("segment", "ascending")])
+        names = roads.column(lane).unique()
+        lane_of = pc.index_in(roads.column(lane), names).to_numpy()
+        x, y, heading = table_arrays(points, "x", "y", "heading")
+        numbers = ["x0", "y0", "ux", "uy", "length", "s0", "segment"]
+        with np.errstate(all="ignore"):
+            c = lane_candidates(np.stack([x, y], 1), heading, dict(zip(numbers, table_arrays(roads, *numbers), strict=True)), lane_of, len(names), search)
+        follows = np.eye(len(names) + 1, len(names), dtype=bool)
+        follows[-1] = True  # no lane before
+        place = {name: i for i, name in enumerate(names.to_pylist())}
+        for i, at in enumerate(np.unique(lane_of, return_index=True)[1].tolist()):
+            for name in roads.column("kin")[at].as_py() or ():
+                if name in place:
+                    follows[place[name], i] = True
+        tracks = pc.index_in(points.column(track), points.column(track).unique()).to_numpy()
+        at, related = kept_lanes(tracks, c, follows, reach, limit, heading_cost, break_cost)
+        rows, found = np.arange(len(at)), at >= 0
+        some = lambda v: pa.array(v, mask=~found)
+        if len(names):
+            got = {k: v[rows, at] for k, v in c.items()}
+        else:
+            got = {k: np.zeros(len(at), v.dtype) for k, v in c.items()}
+        fits = found & (got["gap"] <= reach) & (got["turn"] <= limit)
+        sure = CONFIDENCE[0] * np.maximum(0.0, 1.0 - got["gap"] / reach) + CONFIDENCE[1] * np.maximum(0.0, 1.0 - got["turn"] / limit) + CONFIDENCE[2] * related
+        columns = [*(points.column(k) for k in (*keys, track, frame)), names.take(pa.array(at, mask=~found)), some(got["s"]), some(got["point"].astype(np.int32)), some(got["gap"]), pa.array(got["turn"], mask=~found | np.isnan(got["turn"])), pa.array(fits), pa.array(np.where(fits, sure, 0.0))]
+        return pa.table(columns, names=[*keys, track, frame, lane, "s", "point", "gap", "turn", "confident", "confidence"])
+
+    return own.groupBy(*keys).cogroup(kin.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def kept_lanes(tracks: np.ndarray, c: dict[str, np.ndarray], follows: np.ndarray, reach: float, limit: float, heading_cost: float, break_cost: float) -> tuple[np.ndarray, np.ndarray]:
+    """The lane of each state (-1: none) and whether it follows the one before; states in the order of tracks and frames.
+
+    All tracks go on by one state at a time; those without a lane within search are passed over.
+    """
+    lane, related = np.full(len(tracks), -1), np.zeros(len(tracks), bool)
+    seen = np.flatnonzero(np.isfinite(c["gap"]).any(1))
+    first = np.flatnonzero(np.diff(tracks[seen], prepend=-1))
+    size = np.diff([*first, len(seen)])
+    before = np.full(len(first), -1)
+    for step in range(size.max(initial=0)):
+        on = np.flatnonzero(size > step)
+        at = seen[first[on] + step]
+        gap, turn = c["gap"][at], c["turn"][at]
+        fits = (gap <= reach) & (turn <= limit)
+        mask = np.where(fits.any(1, keepdims=True), fits, np.isfinite(gap))
+        kin = follows[before[on]]
+        cost = gap + heading_cost * turn + np.where(kin, 0.0, break_cost)
+        for key in (np.where(np.isnan(cost), np.inf, cost), gap):
+            key = np.where(mask, key, np.inf)
+            mask = mask & (key == key.min(1, keepdims=True))
+        best = mask.argmax(1)
+        rows = np.arange(len(at))
+        lane[at], related[at] = best, kin[rows, best]
+        before[on] = np.where(fits[rows, best], best, -1)
+    return lane, related
