@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import written
-from .mapmatch import near_segments
+from .mapmatch import PAIRS, in_blocks, table_arrays
 
 # How much heights count in the choice of the nearest segment.
 Z_STRETCH = 3.0
@@ -22,12 +25,66 @@ def edge_chain(edges: DataFrame, keys: list[str], edge: str, points: str) -> Dat
     return got.withColumns({**{f"p{c}": F.lag(f"u{c}").over(way) for c in "xy"}, **{f"n{c}": F.lead(f"u{c}").over(way) for c in "xy"}})
 
 
-def box_corners(boxes: DataFrame, rows: list[str]) -> DataFrame:
-    """rows, corner, x, y, z: the lower corners of boxes (x, y, z of the middle, length, width, height, heading)."""
-    c, s = F.cos("heading"), F.sin("heading")
-    at = lambda i, j: F.struct((F.col("x") + i * F.col("length") / 2 * c - j * F.col("width") / 2 * s).alias("x"), (F.col("y") + i * F.col("length") / 2 * s + j * F.col("width") / 2 * c).alias("y"))
-    spread = boxes.select(*rows, (F.col("z") - F.col("height") / 2).alias("z"), F.posexplode(F.array(at(1, 1), at(-1, 1), at(-1, -1), at(1, -1))).alias("corner", "p"))
-    return spread.select(*rows, "corner", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "z")
+def nearest_signed(x: np.ndarray, y: np.ndarray, z: np.ndarray, chain: dict[str, np.ndarray], reach: float, z_stretch: float) -> np.ndarray:
+    """Signed distances of points to the nearest segment of a chain in the order of edge and segment; NaN where none has a distance.
+
+    Points look at the segments near their block first; those with nothing within reach look at all.
+    """
+    best, number = np.full(len(x), np.inf), np.full(len(x), -1)
+    ends = np.stack([chain["x0"] + chain["ux"], chain["y0"] + chain["uy"]], 1)
+    starts = np.stack([chain["x0"], chain["y0"]], 1)
+
+    def look(at: np.ndarray, near: np.ndarray) -> None:
+        x0, y0, z0, ux, uy, uz = (chain[c][near] for c in ("x0", "y0", "z0", "ux", "uy", "uz"))
+        dx, dy, dz = x[at, None] - x0, y[at, None] - y0, z[at, None] - z0
+        f = np.clip((dx * ux + dy * uy) / np.maximum(ux * ux + uy * uy, 1e-10), 0.0, 1.0)
+        up = z_stretch * (dz - f * uz)
+        d = np.sqrt((dx - f * ux) ** 2 + (dy - f * uy) ** 2 + up * up)
+        d = np.where(np.isnan(d), np.inf, d)
+        k = d.argmin(1)
+        best[at], number[at] = d[np.arange(len(k)), k], near[k]
+
+    for block, near in in_blocks(x, y, np.fmin(starts, ends), np.fmax(starts, ends), reach + 1e-6):
+        if len(near):
+            look(np.arange(block.start, min(block.stop, len(x))), near)
+    rest = np.flatnonzero(~(best <= reach))
+    every, step = np.arange(len(starts)), max(1, PAIRS // max(1, len(starts)))
+    for a in range(0, len(rest) if len(every) else 0, step):
+        look(rest[a : a + step], every)
+    out, known = np.full(len(x), np.nan), np.flatnonzero(np.isfinite(best))
+    x0, y0, ux, uy, px, py, nx, ny = (chain[c][number[known]] for c in ("x0", "y0", "ux", "uy", "px", "py", "nx", "ny"))
+    dx, dy = x[known] - x0, y[known] - y0
+    t = (dx * ux + dy * uy) / np.maximum(ux * ux + uy * uy, 1e-10)
+    f = np.clip(t, 0.0, 1.0)
+    side = np.sign(dx * uy - dy * ux)
+    # Sides of the neighbours, and whether the chain turns left there.
+    before, after = np.sign((dx + px) * py - (dy + py) * px), np.sign((dx - ux) * ny - (dy - uy) * nx)
+    both = lambda other, left: np.where(left, np.maximum(side, other), np.minimum(side, other))
+    sign = np.where((t < 0) & ~np.isnan(px), both(before, px * uy - py * ux > 0), np.where((t > 1) & ~np.isnan(nx), both(after, ux * ny - uy * nx > 0), side))
+    out[known] = sign * np.sqrt((dx - f * ux) ** 2 + (dy - f * uy) ** 2)
+    return out
+
+
+def per_scene(own: DataFrame, chain: DataFrame, keys: list[str], rows: list[str], edge: str, columns: list[str], f: Callable[..., np.ndarray]) -> DataFrame:
+    """keys, rows, distance: f of the columns of a scene's rows and of its chain; NaN becomes null.
+
+    keys must name scenes of bounded size: one grouped function holds a scene's rows and chain, and no pair of them leaves it.
+    """
+    numbers = ["x0", "y0", "z0", "ux", "uy", "uz", "px", "py", "nx", "ny"]
+    own = own.select(*keys, *rows, *columns)
+    chain = chain.select(*keys, edge, "segment", *numbers).where(" and ".join(f"`{k}` is not null" for k in keys))
+    chain = chain.toDF(*chain.columns)  # rows and edges may come from one table
+    kinds = {c.name: c.dataType.simpleString() for c in own.schema}
+
+    def run(part: pa.Table, lines: pa.Table) -> pa.Table:
+        part = part.sort_by([(c, "ascending") for c in rows])  # neighbours in time are near each other
+        lines = lines.sort_by([(edge, "ascending"), ("segment", "ascending")])
+        with np.errstate(all="ignore"):
+            d = f(*table_arrays(part, *columns), dict(zip(numbers, table_arrays(lines, *numbers), strict=True)))
+        return pa.table([*(part.column(k) for k in (*keys, *rows)), pa.array(d, mask=np.isnan(d))], names=[*keys, *rows, "distance"])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*keys, *rows)), "distance double"])
+    return own.groupBy(*keys).cogroup(chain.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def signed_distances(points: DataFrame, chain: DataFrame, keys: list[str], rows: list[str], edge: str, reach: float = 16.0, z_stretch: float = Z_STRETCH) -> DataFrame:
@@ -35,37 +92,19 @@ def signed_distances(points: DataFrame, chain: DataFrame, keys: list[str], rows:
 
     The nearest segment is that of least distance with heights stretched, ties to the first. Its side gives the sign; a point
     before its start or behind its end also asks the neighbour there: off the road if either says so at a left turn, if both do at
-    a right turn. Points look into a grid of segments first; those with nothing within reach look at their whole scene, which is bounded.
+    a right turn.
     """
-    points = written(points.select(*keys, *rows, "x", "y", "z"), "edge_points")
-    chain = written(chain.select(*keys, edge, "segment", "x0", "y0", "z0", "ux", "uy", "uz", "px", "py", "nx", "ny"), "edge_chain")
-    length2 = F.greatest(F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy"), F.lit(1e-10))
-    dx, dy, dz = (F.col(c) - F.col(f"{c}0") for c in "xyz")
-
-    def nearest(pairs: DataFrame) -> DataFrame:
-        t = (dx * F.col("ux") + dy * F.col("uy")) / length2
-        pairs = pairs.withColumn("t", t)
-        f = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("t")))
-        gx, gy, gz = dx - f * F.col("ux"), dy - f * F.col("uy"), (dz - f * F.col("uz")) * z_stretch
-        side = F.signum(dx * F.col("uy") - dy * F.col("ux"))
-        # Sides of the neighbours, and whether the chain turns left there.
-        before = F.signum((dx + F.col("px")) * F.col("py") - (dy + F.col("py")) * F.col("px"))
-        after = F.signum((dx - F.col("ux")) * F.col("ny") - (dy - F.col("uy")) * F.col("nx"))
-        left_before = F.col("px") * F.col("uy") - F.col("py") * F.col("ux") > 0
-        left_after = F.col("ux") * F.col("ny") - F.col("uy") * F.col("nx") > 0
-        both = lambda other, left: F.when(left, F.greatest(side, other)).otherwise(F.least(side, other))
-        sign = F.when((F.col("t") < 0) & F.col("px").isNotNull(), both(before, left_before)).when((F.col("t") > 1) & F.col("nx").isNotNull(), both(after, left_after)).otherwise(side)
-        flat = gx * gx + gy * gy
-        best = F.struct(F.sqrt(flat + gz * gz).alias("d"), F.col(edge).alias("e"), "segment", (sign * F.sqrt(flat)).alias("signed"))
-        return pairs.groupBy(*keys, *rows).agg(F.min(best).alias("b"))
-
-    near = written(nearest(near_segments(points, chain, keys, reach)).where(F.col("b.d") <= reach), "near_edges")
-    rest = nearest(points.join(near, [*keys, *rows], "left_anti").join(chain, keys))
-    got = near.unionByName(rest).select(*keys, *rows, F.col("b.signed").alias("distance"))
-    return points.select(*keys, *rows).join(got, [*keys, *rows], "left")
-
-
-def road_edge_distances(boxes: DataFrame, chain: DataFrame, keys: list[str], rows: list[str], edge: str, **kw) -> DataFrame:
-    """keys, rows, distance: that of the corner that is farthest off the road."""
-    corners = box_corners(boxes, [*keys, *rows])
-    return signed_distances(corners, chain, keys, [*rows, "corner"], edge, **kw).groupBy(*keys, *rows).agg(F.max("distance").alias("distance"))
+    return per_scene(points, chain, keys, rows, edge, ["x", "y", "z"], lambda x, y, z, lines: nearest_signed(x, y, z, lines, reach, z_stretch))
+
+
+def road_edge_distances(boxes: DataFrame, chain: DataFrame, keys: list[str], rows: list[str], edge: str, reach: float = 16.0, z_stretch: float = Z_STRETCH) -> DataFrame:
+    """keys, rows, distance: the signed distance of the lower corner that is farthest off the road, of each box (x, y, z of the middle, length, width, height, heading)."""
+
+    def farthest(x, y, z, length, width, height, heading, lines) -> np.ndarray:
+        c, s = np.cos(heading), np.sin(heading)
+        signs = ((1, 1), (-1, 1), (-1, -1), (1, -1))
+        px = np.stack([x + i * length / 2 * c - j * width / 2 * s for i, j in signs], 1).ravel()
+        py = np.stack([y + i * length / 2 * s + j * width / 2 * c for i, j in signs], 1).ravel()
+        return np.fmax.reduce(nearest_signed(px, py, np.repeat(z - height / 2, 4), lines, reach, z_stretch).reshape(-1, 4), axis=1)
+
+    return per_scene(boxes, chain, keys, rows, edge, ["x", "y", "z", "length", "width", "height", "heading"], farthest)
