@@ -46,22 +46,25 @@ def longest_path(t: np.ndarray, x: np.ndarray, y: np.ndarray, top_speed: float,
     speed and than top_speed allows. Of paths with equally many observations the one that lasts longer wins, then the later.
     """
     n = len(t)
-    if n < 3 or (np.diff(t) <= 0).any():
+    if n < 3 or (np.round(np.diff(t), 9) <= 0).any():
         return np.ones(n, bool)
 
     def follows(distance: np.ndarray, duration: np.ndarray) -> np.ndarray:
         return (distance <= MARGIN + top_speed * duration) & ((distance <= MARGIN) | (distance / duration <= limit))
 
-    step, gap = np.hypot(np.diff(x), np.diff(y)), np.diff(t)
+    def between(i: int | np.ndarray, j: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.sqrt((x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2), np.round(t[i] - t[j], 9)  # equal times are equal, whenever they are
+
+    step, gap = between(np.arange(1, n), np.arange(n - 1))
     limit = max(least_limit, LIMIT_RATIO * float(np.median(step / gap)))
     if follows(step, gap).all():
         return np.ones(n, bool)
     length, lasts, before = np.ones(n, np.int64), np.zeros(n), np.full(n, -1)
     for i in range(1, n):
         own = np.arange(max(0, i - most_skipped - 1), i)
-        own = own[follows(np.hypot(x[i] - x[own], y[i] - y[own]), t[i] - t[own])]
+        own = own[follows(*between(i, own))]
         if len(own):
-            duration = np.round(lasts[own] + (t[i] - t[own]), 9)  # sums of equal times are equal
+            duration = np.round(lasts[own] + between(i, own)[1], 9)
             k = np.lexsort((own, -duration, -length[own]))[0]
             length[i], lasts[i], before[i] = length[own[k]] + 1, duration[k], own[k]
     kept = np.zeros(n, bool)
