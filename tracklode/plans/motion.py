@@ -159,7 +159,7 @@ v AS (SELECT q.*, s.px AS tx, s.py AS ty, n.px - s.px AS ux, n.py - s.py AS uy F
 def lane_map(spark: SparkSession, sf: str) -> DataFrame:
     """A lane of ten points for each event type of a track, whose map it is."""
     m = tracks(spark, sf).groupBy(F.col("track_id").alias("scene"), "type").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"))
-    point = lambda k: F.struct((F.col("x0") + (F.col("x1") - F.col("x0")) * k / 9.0).alias("x"), (F.col("y0") + 0.05 * k).alias("y"))
+    point = lambda k: F.struct((F.col("x0") + (F.col("x1") - F.col("x0")) * k / 9.0).alias("x"), (F.col("y0") + k / 20.0).alias("y"))
     return m.select("scene", "type", F.transform(F.sequence(F.lit(0), F.lit(9)), point).alias("points"))
 
 
