@@ -10,7 +10,6 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,6 +135,16 @@ def frames(data: bytes, path: str) -> Iterator[bytes]:
 
 
 RAW = "path string, record_index long, payload binary"
+#: Python objects take some twenty times the bytes of Arrow's, so messages become objects by about so many bytes at a time.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into slices of about `most` bytes, of one row at least."""
+    for batch in batches:
+        step = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,9 +195,9 @@ def scenario_name(payload: Column) -> Column:
         except (ValueError, IndexError, struct.error):
             return None
 
-    @F.pandas_udf("string")
-    def names(payloads: pd.Series) -> pd.Series:
-        return payloads.map(name)
+    @F.arrow_udf("string")
+    def names(payloads: pa.Array) -> pa.Array:
+        return pa.array((name(p.as_py()) for p in payloads), pa.string())
 
     return names(payload)
 
@@ -201,7 +210,7 @@ def scenarios(raw: DataFrame) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(SCENARIOS))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in pieces(it):
             out = []
             for path, index, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 row = dict.fromkeys(schema.names) | {"path": path, "record_index": index}
