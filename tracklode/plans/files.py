@@ -31,7 +31,7 @@ SHARD_SQL = f"(scene // 268435456 + scene % 268435456) % {SHARDS}"
 
 
 def encode(batches):
-    for batch in batches:
+    for batch in records.pieces(batches):
         out = []
         for scene, part, group in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             message = {"scenario_id": f"{scene}_{part}", "timestamps_seconds": [k / 10 for k in range(FRAMES)], "current_time_index": 10, "sdc_track_index": 0}
