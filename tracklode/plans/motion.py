@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import angles, text
 from ..operators import agents, filters, intervals, joins, labels, lanes, scores, windows
 from .queries import QUERIES, ROAD_SQL, SQL, TAGGED_SQL, query, r6, road_frames, sentences, tagged
-from .tables import table, tracks
+from .tables import histories, table, tracks
 
 #: Tracks of a scene: scenes are of bounded size, their number grows with the tracks.
 SCENE_TRACKS = 8
@@ -139,9 +139,9 @@ def back_filled(spark, sf):
     return agents.back_filled(t, ["track_id"], "frame").select("track_id", "frame", *r6("x", "y", "heading"), "valid")
 
 
-@query("WITH $TRACKS SELECT a.track_id, a.frame AS src, b.frame AS dst FROM t a JOIN t b ON a.track_id = b.track_id AND b.frame > a.frame AND b.frame <= a.frame + 3 WHERE a.valid AND b.valid")
+@query("WITH $HISTORIES SELECT a.track_id, a.frame AS src, b.frame AS dst FROM t a JOIN t b ON a.track_id = b.track_id AND b.frame > a.frame AND b.frame <= a.frame + 3 WHERE a.valid AND b.valid")
 def temporal_edges(spark, sf):
-    return agents.temporal_edges(tracks(spark, sf), ["track_id"], "frame", "valid", 3)
+    return agents.temporal_edges(histories(spark, sf), ["track_id"], "frame", "valid", 3)
 
 
 @query()
