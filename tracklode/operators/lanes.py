@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ..functions.angles import to_local
 
 # Share of the half width of a box that is rounded, and the distance that stands for "no other object".
 CORNER_ROUNDING, FAR_AWAY = 0.7, 1e10
+STRIP, BLOCK = 16, 256  # width of a strip in radii; points that are compared at once with 16 times as many
 
 
 def lane_vertices(lanes: DataFrame, keys: list[str], lane: str, points: str) -> DataFrame:
@@ -46,7 +50,9 @@ def lane_changes(states: DataFrame, keys: list[str], frame: str, run: int = 8, s
     s = s.withColumn("_d", F.col("_next") - F.col("offset"))
     fits = (F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.cos(F.col("heading") - F.col("lane_heading"))))) < end_heading) & (F.abs("offset") < end_offset)
     ahead = way.rowsBetween(0, run - 1)
-    on, after = way.rowsBetween(0, Window.unboundedFollowing), way.rowsBetween(1, Window.unboundedFollowing)
+    # From the end backwards, so that each frame adds one row: frames up to the end take the square of a track's length.
+    back = Window.partitionBy(*keys).orderBy(F.desc(frame))
+    on, after = back.rowsBetween(Window.unboundedPreceding, 0), back.rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumns({
         "_turns": (F.col("_i") == 1) | (F.lag("_d").over(way) * F.col("_d") < 0),
         "_up": F.min(F.col("_d")).over(ahead) > 0, "_down": F.max(F.col("_d")).over(ahead) < 0,
@@ -75,14 +81,45 @@ def polyline_gaps(a: Column, b: Column) -> Column:
     return F.struct((F.aggregate(near, F.lit(0.0), lambda s, x: s + x) / F.size(near)).alias("mean"), F.array_max(near).alias("most"), F.array_min(near).alias("least"))
 
 
-def local_ratio(pairs: DataFrame, others: DataFrame, keys: list[str], value: str, most: float) -> DataFrame:
-    """keys, id, n_local, ratio: neighbours of each point, and the share with 0 < value <= most among those with value > 0; 0 without any.
+def local_ratio(points: DataFrame, keys: list[str], radius: float, value: str, most: float) -> DataFrame:
+    """keys, id, n_local, ratio: points of other ids at most radius apart within a key, and the share with 0 < value <= most among those with value > 0; 0 without any.
 
-    pairs: keys, id, other (of radius_pairs). others: keys, other, value.
+    points: keys, id, x, y, value; points without neighbours are left out. Strips of a key, with their borders, are compared in
+    blocks of bounded size, and no pair leaves its block; the comparisons still grow with the square of the points of a neighbourhood.
     """
-    joined = pairs.join(others.select(*keys, "other", value), [*keys, "other"])
-    known = F.when(F.col(value) > 0, (F.col(value) <= most).cast("double"))
-    return joined.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("n_local"), F.coalesce(F.avg(known), F.lit(0.0)).alias("ratio"))
+    strip = lambda x: F.floor(F.greatest(F.lit(-1e12), F.least(F.lit(1e12), x / (STRIP * radius))))
+    x = F.col("x")
+    # A strip's copies of border points reach a little further than the radius, whatever x is rounded to.
+    spread = points.select(*keys, "id", "x", "y", value, strip(x).alias("_home")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    spread = spread.withColumn("_strip", F.explode(F.array_distinct(F.array("_home", strip(x - 1.01 * radius), strip(x + 1.01 * radius)))))
+    spread = spread.withColumn("_own", F.col("_strip") == F.col("_home"))
+    kinds = {c.name: c.dataType.simpleString() for c in points.schema}
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("x")
+        x, y, v = (part.column(c).cast(pa.float64()).to_numpy() for c in ("x", "y", value))
+        ids = pc.index_in(part.column("id"), part.column("id").unique()).to_numpy()
+        own = np.flatnonzero(part.column("_own").to_numpy())
+        n, known, good = (np.zeros(len(own), np.int64) for _ in range(3))
+        positive, within = (v > 0).astype(np.float32), ((v > 0) & (v <= most)).astype(np.float32)
+        low, high = np.searchsorted(x, x[own] - 1.01 * radius), np.searchsorted(x, x[own] + 1.01 * radius, "right")
+        for a in range(0, len(own), BLOCK):
+            k = own[a : a + BLOCK]
+            for b in range(low[a], high[min(a + BLOCK, len(own)) - 1], 16 * BLOCK):
+                other = slice(b, min(b + 16 * BLOCK, len(x)))
+                dx, dy = x[k, None] - x[other], y[k, None] - y[other]
+                near = (dx * dx + dy * dy <= radius * radius) & (ids[k, None] != ids[other])
+                n[a : a + BLOCK] += near.sum(1)
+                weights = near.astype(np.float32)  # sums of at most 16 * BLOCK ones are exact
+                known[a : a + BLOCK] += (weights @ positive[other]).astype(np.int64)
+                good[a : a + BLOCK] += (weights @ within[other]).astype(np.int64)
+        some = n > 0
+        rows = part.take(pa.array(own[some]))
+        ratio = good[some] / np.maximum(known[some], 1)
+        return pa.table([*(rows.column(c) for c in (*keys, "id")), pa.array(n[some]), pa.array(ratio)], names=[*keys, "id", "n_local", "ratio"])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*keys, "id")), "n_local long, ratio double"])
+    return spread.groupBy(*keys, "_strip").applyInArrow(run, schema)
 
 
 def rectangle_gap(px: Column, py: Column, x: Column, y: Column, heading: Column, half_length: Column, half_width: Column) -> Column:

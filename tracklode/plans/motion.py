@@ -183,20 +183,20 @@ b AS (SELECT track_id, frame AS start, CASE WHEN up THEN 'left' ELSE 'right' END
 c AS (SELECT b.track_id, start, direction, (SELECT min(z.frame) FROM g z WHERE z.track_id = b.track_id AND z.i > b.e + 1 AND z.fits) AS "end" FROM b JOIN g ON g.track_id = b.track_id AND g.i = b.e WHERE g.off * g.nxt < 0 AND abs(g.off) >= 1.25 AND abs(g.nxt) >= 1.25)"""
 
 
-def drift(spark: SparkSession, sf: str) -> DataFrame:
+def drift(t: DataFrame) -> DataFrame:
     """Lane changes of the valid frames under an offset that drifts out of one lane and into the next."""
     from pyspark.sql import Window
 
-    t = tracks(spark, sf).where("valid")
+    t = t.where("valid")
     p = (F.row_number().over(Window.partitionBy("track_id").orderBy("frame")) - 1 + F.col("track_id")) % 14
     off = F.when(p <= 8, p * 0.5 - 0.5).otherwise((p - 9) * 0.5 - 1.5) * F.when(F.col("track_id") % 2 == 0, 1).otherwise(-1)
     states = t.select("track_id", "frame", off.alias("offset"), (F.col("vy") * 0.05).alias("heading"), F.lit(0.0).alias("lane_heading"))
     return lanes.lane_changes(states, ["track_id"], "frame", end_heading=math.radians(5.0))
 
 
-@query(f"""WITH $TRACKS, {DRIFT_SQL} SELECT track_id, start, "end", direction FROM c WHERE "end" IS NOT NULL""")
+@query(f"""WITH $HISTORIES, {DRIFT_SQL} SELECT track_id, start, "end", direction FROM c WHERE "end" IS NOT NULL""")
 def lane_changes(spark, sf):
-    return drift(spark, sf)
+    return drift(histories(spark, sf))
 
 
 @query(f"""
@@ -206,7 +206,7 @@ SELECT a.track_id, a.frame, CASE WHEN a.action <> 'STOP' AND kind = 1 AND lane =
 def lane_actions(spark, sf):
     t = tracks(spark, sf).where("valid")
     t = windows.clamped(t, ["track_id"], "frame", "heading", 10, 30).withColumnRenamed("future", "far").drop("past")
-    t = lanes.in_lane_change(windows.clamped(t, ["track_id"], "frame", "heading", 10, 10), drift(spark, sf), ["track_id"], "frame")
+    t = lanes.in_lane_change(windows.clamped(t, ["track_id"], "frame", "heading", 10, 10), drift(tracks(spark, sf)), ["track_id"], "frame")
     action = labels.action_class(F.col("kind"), F.col("vx"), F.col("heading"), F.col("past"), F.col("future"), F.col("far"), F.col("vy"), F.col("lane_change"))
     return t.select("track_id", "frame", action.alias("action"))
 
