@@ -212,13 +212,12 @@ def lane_actions(spark, sf):
 
 
 @query("""
-WITH $TRACKS, p AS (SELECT a.track_id // 8 AS scene, a.frame, a.track_id AS id, b.vx AS v FROM t a JOIN t b ON a.frame = b.frame AND a.track_id // 8 = b.track_id // 8 AND a.track_id <> b.track_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400.0)
-SELECT scene, frame, id, count(*) AS n_local, round(coalesce(avg(CASE WHEN v > 0 THEN CASE WHEN v <= 2 THEN 1.0 ELSE 0.0 END END), 0.0), 6) AS ratio FROM p GROUP BY ALL
+WITH $HISTORIES, p AS (SELECT a.kind, a.frame, a.track_id AS id, b.vx AS v FROM t a JOIN t b ON a.frame = b.frame AND a.kind = b.kind AND a.track_id <> b.track_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9.0)
+SELECT kind, frame, id, count(*) AS n_local, round(coalesce(avg(CASE WHEN v > 0 THEN CASE WHEN v <= 2 THEN 1.0 ELSE 0.0 END END), 0.0), 6) AS ratio FROM p GROUP BY ALL
 """)
 def local_ratio(spark, sf):
-    p = tracks(spark, sf).select(F.floor(F.col("track_id") / 8).alias("scene"), "frame", F.col("track_id").alias("id"), "x", "y", "vx")
-    pairs = joins.radius_pairs(p, p, ["scene", "frame"], 20.0)
-    return lanes.local_ratio(pairs, p.withColumnRenamed("id", "other"), ["scene", "frame"], "vx", 2.0).select("scene", "frame", "id", "n_local", *r6("ratio"))
+    p = histories(spark, sf).select("kind", "frame", F.col("track_id").alias("id"), "x", "y", "vx")
+    return lanes.local_ratio(p, ["kind", "frame"], 3.0, "vx", 2.0).select("kind", "frame", "id", "n_local", *r6("ratio"))
 
 
 def box_sql() -> str:
