@@ -8,9 +8,11 @@ some split point's range and the anchor's distance to that point cannot meet the
 exactly, in integers, in the leaves.
 
 The split points are fitted on a sample of about SAMPLE rows; every row is then routed to its leaf and widens the ranges
-on its way, so the answers are exact whatever the sample. Leaves of more than LEAF_ROWS rows are cut by a hash into parts,
-and anchors meet parts in blocks, so no task holds more than one block and one part at a time. An anchor asks its own
-leaf first: the k-th best score found there narrows each window before the tree is asked.
+on its way, so the answers are exact whatever the sample. Leaves of more than LEAF_ROWS rows are cut by a hash into parts.
+Groups of anchors meet groups of parts, all of bounded size, in one grouped function; an anchor goes to those groups that
+hold a part it has to visit, never to the driver, and gives at most k rows for each window and group. An anchor asks its
+own leaf first: the k-th best score found there narrows each window before the tree is asked, and what a group has found
+narrows it from part to part.
 
 Two questions are asked: the best rows of the anchor's label (no lower end), then, in a window for each of those, the
 best rows of other labels. Of rows that share vector and label only as many as a result can hold, by smallest id, are
@@ -35,13 +37,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
-from .segments import LIMIT, best, exact_products, integers, matrix
+from .segments import GROUP_BYTES, LIMIT, WAVES, Best, integers, lengths, matrix, packed, pairs, products, unpacked
 
 SAMPLE = 8192  # rows that split points are chosen from, about
 WAYS = 12  # split points of a node
 LEAF_ROWS = 2048  # most rows of a part of a leaf, about
 LEAF_NUMBERS = 1 << 18  # most numbers of such a part: longer vectors make smaller parts
 BLOCK = 256  # anchors that meet a part at a time
+ANCHORS = 16384  # anchors that meet a group of parts, about
 
 
 @dataclass
@@ -171,45 +174,99 @@ def window_arrays(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
-def visit_batches(batches: Iterator[pa.RecordBatch], tree: Tree, parts: np.ndarray, home: bool) -> Iterator[pa.RecordBatch]:
-    """anchor, label, x, lo, hi -> (leaf, part, anchors, labels, x, lo, hi): with home, one part of the anchor's own leaf; else all others to visit."""
-    names = ["leaf", "part", "anchors", "labels", "q", "lo", "hi", "windows"]
+@dataclass
+class Groups:
+    """Where the parts of leaves are: their numbers run through the leaves, so many to a group."""
+
+    parts: np.ndarray  # of each leaf
+    size: int = 1
+
+    def number(self, leaf: np.ndarray | int, part: np.ndarray | int) -> np.ndarray:
+        return (np.cumsum(self.parts) - self.parts)[leaf] + part
+
+
+def visit_batches(batches: Iterator[pa.RecordBatch], tree: Tree, groups: Groups, across: int, home: bool) -> Iterator[pa.RecordBatch]:
+    """anchor, label, x, lo, hi -> blocks of anchors for each group with the parts they visit: with home, one part of the anchor's own leaf; else all others."""
+    names = ["row", "column", "anchors", "labels", "lo", "hi", "visits", "d", "q"]
     for batch in batches:
         for start in range(0, batch.num_rows, BLOCK):
             some = batch.slice(start, BLOCK)
             anchor, label, x = some.column(0).to_numpy(), some.column(1).to_numpy().astype(np.int64), matrix(some.column(2))
             lo, hi = window_arrays(some, 3)
             own_leaf = route(tree, x, widen=False)
-            own_part = anchor % parts[own_leaf]
-            if home:
-                visits = [(leaf, part, np.flatnonzero((own_leaf == leaf) & (own_part == part))) for leaf, part in sorted(set(zip(own_leaf.tolist(), own_part.tolist(), strict=True)))]
-            else:
-                visits = [(leaf, part, own[(own_leaf[own] != leaf) | (own_part[own] != part)]) for leaf, own in meeting(tree, x, lo, hi).items() for part in range(int(parts[leaf]))]
-            for leaf, part, own in visits:
-                if len(own):
-                    data = [pa.array([z[own].astype("<i8").tobytes()], pa.binary()) for z in (anchor, label, x, lo, hi)]
-                    yield pa.RecordBatch.from_arrays([pa.array([leaf], pa.int32()), pa.array([part], pa.int32()), *data, pa.array([lo.shape[1]], pa.int32())], names)
-
-
-def tile_batches(batches: Iterator[pa.RecordBatch], k: int, same: bool) -> Iterator[pa.RecordBatch]:
-    """anchors, labels, q, lo, hi, windows, members -> (anchor, lo, hi, id, score): the k best rows of each window."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            names, labels, q, lo, hi = (np.frombuffer(batch.column(c)[i].as_py(), "<i8") for c in range(5))
-            members = batch.column(6)[i].values
-            ids, label, x = members.field("id").to_numpy(), members.field("label").to_numpy().astype(np.int64), matrix(members.field("x"))
-            windows = batch.column(5)[i].as_py()
-            lo, hi = lo.reshape(-1, windows), hi.reshape(-1, windows)
-            scores = exact_products(q.reshape(len(names), x.shape[1]), x)
-            out: list[tuple[np.ndarray, ...]] = []
-            for a in range(len(names)):
-                fit_rows = np.flatnonzero((label == labels[a]) == same)
-                own = scores[a, fit_rows]
-                for w in range(windows):
-                    inside = fit_rows[(own >= lo[a, w]) & (own <= hi[a, w])]
-                    top = inside[best(scores[a, inside], ids[inside], k)] if len(inside) else inside
-                    out.append((np.full(len(top), names[a]), np.full(len(top), hi[a, w]), ids[top], scores[a, top]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).astype(np.int64)) for z in zip(*out, strict=True)], ["anchor", "hi", "id", "score"])
+            own = groups.number(own_leaf, anchor % groups.parts[own_leaf])
+            visits = np.zeros((len(anchor), int(groups.parts.sum())), bool)
+            if not home:
+                for leaf, met in meeting(tree, x, lo, hi).items():
+                    first = int(groups.number(leaf, 0))
+                    visits[met, first : first + int(groups.parts[leaf])] = True
+            visits[np.arange(len(anchor)), own] = home
+            for row in range(-(-visits.shape[1] // groups.size)):
+                here = visits[:, row * groups.size : (row + 1) * groups.size]
+                if len(at := np.flatnonzero(here.any(axis=1))):
+                    packed_ids, packed_x = packed(anchor[at], x[at])
+                    data = [pa.array([z[at].astype("<i8").tobytes()], pa.binary()) for z in (label, lo, hi)]
+                    seen = pa.array([np.packbits(here[at], axis=1).tobytes()], pa.binary())
+                    where = [pa.array([z], pa.int32()) for z in (row, int(anchor[0]) // BLOCK % across)]
+                    yield pa.RecordBatch.from_arrays([*where, packed_ids, *data, seen, pa.array([x.shape[1]], pa.int32()), packed_x], names)
+
+
+class Block:
+    """Vectors with labels, and in floats where these hold them."""
+
+    def __init__(self, ids: bytes, labels: bytes, x: bytes, d: int):
+        (self.ids, self.x), self.labels = unpacked(ids, x, d), np.frombuffer(labels, "<i8")
+        self.longest = float(lengths(self.x).max(initial=0))
+        self.floats = self.x.astype(np.float32) if self.longest < 2**24 else None
+
+
+class Asking(Block):
+    """Anchors with the parts of a group that they visit, their windows and what was found in them; a window of an anchor is a query of best."""
+
+    def __init__(self, ids: bytes, labels: bytes, lo: bytes, hi: bytes, visits: bytes, d: int, x: bytes, k: int):
+        super().__init__(ids, labels, x, d)
+        lo, self.hi = (np.frombuffer(z, "<i8").reshape(len(self.ids), -1) for z in (lo, hi))
+        self.visits = np.unpackbits(np.frombuffer(visits, np.uint8).reshape(len(self.ids), -1), axis=1).astype(bool)
+        self.best = Best(np.where(lo <= self.hi, lo, LIMIT - 1).ravel(), k)
+
+    def ask(self, own: np.ndarray, part: Block, same: bool) -> None:
+        if self.floats is not None and part.floats is not None and self.longest * part.longest < 2**24:
+            scores = self.floats[own] @ part.floats.T  # as in products
+        else:
+            scores = products(self.x[own], part.x)
+        least = self.best.least.reshape(self.hi.shape)[own]
+        a, b = pairs(scores >= least.min(axis=1)[:, None].astype(scores.dtype))
+        fit = (self.labels[own[a]] == part.labels[b]) == same
+        a, b = a[fit], b[fit]
+        score = scores[a, b].astype(np.int64)
+        at, window = np.nonzero((score[:, None] >= least[a]) & (score[:, None] <= self.hi[own[a]]))
+        self.best.add(own[a[at]] * self.hi.shape[1] + window, part.ids[b[at]], score[at])
+
+
+def ask_group(anchors: pa.Table, parts: pa.Table, size: int, k: int, same: bool) -> pa.Table:
+    """Blocks of anchors and parts (number, d, ids, labels, x) of a group -> (anchor, hi, id, score): the k best rows of each window."""
+    asking = [Asking(*block, k) for block in zip(*(anchors.column(c).to_pylist() for c in ("anchors", "labels", "lo", "hi", "visits", "d", "q")), strict=True)]
+    for i in range(parts.num_rows):
+        number, d, ids, labels, x = (parts.column(c)[i].as_py() for c in ("number", "d", "ids", "labels", "x"))
+        part = Block(ids, labels, x, d)
+        for block in asking:
+            if len(own := np.flatnonzero(block.visits[:, number % size])):
+                block.ask(own, part, same)
+    none = np.zeros(0, np.int64)
+    found = [(none, none, none, none)]
+    for block in asking:
+        query, ids, scores = block.best.all()
+        found.append((block.ids[query // block.hi.shape[1]], block.hi.ravel()[query], ids, scores))
+    return pa.table([pa.array(np.concatenate(z)) for z in zip(*found, strict=True)], ["anchor", "hi", "id", "score"])
+
+
+def packed_part(rows: pa.Table, groups: Groups) -> pa.Table:
+    """leaf, part, id, label, x of a part -> its number, d, ids, labels, x in one row."""
+    x = matrix(rows["x"].combine_chunks())
+    ids, packed_x = packed(rows["id"].to_numpy(), x)
+    labels = pa.array([rows["label"].to_numpy().astype("<i8").tobytes()], pa.binary())
+    number = int(groups.number(rows["leaf"][0].as_py(), rows["part"][0].as_py()))
+    return pa.table([pa.array([number], pa.int32()), pa.array([x.shape[1]], pa.int32()), ids, labels, packed_x], ["number", "d", "ids", "labels", "x"])
 
 
 class Index:
@@ -218,9 +275,9 @@ class Index:
     def __init__(self, rows: DataFrame, d: int):
         n, norm2 = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("x", F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double")))).first()
         share = F.pmod(F.xxhash64("id", "x"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SAMPLE / n)))
-        sample = rows.where(share).orderBy(F.xxhash64("x", "id")).limit(2 * SAMPLE).select("x").toPandas()["x"]
+        sample = rows.where(share).orderBy(F.xxhash64("x", "id")).limit(2 * SAMPLE).select("x").toArrow()["x"].combine_chunks()
         leaf_rows = max(1, min(LEAF_ROWS, LEAF_NUMBERS // max(1, d)))
-        tree = fit(np.array(sample.tolist(), np.int64).reshape(len(sample), d), n, norm2 * (1 + 1e-12), leaf_rows)
+        tree = fit(matrix(sample), n, norm2 * (1 + 1e-12), leaf_rows)
         kind = "id long, label long, x array<bigint>, leaf int, node array<int>, cell array<int>, low array<double>, high array<double>"
         routed = cut(rows.select("id", F.col("label").cast("long").alias("label"), "x").mapInArrow(lambda it: route_batches(it, tree), kind), "routed")
         cells = routed.where("node is not null").select(F.explode(F.arrays_zip("node", "cell", "low", "high")).alias("z")).groupBy("z.node", "z.cell").agg(F.min("z.low").alias("low"), F.max("z.high").alias("high"))
@@ -232,34 +289,44 @@ class Index:
         for r in sizes.collect():  # a row for each leaf; leaves are fewer than the sample's rows
             parts[r.leaf] = r.parts
         spread = routed.join(F.broadcast(sizes), "leaf").withColumn("part", F.pmod(F.xxhash64("id", "x"), F.col("parts")).cast("int"))
-        self.leaves = cut(spread.groupBy("leaf", "part").agg(F.collect_list(F.struct("id", "label", "x")).alias("members")), "leaves")
-        self.tree, self.parts = tree, parts
+        self.tree, self.groups = tree, Groups(parts)
+        groups = Groups(parts)
+        packs = spread.select("leaf", "part", "id", "label", "x").groupBy("leaf", "part").applyInArrow(lambda t: packed_part(t, groups), "number int, d int, ids binary, labels binary, x binary")
+        self.leaves = cut(packs, "leaves")
+        size = self.leaves.agg(F.sum(F.length("ids") + F.length("labels") + F.length("x"))).first()[0]
+        total = int(parts.sum())
+        self.groups.size = -(-total // max(1, -(-size // GROUP_BYTES), min(total, WAVES * rows.sparkSession.sparkContext.defaultParallelism)))
 
     def ask(self, anchors: DataFrame, k: int, same: bool) -> DataFrame:
         """anchors (anchor, label, x, lo, hi: arrays, the windows) -> (anchor, hi, id, score, rank): the k best rows in each window, by (score descending, id)."""
-        tree, parts = self.tree, self.parts
-        kind = "leaf int, part int, anchors binary, labels binary, q binary, lo binary, hi binary, windows int"
+        tree, groups = self.tree, self.groups
+        count, size = anchors.agg(F.count(F.lit(1)), F.coalesce(F.sum(8 * F.size("x")), F.lit(0))).first()
+        across = max(1, -(-count // ANCHORS), -(-size // GROUP_BYTES))
+        down = -(-int(groups.parts.sum()) // groups.size)
+        kind = "row int, column int, anchors binary, labels binary, lo binary, hi binary, visits binary, d int, q binary"
         best_first = Window.partitionBy("anchor", "hi").orderBy(F.desc("score"), "id")
+        parts = self.leaves.withColumn("row", F.floor(F.col("number") / groups.size).cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
 
         def met(asked: DataFrame, home: bool) -> DataFrame:
-            visits = asked.select("anchor", "label", "x", "lo", "hi").mapInArrow(lambda it: visit_batches(it, tree, parts, home), kind)
-            tiles = visits.join(self.leaves, ["leaf", "part"]).select("anchors", "labels", "q", "lo", "hi", "windows", "members")
-            found = tiles.mapInArrow(lambda it: tile_batches(it, k, same), "anchor long, hi long, id long, score long")
+            visits = asked.select("anchor", "label", "x", "lo", "hi").mapInArrow(lambda it: visit_batches(it, tree, groups, across, home), kind)
+            left, right = (side.repartition(4 * across * down, "row", "column").groupBy("row", "column") for side in (visits, parts))
+            found = left.cogroup(right).applyInArrow(lambda q, x: ask_group(q, x, groups.size, k, same), "anchor long, hi long, id long, score long")
             return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
 
         first = cut(met(anchors, True), "home")
         bars = first.where(F.col("rank") == k).groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("hi", "score"))).alias("bars"))
         raised = F.transform(F.arrays_zip("lo", "hi"), lambda w: F.greatest(w["lo"], F.element_at("bars", w["hi"])))
-        narrowed = cut(anchors.join(bars, "anchor", "left").withColumn("lo", F.when(F.col("bars").isNotNull(), raised).otherwise(F.col("lo"))), "narrowed")
+        narrowed = cut(anchors.join(bars.hint("merge"), "anchor", "left").withColumn("lo", F.when(F.col("bars").isNotNull(), raised).otherwise(F.col("lo"))), "narrowed")
         every = first.drop("rank").unionByName(met(narrowed, False).drop("rank"))
         return cut(every.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k), "answers")
 
 
 def mine_one_length(rows: DataFrame, d: int, anchors: DataFrame, positives: int, negatives: int, low: int, high: int) -> DataFrame:
     """rows and anchors: id, label, x, all of length d."""
+    # The sizes of vectors are hidden by their encoding in files, so tables of anchors are joined by a sort, not sent by the driver.
     index = Index(rows, d)
     asked = cut(anchors.select("label", "x").distinct().withColumn("anchor", F.monotonically_increasing_id()), "anchors")
-    named = anchors.join(asked, ["label", "x"]).select(F.col("id").alias("anchor_id"), "anchor")
+    named = anchors.join(asked.hint("merge"), ["label", "x"]).select(F.col("id").alias("anchor_id"), "anchor")
     whole = asked.withColumn("lo", F.array(F.lit(-LIMIT))).withColumn("hi", F.array(F.lit(LIMIT - 1)))
     friends = index.ask(whole, positives + 1, True).select("anchor", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     wide = F.col("positive_score").cast("decimal(38,0)")
@@ -268,11 +335,11 @@ def mine_one_length(rows: DataFrame, d: int, anchors: DataFrame, positives: int,
     # Windows that end at one score start at the lowest of their beginnings here; each row is held against its own below.
     per_end = ends.groupBy("anchor", "hi").agg(F.min("lo").alias("lo"))
     windows = per_end.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("hi", "lo"))).alias("w"))
-    question = asked.join(windows, "anchor").select("anchor", "label", "x", F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi"))
+    question = asked.join(windows.hint("merge"), "anchor").select("anchor", "label", "x", F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi"))
     foes = index.ask(question, negatives, False).select("anchor", "hi", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"), "rank")
-    own = named.join(friends, "anchor").where("positive_id <> anchor_id")
+    own = named.join(friends.hint("merge"), "anchor").where("positive_id <> anchor_id")
     own = own.withColumn("place", F.row_number().over(Window.partitionBy("anchor_id", "anchor").orderBy(F.desc("positive_score"), "positive_id"))).where(F.col("place") <= positives)
-    met = own.join(ends, ["anchor", "positive_score"]).join(foes, ["anchor", "hi"]).where("negative_score >= lo")
+    met = own.join(ends.hint("merge"), ["anchor", "positive_score"]).join(foes.hint("merge"), ["anchor", "hi"]).where("negative_score >= lo")
     return met.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
 
 

@@ -121,16 +121,6 @@ def code_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sign_code(matrix(x).astype(np.float64))), pa.array(np.full(len(x), d, np.int32))], [*rows.schema.names, "code", "d"])
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best by (score descending, id ascending)."""
-    if len(scores) > 4 * k:
-        bar = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= bar)
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], ~scores[some]))[:k]]
-
-
 def packed(ids: np.ndarray, x: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """The ids, and the vectors in the narrowest integers that hold them."""
     kind = next((t for t in ("<i2", "<i4") if not x.size or (x.min() >= np.iinfo(t).min and x.max() <= np.iinfo(t).max)), "<i8")
