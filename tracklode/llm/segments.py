@@ -37,7 +37,7 @@ ROWS, QUERIES = 4096, 1024  # most rows and queries of a block, about
 BLOCK_NUMBERS = 1 << 19  # most numbers of a block of rows: longer vectors make blocks of fewer rows
 GROUP, GROUP_BYTES = 64, 32 << 20  # most blocks and bytes, about, of rows or queries that meet in one group
 WAVES = 4  # groups for each core, where the blocks are so many
-SLICE = 1024  # rows after which a block's thresholds are raised
+SLICE = 2048  # rows after which a block's thresholds are raised
 PROBES = 64  # rows of a block that choose the level of a query
 DENSE = 0.01  # share of surviving pairs above which a matrix product is cheaper than pair by pair
 LIMIT = 1 << 63
@@ -215,8 +215,11 @@ class Block:
 
 
 def pairs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """np.nonzero of a mask with few hits, which is quicker on a flat one."""
-    return np.divmod(np.flatnonzero(mask), max(1, mask.shape[1]))
+    """np.nonzero of a mask with few hits: eight places are looked at as one number."""
+    flat = mask.ravel()
+    whole = len(flat) // 8 * 8
+    at = (np.flatnonzero(flat[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.divmod(np.concatenate([at[flat[at]], whole + np.flatnonzero(flat[whole:])]), max(1, mask.shape[1]))
 
 
 def search_block(q: Block, best_rows: Best, rows: Block) -> None:
@@ -235,17 +238,18 @@ def search_block(q: Block, best_rows: Best, rows: Block) -> None:
         for i in reversed(range(len(q.stats))):
             few = (q.stats[i][live] @ rows.stats[i][::step].T >= bar(live)).mean(axis=1) <= DENSE
             level[live[few]] = i
+    met = [live[level[live] == i] for i in range(-1, len(q.stats) if bounded else 0)]
     for lo in range(0, len(rows.ids) if len(live) else 0, SLICE):
         part = slice(lo, lo + SLICE)
-        if len(own := live[level[live] < 0]):
+        if len(own := met[0]):
             if rows.floats is not None and q.floats is not None and q.longest * rows.longest < 2**24:
                 scores = q.floats[own] @ rows.floats[part].T  # as in products
             else:
                 scores = products(q.x[own], rows.x[part])
             a, b = pairs(scores >= least[own, None].astype(scores.dtype))
             best_rows.add(own[a], rows.ids[part][b], scores[a, b].astype(np.int64))
-        for i in range(len(q.stats) if bounded else 0):
-            if len(own := live[level[live] == i]):
+        for i, own in enumerate(met[1:]):
+            if len(own):
                 a, b = pairs(q.stats[i][own] @ rows.stats[i][part].T >= bar(own))
                 a, b = own[a], b + lo
                 for sq, sx in zip(q.stats[i + 1 :], rows.stats[i + 1 :], strict=True):
